@@ -53,10 +53,10 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
         .withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("limit_before", F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
     )
-    # the level that the sources from this one on would get if all before it are full
+    # the level that the sources from this one on get if all before it are full; past the first open source it only falls
     level = (F.col("budget") - F.col("limit_before")) / (F.col("w_all") - F.col("w_before"))
     per = per.withColumn("level", level).withColumn("full", F.col("limit") <= F.col("level") * F.col("w"))
-    per = per.withColumn("first_open", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
+    per = per.withColumn("first_open", F.max(F.when(~F.col("full"), F.col("level"))).over(everything))
     return per.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("first_open") * F.col("w")).alias("target"))
 
 
