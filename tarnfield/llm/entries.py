@@ -41,5 +41,31 @@ f as (select l.*, coalesce(o.n >= 2 and l.doc_id > o.first, false) as drop
 select doc_id, count(*) as n_lines, sum(drop::int)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not drop), '')) as kept_sha256
 from f group by doc_id
+""",
+    "op6_mixing": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::bigint as size from documents),
+per as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, source_size * 2.0::double as lim,
+        ([3.0, 1.0, 2.0]::double[])[((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int] as w from per),
+f as (select *, (sum(source_size) over ())::double * 1.5::double as budget, sum(w) over () as w_all,
+        coalesce(sum(w) over o, 0) as w_before, coalesce(sum(lim) over o, 0) as lim_before
+      from w window o as (order by lim / w, source is null, encode(source) rows between unbounded preceding and 1 preceding)),
+g as (select *, (budget - lim_before) / (w_all - w_before) as level from f),
+t as (select source, source_size, case when lim <= level * w then lim else max(case when lim > level * w then level end) over () * w end as target from g),
+e as (select doc_id, d.source, size, source_size, target,
+        least(2.0::double, case when source_size > 0 then target / source_size else 0 end) as e,
+        (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':0'), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
+      from d join t on d.source is not distinct from t.source),
+r as (select *, floor(e)::bigint as sure, case when e - floor(e) > 0 then (u / (1 - u)) * (1 - (e - floor(e))) / (e - floor(e)) end as odds from e),
+k as (select *, case when sure < 2 then coalesce(odds / (1 + odds), 1 - pow(2.0::double, -53)) end as rank,
+        target - sum(sure * size) over (partition by source) as lft from r),
+h as (select *, case when rank is not null and size > 0 and
+          sum(case when rank is not null and size > 0 then size else 0 end) over (partition by source order by rank nulls last, doc_id) <= lft then 1 else 0 end as extra from k),
+x as (select *, lft - sum(extra * size) over (partition by source) as gap from h),
+c as (select source, min(struct_pack(off := abs(size - gap), rank := rank, doc_id := doc_id)) as c from x
+      where extra = 0 and rank is not null and size > 0 and abs(size - gap) < gap group by source)
+select x.doc_id, x.size, x.source_size, x.target,
+  ((x.sure + x.extra + case when c.c.doc_id = x.doc_id and x.extra = 0 then 1 else 0 end) * x.size)::bigint as taken
+from x left join c on x.source is not distinct from c.source
 """,
 }

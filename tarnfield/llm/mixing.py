@@ -8,8 +8,9 @@ A document's expected copies are its source's target over its source's words,
 times its relative weight if a weight column is named. Whole copies are certain.
 For the rest, documents are ranked by their random odds u/(1-u) over their
 inclusion odds p/(1-p) (Pareto order sampling); the sample is the head of that
-order whose words are nearest the source's remaining target, so its size is
-fixed in words. u comes from a digest of doc_id and seed: reruns agree.
+order that fits the source's remaining target, so its size is fixed in words,
+and one document more, the one that comes nearest to the words still missing.
+u comes from a digest of doc_id and seed: reruns agree.
 
 The cut in each source's order is found without sorting the source in one task:
 words are summed over cells of the rank, the cell that holds the cut is split
@@ -30,6 +31,8 @@ from tarnfield.llm.shared import NOT_WS, stored
 
 #: Cells that a source's rank is cut into at each level, and levels.
 CELLS, LEVELS = 1024, 2
+#: A table of sources is broadcast up to this many rows.
+BROADCAST_ROWS = 50_000
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -60,12 +63,17 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return per.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("first_open") * F.col("w")).alias("target"))
 
 
+def _with_source(docs: DataFrame, per_source: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """docs joined with a table of one row for each source: broadcast if its rows are counted to be few, else dealt by source."""
+    few = per_source.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(per_source) if few else per_source.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col(key)), how)
+
+
 def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """sized (doc_id, source, size, rel) with the copies that each document gets."""
-    spark = sized.sparkSession
-    same = sized["source"].eqNullSafe(targets["source"])
+    per = targets.withColumnRenamed("source", "t_source")
     expected = F.least(F.lit(2.0), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("rel"))
-    docs = sized.join(targets, same).drop(targets["source"]).withColumn("e", expected).withColumn("sure", F.floor("e").cast("long"))
+    docs = _with_source(sized, per, "t_source", "inner").drop("t_source").withColumn("e", expected).withColumn("sure", F.floor("e").cast("long"))
     u, p = uniform(F.col("doc_id"), seed), F.col("e") - F.col("sure")
     odds = (u / (1 - u)) * (1 - p) / F.when(p > 0, p)
     # a monotone image of the Pareto rank in [0, 1); inclusion odds of 0 come last
@@ -77,7 +85,7 @@ def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     for _ in range(LEVELS):
         width = width / CELLS
         s = state.withColumnRenamed("source", "s_source")
-        inside = docs.where("rank is not null and size > 0").join(F.broadcast(s), F.col("source").eqNullSafe(F.col("s_source"))).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + width * CELLS))
+        inside = _with_source(docs.where("rank is not null and size > 0"), s, "s_source", "inner").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + width * CELLS))
         cell = F.floor((F.col("rank") - F.col("low")) / width)
         sums = inside.groupBy("source", "low", "left", cell.alias("cell")).agg(F.sum("size").alias("words"))
         so_far = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
@@ -90,15 +98,26 @@ def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
             "cells",
         )
     s = state.withColumnRenamed("source", "s_source")
-    at = docs.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("s_source")), "left")
+    at = _with_source(docs, s, "s_source")
     in_cell = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + width) & (F.col("size") > 0)
     last = at.where(in_cell).select("doc_id", "source", "size", "rank", "left")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = last.withColumn("take", (before + F.col("size") / 2.0 <= F.col("left"))).where("take").select(F.col("doc_id").alias("e_id"), F.col("source").alias("e_source"), F.col("rank").alias("e_rank")).distinct()
-    edge = stored(edge, "edge")
-    chosen = at.join(edge, F.col("doc_id").eqNullSafe(F.col("e_id")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("rank") == F.col("e_rank")), "left")
+    last = last.withColumn("fits", before + F.col("size") <= F.col("left"))
+    edge = stored(last.where("fits").select(F.col("doc_id").alias("e_id"), F.col("source").alias("e_source"), F.col("rank").alias("e_rank"), F.col("size").alias("e_size")), "edge")
+    filled = stored(edge.groupBy("e_source").agg(F.sum("e_size").alias("e_words")), "filled")
+    once = edge.select("e_id", "e_source", "e_rank").distinct()
+    chosen = at.join(once, F.col("doc_id").eqNullSafe(F.col("e_id")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("rank") == F.col("e_rank")), "left")
     extra = F.when((F.col("size") > 0) & ((F.col("rank") < F.col("low")) | F.col("e_rank").isNotNull()), 1).otherwise(0)
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.coalesce(extra, F.lit(0))).alias("copies"))
+    chosen = chosen.withColumn("extra", F.coalesce(extra, F.lit(0))).select("doc_id", "source", "size", "source_size", "target", "sure", "rank", "left", "extra")
+    # the words still missing in each source, and the one document more that comes nearest to them
+    gap = F.col("left") - F.coalesce(F.col("e_words"), F.lit(0))
+    open_ = _with_source(chosen.where("extra = 0 and rank is not null and size > 0"), filled, "e_source")
+    near = F.struct(F.abs(F.col("size") - gap).alias("off"), F.col("rank").alias("r"), F.col("doc_id").alias("c_id"))
+    closing = open_.where(F.abs(F.col("size") - gap) < gap).groupBy("source").agg(F.min(near).alias("c")).select(F.col("source").alias("c_source"), F.col("c.c_id"), F.col("c.r").alias("c_rank"))
+    closing = stored(closing, "closing")
+    out = _with_source(chosen, closing, "c_source")
+    closes = F.coalesce(F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("rank") == F.col("c_rank")) & (F.col("extra") == 0), F.lit(False))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("extra") + closes.cast("int")).alias("copies"))
 
 
 def sized(documents: DataFrame, weight: str | None = None) -> DataFrame:
