@@ -63,8 +63,8 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 # ---------------------------------------------------------------- NumPy over Arrow buffers
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_RNG.integers(1, 2**62, dtype=np.uint64)) * 8 + 5
+BYTE_CODE = _RNG.integers(1, 2**62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = int(_RNG.integers(1, 2**60, dtype=np.uint64)) * 8 + 5
 BASE_INV = pow(BASE, -1, 2**64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
