@@ -126,41 +126,41 @@ def measured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def _between(x: Column, good: tuple[float, float], fair: tuple[float, float]) -> Column:
-    """+1 inside `good`, -1 outside `fair`, 0 between."""
-    return F.when(x.between(*good), 1).when(x.between(*fair), 0).otherwise(-1)
-
-
 def votes() -> dict[str, Column]:
-    """The rules. Ratios are over words or lines; a text without words is bad by every rule."""
+    """The rules. Ratios are over words or lines. Two rules can speak for a text; the others speak
+    against one with a defect and abstain elsewhere. A text without words is bad by every rule."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     lines = F.greatest(F.col("n_lines"), F.lit(1))
-    rules = {
-        "length": F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") >= 20, 0).otherwise(-1),
-        "word_length": _between(F.col("word_chars") / n, (3.0, 9.0), (2.0, 12.0)),
-        "symbols": F.when(F.col("n_symbols") <= 0.01 * n, 1).when(F.col("n_symbols") <= 0.1 * n, 0).otherwise(-1),
-        "repeated_lines": F.when(F.col("n_dup_lines") == 0, 1).when(F.col("n_dup_lines") <= 0.3 * lines, 0).otherwise(-1),
-        "repeated_words": F.when(F.col("n_repeat_words") <= 0.02 * n, 1).when(F.col("n_repeat_words") <= 0.2 * n, 0).otherwise(-1),
-        "letters": F.when(F.col("n_alpha") >= 0.9 * n, 1).when(F.col("n_alpha") >= 0.7 * n, 0).otherwise(-1),
-        "digits": F.when(F.col("n_digits") <= 0.05 * F.col("word_chars"), 1).when(F.col("n_digits") <= 0.2 * F.col("word_chars"), 0).otherwise(-1),
-        "endings": F.when(F.col("n_ends") >= 0.5 * lines, 1).when(F.col("n_ends") >= 0.1 * lines, 0).otherwise(-1),
-        "long_words": F.when(F.col("n_long") == 0, 1).when(F.col("n_long") <= 0.02 * n, 0).otherwise(-1),
+    against = {
+        "word_length": ~(F.col("word_chars") / n).between(2.0, 12.0),
+        "symbols": F.col("n_symbols") > 1.0 * n,
+        "repeated_lines": F.col("n_dup_lines") > 0.5 * lines,
+        "repeated_words": F.col("n_repeat_words") > 0.25 * n,
+        "letters": F.col("n_alpha") < 0.4 * n,
+        "digits": F.col("n_digits") > 0.2 * F.col("word_chars"),
+        "long_words": F.col("n_long") > 0.02 * n,
     }
+    rules = {k: F.when(v, -1).otherwise(0) for k, v in against.items()}
+    rules["length"] = F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") >= 20, 0).otherwise(-1)
+    rules["endings"] = F.when(F.col("n_ends") >= 0.5 * lines, 1).otherwise(0)
     return {k: F.when(F.col("n_words") == 0, -1).otherwise(v).cast("int") for k, v in rules.items()}
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8, strength: float = 10.0) -> tuple[np.ndarray, float, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.7, strength: float = 0.2) -> tuple[np.ndarray, float, np.ndarray]:
     """(posterior of good by pattern, share of good, table[class, rule, vote+1]) of the independent-rules model.
 
-    Starts from rules that are right more often than not; `strength` pseudo-documents hold each
-    rule to that start, so a rule's direction can't be swapped and rules without votes stay put.
+    Starts from rules whose bad votes are rare on good documents and whose good votes say little, as
+    one defect leaves the other rules content; pseudo-documents (`strength` times the
+    documents) hold each rule to that start, so a rule's direction can't be swapped and rules without votes stay put.
     """
     m = patterns.shape[1]
     start = np.zeros((2, m, 3))
-    start[1] = [0.1, 0.3, 0.6]
-    start[0] = [0.6, 0.3, 0.1]
+    speaks_for = (patterns == 1).any(0)
+    start[1] = np.where(speaks_for[:, None], [0.001, 0.199, 0.8], [0.001, 0.994, 0.005])
+    start[0] = np.where(speaks_for[:, None], [0.3, 0.2, 0.5], [0.3, 0.695, 0.005])
     table, share = start.copy(), prior
     weight = counts.astype(float)
+    strength *= max(weight.sum(), 1.0)
     post = np.full(len(patterns), prior)
     for _ in range(rounds):
         logs = [np.log(s) + sum(np.log(table[c, j, patterns[:, j] + 1]) for j in range(m)) for c, s in ((0, 1 - share), (1, share))]
@@ -182,12 +182,14 @@ def verdicts(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = list(votes())
     voted = stored(measured(documents).select("*", *[v.alias(f"vote_{k}") for k, v in votes().items()]), "votes")
     vote_cols = [f"vote_{k}" for k in names]
-    table = voted.groupBy(*vote_cols).count().toPandas()  # at most 3**9 rows
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # documents that the base rules decide say nothing about the rest
+    table = voted.where(~failed).groupBy(*vote_cols).count().toPandas()  # at most 3**9 rows
     post, _, _ = expectation_maximisation(table[vote_cols].to_numpy(int).reshape(-1, len(names)), table["count"].to_numpy())
     spark = documents.sparkSession
     code = lambda f: sum((f(c) + 1) * 3**i for i, c in enumerate(vote_cols))
     rows = [(int(c), float(p)) for c, p in zip(code(lambda c: table[c]), post, strict=True)] if len(table) else []
     posterior = spark.createDataFrame(rows, "pattern long, quality double")
     out = voted.withColumn("pattern", code(F.col).cast("long")).join(F.broadcast(posterior), "pattern", "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "quality", (~failed & (F.col("quality") >= threshold)).alias("kept"))
+    kept = ~failed & F.coalesce(F.col("quality") >= threshold, F.lit(False))
+    return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "quality", kept.alias("kept"))
