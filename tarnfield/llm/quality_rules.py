@@ -146,12 +146,12 @@ def votes() -> dict[str, Column]:
     return {k: F.when(F.col("n_words") == 0, -1).otherwise(v).cast("int") for k, v in rules.items()}
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.7, strength: float = 0.2) -> tuple[np.ndarray, float, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.9, strength: tuple[float, float] = (0.01, 1.0)) -> tuple[np.ndarray, float, np.ndarray]:
     """(posterior of good by pattern, share of good, table[class, rule, vote+1]) of the independent-rules model.
 
     Starts from rules whose bad votes are rare on good documents and whose good votes say little, as
     one defect leaves the other rules content; pseudo-documents (`strength` times the
-    documents) hold each rule to that start, so a rule's direction can't be swapped and rules without votes stay put.
+    documents, for the bad and the good class) hold each rule to that start, so a rule's direction can't be swapped and rules without votes stay put.
     """
     m = patterns.shape[1]
     start = np.zeros((2, m, 3))
@@ -160,16 +160,16 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     start[0] = np.where(speaks_for[:, None], [0.3, 0.2, 0.5], [0.3, 0.695, 0.005])
     table, share = start.copy(), prior
     weight = counts.astype(float)
-    strength *= max(weight.sum(), 1.0)
+    held = [x * max(weight.sum(), 1.0) for x in strength]
     post = np.full(len(patterns), prior)
     for _ in range(rounds):
         logs = [np.log(s) + sum(np.log(table[c, j, patterns[:, j] + 1]) for j in range(m)) for c, s in ((0, 1 - share), (1, share))]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
         for c, r in ((0, 1 - new), (1, new)):
             for v in range(3):
-                table[c, :, v] = ((patterns == v - 1) * (weight * r)[:, None]).sum(0) + strength * start[c, :, v]
+                table[c, :, v] = ((patterns == v - 1) * (weight * r)[:, None]).sum(0) + held[c] * start[c, :, v]
             table[c] /= table[c].sum(1, keepdims=True)
-        share = float(np.clip(((weight * new).sum() + strength * prior) / (weight.sum() + strength), 0.01, 0.99))
+        share = float(np.clip(((weight * new).sum() + held[1] * prior) / (weight.sum() + held[1]), 0.01, 0.99))
         done = np.abs(new - post).max(initial=0.0) < 1e-9
         post = new
         if done:
