@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import line_dedup, mixing, quality_rules
+from tarnfield.llm import line_dedup, mixing, piece_encoding, quality_rules, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -28,10 +28,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_encoding.encode(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_pieces", "piece_score", "exact", "piece_ids")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(_docs(spark, sf_dir, "pages"), min_bytes=100)
+    return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_piece_encoding": op2_piece_encoding,
     "op3_line_dedup": op3_line_dedup,
     "op6_mixing": op6_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,5 +85,13 @@ c as (select source, min(struct_pack(off := abs(size - gap), rank := rank, doc_i
 select x.doc_id, x.size, x.source_size, x.target,
   ((x.sure + x.extra + case when c.c.doc_id = x.doc_id and x.extra = 0 then 1 else 0 end) * x.size)::bigint as taken
 from x left join c on x.source is not distinct from c.source
+""",
+    "op10_warc": r"""
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+o as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, p.payload_digest,
+  case when page_id > o.first and payload_bytes >= 100 then 'revisit' else 'response' end as record_type,
+  case when page_id > o.first and payload_bytes >= 100 then o.first end as refers_to
+from p left join o on p.payload_digest = o.payload_digest
 """,
 }
