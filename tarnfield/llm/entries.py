@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import line_dedup, mixing, piece_encoding, quality_rules, warc
+from tarnfield.llm import line_dedup, mixing, piece_encoding, quality_rules, toxicity, warc
+from tarnfield.llm.shared import crc_mod
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -33,6 +34,14 @@ def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_pieces", "piece_score", "exact", "piece_ids")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), _docs(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = toxicity.trained(docs, labels.select("doc_id", "toxic").where(~held_out))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(_docs(spark, sf_dir, "pages"), min_bytes=100)
     return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -41,6 +50,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_encoding": op2_piece_encoding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_mixing": op6_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
