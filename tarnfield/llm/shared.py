@@ -197,3 +197,24 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return doc[new], h[new]
+
+
+# ---------------------------------------------------------------- blocks of ascending ids
+
+
+def id_bounds(documents: DataFrame, blocks: int) -> list[int]:
+    """At most blocks - 1 ids that cut the table into ranges of about as many rows."""
+    if blocks < 2:
+        return []
+    probs = [i / blocks for i in range(1, blocks)]
+    return sorted({int(x) for x in documents.where("doc_id is not null").select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", probs, 0.25 / blocks)})
+
+
+def ordered_block(doc_id: Column, bounds: list[int]) -> Column:
+    """How many bounds are at most doc_id, by binary search: blocks rise with the id. A null id is in the last block."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when(F.get(table, lo + s - 1) <= doc_id.cast("long"), lo + s).otherwise(lo))
+    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(found)
