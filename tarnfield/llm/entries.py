@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import fingerprints, line_dedup, mixing, piece_encoding, quality_rules, toxicity, warc
+from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, quality_rules, toxicity, warc
 from tarnfield.llm.shared import crc_mod
 
 
@@ -24,6 +24,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_docs(spark, sf_dir), n=4, percent=85)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_docs(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_encoding": op2_piece_encoding,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
