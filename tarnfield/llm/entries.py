@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, quality_rules, toxicity, warc
+from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, quality_rules, suffix_dedup, toxicity, warc
 from tarnfield.llm.shared import crc_mod
 
 
@@ -28,6 +28,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_docs(spark, sf_dir), n=4, percent=85)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(_docs(spark, sf_dir), length=100)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_docs(spark, sf_dir))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
