@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, quality_rules, suffix_dedup, toxicity, warc
+from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, suffix_dedup, toxicity, warc
 from tarnfield.llm.shared import crc_mod
 
 
@@ -43,6 +43,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_docs(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_encoding.encode(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_pieces", "piece_score", "exact", "piece_ids")
@@ -62,6 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_piece_encoding": op2_piece_encoding,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
