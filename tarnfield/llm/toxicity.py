@@ -38,7 +38,8 @@ SAMPLE_DOCS = 2500
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature is toxic from so many toxic texts, so many times the clean texts' share, and so many standard errors.
 SUPPORT, RATIO, SIGMAS = 4, 5.0, 4.0
-EPOCHS, RATE, DECAY = 5, 0.3, 1e-5
+#: Gradient steps at least, one for each pass over a stretch of the sample.
+STEPS, RATE, DECAY = 64, 0.3, 1e-5
 SPAN_THRESHOLD = 0.5
 #: Features of a document that its tags give.
 EVIDENCE = 7
@@ -163,7 +164,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> Model:
     passes = [(w, features(w), toxic[w.first : w.first + w.n_docs]) for w in words(texts)]
     labels, _ = token_labels(passes)
     laid = [Chains(lines(w), len(w.start)) for w, _, _ in passes]
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // max(len(passes), 1))):
         for (_w, f, _), y, chains in zip(passes, labels, laid, strict=True):
             if not len(f):
                 continue
