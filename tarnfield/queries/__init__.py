@@ -1,5 +1,8 @@
 """Queries over the driver's tables, each with the DuckDB SQL it must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from tarnfield.queries import evaluation, text  # noqa: F401
+from tarnfield.queries.registry import ORACLES, QUERIES
+
+FLAGSHIP = QUERIES["season_numbers"]
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
