@@ -14,9 +14,10 @@
 4. The token-group matrix holds each group's union of prefix tokens. A document's
    overlap with another group's union bounds its overlap with each member, so only
    groups with at least k of its tokens are opened; their members that share k
-   prefix tokens are verified exactly. Groups that no document can enter from
-   outside are never opened, so a large group of copies costs one comparison a
-   document.
+   prefix tokens are verified exactly. Tokens that a document has alone lower the
+   bound on both sides: two edited copies of one original, each with its own edits,
+   are told apart by counts. Groups that no document can enter from outside are
+   never opened, so a large group of copies costs one comparison a document.
 
 Every pair of two groups that could reach the threshold is verified, and all pairs
 within a group are linked through it already: the components are exact.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.components import connected
@@ -90,7 +91,7 @@ def prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_rank: np.ndarray) -> DataFrame:
-    """doc_id, size and the prefix tokens of every document."""
+    """doc_id, size and the prefix tokens of every document; n_rare: how many of them are not common, full: whether it has no others that are not."""
     sent = documents.sparkSession.sparkContext.broadcast((hot, hot_rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +104,17 @@ def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_r
                     at = np.minimum(np.searchsorted(common, h.view(np.int64)), len(common) - 1)
                     rank = np.where(common[at] == h.view(np.int64), ranks[at], 0)
                     order = np.lexsort((h, rank, doc))
-                    doc, h = doc[order], h[order]
+                    doc, h, rank = doc[order], h[order], rank[order]
                 size = np.bincount(doc, minlength=w.n_docs)
                 first = np.concatenate([[0], np.cumsum(size)])[:-1]
                 keep = np.arange(len(doc)) - first[doc] < prefix_sizes(size, percent)[doc]
+                rare = np.bincount(doc[rank == 0], minlength=w.n_docs)
+                n_rare = np.bincount(doc[keep & (rank == 0)], minlength=w.n_docs)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=w.n_docs))])
                 tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(size), tokens], names=["doc_id", "size", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(size), pa.array(n_rare), pa.array(rare == n_rare), tokens], names=["doc_id", "size", "n_rare", "full", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, tokens array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, n_rare long, full boolean, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -145,6 +148,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _most(size_a: Column, own_a: Column, size_b: Column, own_b: Column) -> Column:
+    """The largest intersection that two sizes and the tokens that either has alone allow."""
+    return F.least(size_a - own_a, size_b - own_b)
+
+
 def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links."""
     all_rows = stored(_sets(documents, n), "sets")
@@ -159,15 +167,18 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rank = np.log2(np.maximum(table.column("times").to_numpy().astype(float), 1)).astype(np.int64) + 1
     prefixes = _prefixes(documents, n, percent, hot, rank).where("size > 0 and doc_id is not null")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    tokens = prefixes.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "size", F.explode("tokens").alias("token"))
+    tokens = prefixes.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "size", "n_rare", "full", F.posexplode("tokens").alias("pos", "token"))
     tokens = stored(tokens, "tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    meets = tokens.join(shared, "token").select("doc_id", "size", "token", "leader")
+    meets = tokens.join(shared, "token").select("doc_id", "size", "n_rare", "full", (F.col("pos") < F.col("n_rare")).alias("rare"), "token", "leader")
     # too few shared prefix tokens for any partner
     least = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100) / K_SHARE), F.lit(1))
     meets = stored(meets, "meets")
-    alive = meets.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("size").alias("size")).where(F.col("m") >= least).select("doc_id", least.alias("k"))
-    meets = stored(meets.join(alive, "doc_id"), "alive")
+    # tokens of its own: if all rare tokens are in the prefix, those that no other prefix has are in no such document
+    own = F.when(F.first("full"), F.first("n_rare") - F.count_if("rare")).otherwise(0)
+    alive = meets.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("size").alias("size"), own.alias("own"))
+    alive = alive.where((F.col("m") >= least) & (F.col("own") * 100 <= F.col("size") * (100 - percent))).select("doc_id", least.alias("k"), "own")
+    meets = stored(meets.join(alive, "doc_id").select("doc_id", "size", "full", "k", "own", "token", "leader"), "alive")
 
     # a leader for each document
     by_leader = meets.where("leader < doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("m"))
@@ -178,19 +189,23 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     # the token-group matrix, and the groups that a document can have a partner in
     placed = meets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
-    placed = stored(placed.select("doc_id", "size", "k", "token", "g"), "placed")
+    placed = stored(placed.select("doc_id", "size", "full", "own", "k", "token", "g"), "placed")
     open_tokens = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("token")
     placed = stored(placed.join(open_tokens, "token"), "open")
-    matrix = placed.groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    span = placed.groupBy("g").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumnRenamed("g", "to")
-    bound = placed.select("doc_id", "size", "k", "token", "g").join(matrix.select("token", F.col("g").alias("to")), "token").where("g != to")
-    bound = bound.groupBy("doc_id", "to").agg(F.count("*").alias("m"), F.first("k").alias("k"), F.first("size").alias("size")).where("m >= k")
-    fits = (F.col("high") * 100 >= F.col("size") * percent) & (F.col("low") * percent <= F.col("size") * 100)
-    opened = stored(bound.join(span, "to").where(fits).select("doc_id", "to"), "opened")
-    mine = placed.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("k").alias("ka"), "token").join(opened.select(F.col("doc_id").alias("a"), "to"), "a")
-    theirs = placed.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("k").alias("kb"), "token", F.col("g").alias("to"))
-    close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    both = mine.join(theirs, ["token", "to"]).where(close)
+    matrix = placed.groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("own").alias("to_own"), F.bool_and("full").alias("to_full")).withColumnRenamed("g", "to")
+    both_full = F.col("full") & F.col("to_full")
+    most = _most(F.col("size"), F.when(both_full, F.col("own")).otherwise(0), F.col("high"), F.when(both_full, F.col("to_own")).otherwise(0))
+    nearest = F.greatest(F.col("low"), F.least(F.col("high"), most))
+    reach = (100 * most >= percent * (F.col("size") + nearest - most)) & (F.col("high") * 100 >= F.col("size") * percent) & (F.col("low") * percent <= F.col("size") * 100)
+    asks, has = placed.select("doc_id", "size", "full", "own", "k", F.col("token").alias("t"), "g"), matrix
+    bound = asks.join(has, (F.col("t") == F.col("token")) & (F.col("g") != F.col("to")) & reach)
+    opened = stored(bound.groupBy("doc_id", "to").agg(F.count("*").alias("m"), F.first("k").alias("k")).where("m >= k").select("doc_id", "to"), "opened")
+    mine = placed.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("full").alias("full_a"), F.col("own").alias("own_a"), F.col("k").alias("ka"), F.col("token").alias("t")).join(opened.select(F.col("doc_id").alias("a"), F.col("to").alias("g_a")), "a")
+    theirs = placed.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("full").alias("full_b"), F.col("own").alias("own_b"), F.col("k").alias("kb"), "token", F.col("g").alias("to"))
+    full = F.col("full_a") & F.col("full_b")
+    inter = _most(F.col("size_a"), F.when(full, F.col("own_a")).otherwise(0), F.col("size_b"), F.when(full, F.col("own_b")).otherwise(0))
+    close = 100 * inter >= percent * (F.col("size_a") + F.col("size_b") - inter)
+    both = mine.join(theirs, (F.col("t") == F.col("token")) & (F.col("g_a") == F.col("to")) & close)
     pairs = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("way")).agg(F.count("*").alias("m"), F.least(F.first("ka"), F.first("kb")).alias("k")).where("m >= k").select("a", "b").distinct()
     more = _verified(pairs, texts, n, percent)
     final = connected(stored(edges.unionByName(more), "all_edges"))
