@@ -67,7 +67,7 @@ class Tables:
 
 def with_views(sql: str) -> str:
     """sql with the views that it reads as common table expressions."""
-    used = [v for v in VIEWS if re.search(rf"\b(from|join)\s+{v}\b", sql)]
+    used = [v for v in VIEWS if re.search(rf"\b(from|join|,)\s+{v}\b", sql)]
     if not used:
         return sql
     heads = ", ".join(f"{v} as ({re.sub(r'[{}]', '', VIEWS[v])})" for v in used)
