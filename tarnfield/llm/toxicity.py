@@ -23,6 +23,7 @@ columns are ignored by `score` and kept by `reject_toxic`.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnfield.llm.shared import BASE_INV, Words, crc_mod, mix, powers, prefix_hash, words
 
@@ -115,7 +117,7 @@ class Chains:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of FEATURES cells, then the bias
+    weights: np.ndarray  # of FEATURES cells, then the bias; single precision
     trans: np.ndarray
     evidence: np.ndarray  # logistic weights of what evidence() gives
     share: float
@@ -191,6 +193,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> Model:
     inside = toxic.mean()
     beta[0] += logit - np.log(inside / (1 - inside))
     model.evidence = beta
+    model.weights = weights.astype(np.float32)
     return model
 
 
@@ -204,9 +207,16 @@ def trained(documents: DataFrame, labels: DataFrame) -> Model:
     for y in (0, 1):
         part = told.where(F.col("y") == y).orderBy(order, "doc_id").limit(SAMPLE_DOCS)
         sample = part if sample is None else sample.unionByName(part)
-    # at most 2 * SAMPLE_DOCS rows
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toArrow()
-    return fit(rows.column("text").cast(pa.large_string()), rows.column("y").to_numpy().astype(np.int64), share)
+    # at most 2 * SAMPLE_DOCS rows, fitted in one task; the driver gets the model alone
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.lit(0).alias("all"), "doc_id", "text", F.col("y").cast("long").alias("y"))
+
+    def run(told: pa.Table) -> pa.Table:
+        told = told.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        model = fit(told.column("text").cast(pa.large_string()), told.column("y").to_numpy(), share)
+        return pa.table([pa.array([pickle.dumps(model)])], names=["model"])
+
+    got = rows.groupBy("all").applyInArrow(run, "model binary").first()
+    return pickle.loads(bytes(got.model)) if got else fit(pa.array([], pa.large_string()), np.zeros(0, np.int64), share)
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
@@ -214,7 +224,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     docs = documents.select(*keep, "text")
     schema = docs.drop("text").schema.add("score", "double")
     if spans:
-        schema = schema.add("spans", "array<struct<start:long,end:long>>")
+        schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES cells, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
