@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with the DuckDB SQL it must equal."""
 
-from tarnfield.queries import evaluation, retrieval, runs, text  # noqa: F401
+from tarnfield.queries import evaluation, experiments, retrieval, runs, text  # noqa: F401
 from tarnfield.queries.registry import ORACLES, QUERIES
 
-FLAGSHIP = QUERIES["season_numbers"]
+FLAGSHIP = QUERIES["keyword_recall"]
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
