@@ -129,8 +129,8 @@ def season_recap(t: Tables) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("number"), F.col(f"{k}_1").alias("first"), F.col(f"{k}_7").alias("final")) for k in _FOUR])))
 
 
-@query("""with c as (select arm, type, flag, count(*) filter (where correct) as right, count(*) as n from arms group by 1, 2, 3)
-select type, flag, max(case when arm = 1 then round(right / n, 6) end) as arm1, max(case when arm = 2 then round(right / n, 6) end) as arm2, max(case when arm = 3 then round(right / n, 6) end) as arm3 from c group by type, flag""")
+@query("""with c as (select arm, type, flag, count(*) filter (where correct) as hits, count(*) as n from arms group by 1, 2, 3)
+select type, flag, max(case when arm = 1 then round(hits / n, 6) end) as arm1, max(case when arm = 2 then round(hits / n, 6) end) as arm2, max(case when arm = 3 then round(hits / n, 6) end) as arm3 from c group by type, flag""")
 def chart_heatmap(t: Tables) -> DataFrame:
     a = t.arms.where("arm in (1, 2, 3)").groupBy("type", "flag").pivot("arm", [1, 2, 3]).agg(F.round(F.count_if("correct") / F.count(F.lit(1)), 6))
     return a.select("type", "flag", F.col("1").alias("arm1"), F.col("2").alias("arm2"), F.col("3").alias("arm3"))
