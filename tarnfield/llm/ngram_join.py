@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.components import connected
-from tarnfield.llm.shared import mix, shingle_sets, stored, words
+from tarnfield.llm.shared import mix, shingle_sets, stored, tidy, words
 
 #: A token is common from this share of all documents on.
 HOT_SHARE = 0.002
@@ -51,6 +51,7 @@ K_SHARE = 10
 def _sets(documents: DataFrame, n: int) -> DataFrame:
     """doc_id, size and two sums of each set; and rows (token, times) of tokens that are frequent within a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, docs, fresh = np.zeros((0, 2), np.int64), 0, []
 
@@ -94,6 +95,7 @@ def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_r
     """doc_id, size and the prefix tokens of every document; n_rare: how many of them are not common, full: whether it has no others that are not."""
     sent = documents.sparkSession.sparkContext.broadcast((hot, hot_rank))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, ranks = sent.value
         for batch in batches:
@@ -120,6 +122,7 @@ def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_r
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets meet the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):

@@ -9,8 +9,8 @@ Ties go to the longer last piece.
 
 No piece of the vocabulary has a space mark after another character (checked
 when it is loaded), so no piece crosses the end of a word: words are segmented
-apart, and a table of words already seen, emptied when full, saves most of the
-work without changing a result.
+apart, and a bounded table of words already seen saves most of the work without
+changing a result.
 
 Spaces are written as the mark U+2581 and one is put in front, as the
 vocabulary's own settings say; nothing else is normalised. Decoding inverts it
@@ -24,6 +24,7 @@ are independent; extra columns are kept by `encode` and `decode`.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tarnfield.llm.shared import tidy
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO_WORDS = 200_000
+#: Words that each of two tables keeps; the older is dropped when the newer is full.
+MEMO_WORDS = 150_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -82,7 +86,12 @@ class Pieces:
                 self.unknown = i
         self.automaton.make_automaton()
         self.unknown_score = lowest - UNKNOWN_PENALTY
-        self.memo: dict[str, tuple[bytes, float]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # an unknown character's cost is on the first of its byte pieces
+        self.scores = np.array([score if kind == NORMAL else 0.0 for _, score, kind in pieces])
+        for b, i in self.byte_ids.items():
+            self.scores[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown_score
 
     def segment(self, word: str) -> tuple[list[int], float]:
         """Piece ids and score of the best segmentation of one word."""
@@ -119,25 +128,26 @@ class Pieces:
             at = start
         return ids[::-1], best[n]
 
-    def encode(self, text: str) -> tuple[bytes, float]:
-        """int32 piece ids as bytes, and the score."""
+    def encode(self, text: str | None) -> bytes:
+        """int32 piece ids as bytes."""
         if not text:
-            return b"", 0.0
+            return b""
         text = text.replace(" ", MARK)
         words = _WORD.findall(MARK + text) if self.prefix else re.findall(f"^[^{MARK}]+|{MARK}+[^{MARK}]*", text)
-        memo, out, score = self.memo, [], 0.0
+        memo, older, out = self.memo, self.older, []
         for w in words:
             got = memo.get(w)
             if got is None:
-                ids, s = self.segment(w)
-                got = np.array(ids, np.int32).tobytes(), s
+                got = older.get(w)
+                if got is None:
+                    got = array("i", self.segment(w)[0]).tobytes()
                 if len(memo) >= MEMO_WORDS:
-                    memo.clear()
+                    self.older = older = memo
+                    self.memo = memo = {}
                 if len(w) <= 64:
                     memo[w] = got
-            out.append(got[0])
-            score += got[1]
-        return b"".join(out), score
+            out.append(got)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -157,6 +167,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
     schema = T.StructType([*kept, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("piece_score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
     keep = [i for i, f in enumerate(documents.schema.fields) if f.name not in names]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(vocabulary)
         for batch in batches:
@@ -164,13 +175,14 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
                 part = batch.slice(start, 500)
                 texts = part.column(at).to_pylist()
                 got = [p.encode(t) for t in texts]
-                sizes = np.array([len(ids) // 4 for ids, _ in got], np.int64)
-                values = np.frombuffer(b"".join(ids for ids, _ in got), np.int32)
+                sizes = np.array([len(ids) // 4 for ids in got], np.int64)
+                values = np.frombuffer(b"".join(got), np.int32)
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = values.tolist()
                 exact = [p.decode(flat[a:b]) == (t or "").encode("utf-8", "surrogatepass") for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
-                new = [ids, pa.array(sizes), pa.array([s for _, s in got], pa.float64()), pa.array(exact)]
+                score = np.concatenate([[0.0], np.cumsum(p.scores[values])])
+                new = [ids, pa.array(sizes), pa.array(score[bounds[1:]] - score[bounds[:-1]]), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *new], names=schema.names)
 
     return documents.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.shared import BASE_INV, mix, powers, prefix_hash, rolled, stored, words
+from tarnfield.llm.shared import BASE_INV, mix, powers, prefix_hash, rolled, stored, tidy, words
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -118,6 +118,7 @@ def measured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     for c in COUNTS:
         schema = schema.add(c, "long")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = _measure(batch.column(len(keep)))

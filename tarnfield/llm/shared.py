@@ -7,9 +7,14 @@ Python string is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +26,7 @@ WS = "[ \\t-\\r]+"
 NOT_WS = "[^ \\t-\\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised pass works on; a longer text is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,6 +110,35 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def tidy(run: Callable) -> Callable:
+    """run, after which the worker gives unused memory back: Spark keeps workers for tasks of other operators."""
+
+    def released() -> None:
+        _POWERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def streamed(*args):
+            yield from run(*args)
+            released()
+
+        return streamed
+
+    def finished(out: pa.Table) -> pa.Table:
+        released()
+        return out
+
+    # Spark counts a grouped function's parameters
+    if len(inspect.signature(run).parameters) == 2:
+        return lambda left, right: finished(run(left, right))
+    return lambda table: finished(run(table))
+
+
 @dataclass
 class Words:
     """Words of a pass over some texts. doc: index of each word's text within the pass."""

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.shared import BASE_INV, PASS_BYTES, blocks_of, buffers, id_bounds, mix, ordered_block, powers, prefix_hash, stored
+from tarnfield.llm.shared import BASE_INV, PASS_BYTES, blocks_of, buffers, id_bounds, mix, ordered_block, powers, prefix_hash, stored, tidy
 
 LENGTH, ANCHOR = 100, 32
 POSITION = np.uint64(24)
@@ -81,6 +81,7 @@ class Pass:
         body = (self.sums[stop] - self.sums[self.first]) * self.inv[self.first]
         self.body_hash = mix(mix(body) ^ ((stop - self.first).astype(np.uint64) << np.uint64(32)) ^ (anchor - self.first).astype(np.uint64))
 
+    @tidy
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(interval, start) of all windows of some intervals, in order."""
         size = self.last[which] - self.first[which] + 1
@@ -217,6 +218,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None =
     bounds = id_bounds(documents, blocks)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ordered_block(F.col("doc_id"), bounds).cast("int").alias("block"))
 
+    @tidy
     def first_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
@@ -232,6 +234,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None =
             pairs = pairs[np.unique(_joint(pairs[:, 0], pairs[:, 1]), return_index=True)[1]]
             yield from _table(_deal(b, buckets, pairs[:, 0], pairs[:, 1]), PACKET_NAMES, PACKET_TYPES).to_batches()
 
+    @tidy
     def windows(docs_table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs_table, answers, length)
         out = []
@@ -242,6 +245,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None =
         rows = _deal(number, buckets, np.unique(np.concatenate(out))) if out else []
         return _table([(*r, None) for r in rows], PACKET_NAMES, PACKET_TYPES)
 
+    @tidy
     def removed(docs_table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs_table, answers, length)
         n = block.docs.num_rows

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfield.llm.shared import BASE_INV, Words, crc_mod, mix, powers, prefix_hash, words
+from tarnfield.llm.shared import BASE_INV, Words, crc_mod, mix, powers, prefix_hash, tidy, words
 
 FEATURES = 1 << 20
 SAMPLE_DOCS = 2500
@@ -210,6 +210,7 @@ def trained(documents: DataFrame, labels: DataFrame) -> Model:
     # at most 2 * SAMPLE_DOCS rows, fitted in one task; the driver gets the model alone
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.lit(0).alias("all"), "doc_id", "text", F.col("y").cast("long").alias("y"))
 
+    @tidy
     def run(told: pa.Table) -> pa.Table:
         told = told.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         model = fit(told.column("text").cast(pa.large_string()), told.column("y").to_numpy(), share)
@@ -227,6 +228,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
         schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES cells, whatever the input
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:

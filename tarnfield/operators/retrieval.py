@@ -56,16 +56,17 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 def filled_top_k(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """top_k where chunks without a score rank with 0, lowest positions first.
 
-    chunks: pos and what `allowed` reads; queries: query_id and what it reads. Only the k lowest allowed
-    positions of each query can matter among the unscored, so queries x chunks is never built beyond
-    the chunks that fill: for each query at most k + (its negative or zero scores) rows are ranked.
+    chunks: pos and what `allowed` reads; queries: query_id and what it reads. Queries that k chunks with a
+    positive score reach need no filling; only the others are set against the positions, of which each
+    task keeps the k lowest.
     """
     pairs = scores.join(chunks, "pos").join(F.broadcast(queries), "query_id")
     if allowed is not None:
         pairs = pairs.where(allowed)
     pairs = pairs.select("query_id", "pos", "score")
-    # fill from the lowest allowed positions: k of them suffice, plus those already scored among them
-    by_group = chunks.join(F.broadcast(queries))
+    reached = pairs.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = queries.join(reached, "query_id", "left_anti")
+    by_group = chunks.join(F.broadcast(short))
     if allowed is not None:
         by_group = by_group.where(allowed)
     low = Window.partitionBy("query_id").orderBy("pos")
