@@ -9,7 +9,7 @@ from tarnfield.functions import text as X
 from tarnfield.queries.registry import Tables, query
 
 WS = r"[ \t\n\x0B\f\r]+"
-_NORM = "lower(trim(trim(trim(regexp_replace({0}, '" + WS + "', ' ', 'g')), '*_`''\"#.:,;!?()[]')))"
+_NORM = "lower(trim(trim(trim(regexp_replace({0}, '" + WS + "', ' ', 'g')), ' \"''`*_()[]{{}}<>.,;:!?')))"
 
 
 def _n(x: str) -> str:
@@ -55,8 +55,8 @@ _REPLY = "concat('Thinking of it.', chr(10), case when turn % 3 = 0 then '**ANSW
 
 
 @query(rf"""with r as (select conv_id, turn, {_REPLY} as reply from conversations),
-m as (select conv_id, turn, list_filter(string_split(reply, chr(10)), lambda x: regexp_matches(x, '^[\s*_#>-]*ANSWER[\s*_]*:'))[-1] as last from r)
-select conv_id, turn, nullif(trim(regexp_replace(last, '^[\s*_#>-]*ANSWER[\s*_]*:', ''), ' *_`'), '') as answer from m""")
+m as (select conv_id, turn, regexp_replace(list_filter(string_split(reply, chr(10)), lambda x: regexp_matches(x, '(?i)^[\s>*_`#\-]*answer\s*[:=]\s*'))[-1], '(?i)^[\s>*_`#\-]*answer\s*[:=]\s*', '') as v from r)
+select conv_id, turn, nullif({_n('v')}, '') as answer from m""")
 def parse_answer(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", X.parse_answer(F.expr(_REPLY)).alias("answer"))
 
@@ -86,47 +86,46 @@ def cited_passages(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_join(c.cast("array<string>"), " ").alias("cited"))
 
 
-@query(r"""select doc_id, regexp_matches(text, '(?i)(not found|does not (say|contain)|no information|cannot (find|answer))') as not_found from documents""")
+@query("select doc_id, regexp_matches(text, '" + X.NOT_FOUND.replace("'", "''") + "') as not_found from documents")
 def not_found_phrase(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.col("text").rlike(X.NOT_FOUND).alias("not_found"))
 
 
-@query("""select conv_id, turn, case when trim(text) = '' then 'unanswered' when contains(lower(replace(text, '’', '''')), 'stupid') or contains(lower(replace(text, '’', '''')), 'not aware') then 'flagged' else 'treated as real' end as label from conversations""")
-def label_response(t: Tables) -> DataFrame:
-    x = F.lower(F.replace(F.col("text"), F.lit("’"), F.lit("'")))
-    flags = F.exists(F.array(F.lit("stupid"), F.lit("not aware")), lambda p: F.contains(x, p))
-    return t.conversations.select("conv_id", "turn", F.when(F.trim("text") == "", "unanswered").when(flags, "flagged").otherwise("treated as real").alias("label"))
+_FLAG_LIST = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in X.FLAGS) + "]"
 
 
-#: Function words by language.
-FRENCH = ["le", "la", "les", "de", "des", "du", "et", "un", "une", "dans", "que", "est", "pour"]
-ENGLISH = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "with", "on"]
+@query(f"""with s as (select conv_id, turn, text, trim(regexp_replace(lower(translate(text, '’‘', '''''')), '{WS}', ' ', 'g')) as t from conversations)
+select conv_id, turn, case when trim(text) = '' then 'unanswered' when len(list_filter({_FLAG_LIST}, lambda p: contains(t, p))) > 0 then 'flagged' else 'treated as real' end as label from s""")
+def label_response(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", F.when(F.trim("text") == "", "unanswered").when(F.size(X.flags(F.col("text"))) > 0, "flagged").otherwise("treated as real").alias("label"))
 
 
 @query(rf"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}]+') as w from documents),
-c as (select doc_id, len(list_filter(w, lambda x: list_contains({FRENCH}, x))) as f, len(list_filter(w, lambda x: list_contains({ENGLISH}, x))) as e from w)
+c as (select doc_id, len(list_filter(w, lambda x: list_contains({X.FRENCH}, x))) as f, len(list_filter(w, lambda x: list_contains({X.ENGLISH}, x))) as e from w)
 select doc_id, f >= 3 and f > e as is_french from c""")
 def is_french(t: Tables) -> DataFrame:
     w = F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}]+)"), F.lit(1))
-    c = t.documents.select("doc_id", F.size(F.filter(w, lambda x: x.isin(FRENCH))).alias("f"), F.size(F.filter(w, lambda x: x.isin(ENGLISH))).alias("e"))
+    c = t.documents.select("doc_id", F.size(F.filter(w, lambda x: x.isin(X.FRENCH))).alias("f"), F.size(F.filter(w, lambda x: x.isin(X.ENGLISH))).alias("e"))
     return c.select("doc_id", ((F.col("f") >= 3) & (F.col("f") > F.col("e"))).alias("is_french"))
 
 
-@query(r"""with a as (select lower(regexp_replace(split_part(text, ' ', 1), '[\p{P}\s]+$', '')) as answer, conv_id * 1000 + turn as ord from conversations)
+@query(r"""with a as (select regexp_replace(lower(trim(split_part(text, ' ', 1))), '[\p{P}\s]+$', '') as answer, conv_id * 1000 + turn as ord from conversations)
 select answer, count(*) as n, min(ord) as first_seen from a group by answer""")
 def distinct_counts(t: Tables) -> DataFrame:
-    a = F.lower(F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(1)), "[\\p{P}\\s]+$", ""))
+    a = X.final_answer(F.split_part("text", F.lit(" "), F.lit(1)))
     return t.conversations.select(a.alias("answer"), F.expr("conv_id * 1000 + turn").alias("ord")).groupBy("answer").agg(F.count("*").alias("n"), F.min("ord").alias("first_seen"))
 
 
-@query(r"select conv_id, turn, lower(regexp_replace(text, '[\p{P}\s]+$', '')) as answer from conversations")
+@query(r"select conv_id, turn, regexp_replace(lower(trim(text)), '[\p{P}\s]+$', '') as answer from conversations")
 def normalise_answer(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", F.lower(F.regexp_replace("text", "[\\p{P}\\s]+$", "")).alias("answer"))
+    return t.conversations.select("conv_id", "turn", X.final_answer(F.col("text")).alias("answer"))
 
 
-@query("""select event_id, case when event_type = 'error' then 'rejected' when props is null or props = '' then 'empty' when value < 10 then 'ignored' else 'accepted' end as kind from events""")
+@query("""select event_id, case when event_type = 'error' then 'rejected' when event_id % 3 = 0 then 'accepted, no temperature echoed' when event_id % 3 = 1 then 'accepted and applied' else 'accepted but not applied' end as kind from events""")
 def classify_probe(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.when(F.col("event_type") == "error", "rejected").when(F.col("props").isNull() | (F.col("props") == ""), "empty").when(F.col("value") < 10, "ignored").otherwise("accepted").alias("kind"))
+    echoed = F.when(F.col("event_id") % 3 == 1, F.lit(0.5)).when(F.col("event_id") % 3 == 2, F.lit(1.0))
+    kind = F.when(F.col("event_type") == "error", "rejected").when(echoed.isNull(), "accepted, no temperature echoed").when(echoed == 0.5, "accepted and applied").otherwise("accepted but not applied")
+    return t.events.select("event_id", kind.alias("kind"))
 
 
 @query("""select doc_id, case when (length(text) - length(replace(text, n, ''))) / length(n) = 1 then instr(text, n) - 1 end as start, (length(text) - length(replace(text, n, ''))) // length(n) as times
@@ -188,7 +187,8 @@ def strip_between_markers(t: Tables) -> DataFrame:
 
 @query("""with q as (select conv_id, turn, case when turn % 3 = 0 then '' else concat('1. ', split_part(text, ' ', 1), chr(10), '- ', split_part(text, ' ', 2), chr(10), '* ', split_part(text, ' ', 1), chr(10), chr(10), split_part(text, ' ', 4), chr(10), split_part(text, ' ', 5)) end as reply, text from conversations),
 l as (select conv_id, turn, text, list_filter(list_transform(string_split(reply, chr(10)), lambda x: trim(x, ' -*0123456789.')), lambda x: x <> '') as parts from q),
-o as (select conv_id, turn, text, list_transform(list_sort(list_distinct(list_transform(parts, lambda x: printf('%06d', list_position(parts, x)))) ), lambda x: parts[x::int])[1:3] as kept from l)
+f as (select conv_id, turn, text, parts[1:3] as first from l),
+o as (select conv_id, turn, text, [first[i] for i in range(1, len(first) + 1) if list_position(first, first[i]) = i] as kept from f)
 select conv_id, turn, array_to_string(case when len(kept) > 0 then kept else [text] end, '|') as queries from o""")
 def parse_queries(t: Tables) -> DataFrame:
     reply = F.expr("case when turn % 3 = 0 then '' else concat('1. ', split_part(text, ' ', 1), chr(10), '- ', split_part(text, ' ', 2), chr(10), '* ', split_part(text, ' ', 1), chr(10), chr(10), split_part(text, ' ', 4), chr(10), split_part(text, ' ', 5)) end")
