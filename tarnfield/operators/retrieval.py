@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tarnfield.functions.text import words
 
@@ -26,9 +27,15 @@ class KeywordIndex:
 
     def __init__(self, chunks: DataFrame):
         terms = chunks.select("pos", F.explode(words(F.col("text"))).alias("term"))
-        self.postings = terms.groupBy("term", "pos").agg(F.count("*").alias("tf"))
-        self.lengths = chunks.select("pos", F.size(words(F.col("text"))).cast("long").alias("dl"))
-        self.totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        # texts are split once: everything else is counted from the kept postings
+        self.postings = terms.groupBy("term", "pos").agg(F.count("*").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.lengths = self.postings.groupBy("pos").agg(F.sum("tf").alias("dl"))
+        tokens = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        self.totals = chunks.agg(F.count("*").alias("n")).join(tokens).select("n", (F.col("tokens") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
+
+    def close(self) -> None:
+        """Lets the kept postings go."""
+        self.postings.unpersist()
 
     def idf(self) -> DataFrame:
         """term, idf (Okapi): terms in more than half of all chunks get a share of the mean idf instead of a negative one."""
@@ -63,7 +70,7 @@ def filled_top_k(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: in
     pairs = scores.join(chunks, "pos").join(F.broadcast(queries), "query_id")
     if allowed is not None:
         pairs = pairs.where(allowed)
-    pairs = pairs.select("query_id", "pos", "score")
+    pairs = pairs.select("query_id", "pos", "score").persist(StorageLevel.MEMORY_AND_DISK)  # read three times below
     reached = pairs.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = queries.join(reached, "query_id", "left_anti")
     by_group = chunks.join(F.broadcast(short))
