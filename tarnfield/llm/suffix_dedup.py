@@ -89,7 +89,14 @@ class Pass:
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return interval, self.first[interval] + offset
 
+    def slim(self) -> Pass:
+        """Without the running sums, which are eight times the text; they are made again if windows are asked for."""
+        self.sums = self.inv = None
+        return self
+
     def window_hash(self, start: np.ndarray) -> np.ndarray:
+        if self.sums is None:
+            self.sums, self.inv = prefix_hash(self.data), powers(BASE_INV, len(self.data) + 1)
         return mix((self.sums[start + self.length] - self.sums[start]) * self.inv[start] + np.uint64(0x7F4A7C15))
 
 
@@ -190,15 +197,13 @@ class Block:
         self.keys, self.flags = keys[order], flags[order]
         self.held = np.sort(np.concatenate([x for k, x, _ in told if k == 1] or [np.zeros(0, np.uint64)]))
 
-    def passes(self) -> Iterator[Pass]:
-        return _passes(self.data, self.offsets, self.length)
-
-    def intervals(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each pass: (interval is a repeat as a whole, its windows must be looked at)."""
-        sizes, joint = [], []
-        for p in self.passes():
+    def intervals(self) -> list[tuple[Pass, np.ndarray, np.ndarray]]:
+        """(pass, whether each of its intervals is a repeat as a whole, whether its windows must be looked at)."""
+        sizes, joint, passes = [], [], []
+        for p in _passes(self.data, self.offsets, self.length):
             sizes.append(len(p.first))
             joint.append(_joint(p.anchor_hash, p.body_hash))
+            passes.append(p.slim())
         keys = np.concatenate(joint) if joint else np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         flags = np.where(self.keys[at] == keys, self.flags[at], 0) if len(self.keys) else np.zeros(len(keys), np.uint8)
@@ -207,7 +212,7 @@ class Block:
         whole = ((flags & EARLIER) > 0) | again
         look = ~whole & ((flags & MIXED) > 0)
         cuts = np.cumsum(sizes)[:-1]
-        return list(zip(np.split(whole, cuts), np.split(look, cuts), strict=True)) if sizes else []
+        return list(zip(passes, np.split(whole, cuts), np.split(look, cuts), strict=True)) if sizes else []
 
 
 def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None = None) -> DataFrame:
@@ -238,9 +243,10 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None =
     def windows(docs_table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs_table, answers, length)
         out = []
-        for p, (_, look) in zip(block.passes(), block.intervals(), strict=True):
+        for p, _, look in block.intervals():
             if look.any():
                 out.append(p.window_hash(p.windows(np.flatnonzero(look))[1]))
+            p.slim()
         number = (docs_table if docs_table.num_rows else answers).column("block")[0].as_py()
         rows = _deal(number, buckets, np.unique(np.concatenate(out))) if out else []
         return _table([(*r, None) for r in rows], PACKET_NAMES, PACKET_TYPES)
@@ -257,7 +263,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None =
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 marks[text[a]].append(start[a:b])
 
-        for p, (whole, look) in zip(block.passes(), block.intervals(), strict=True):
+        for p, whole, look in block.intervals():
             if whole.any():
                 interval, start = p.windows(np.flatnonzero(whole))
                 part = p.part[interval]
@@ -266,6 +272,7 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None =
                 interval, start = p.windows(np.flatnonzero(look))
                 part = p.part[interval]
                 looked.append((p.text[part], start + p.shift[part], p.window_hash(start)))
+                p.slim()
         if looked:
             text, start, h = (np.concatenate(x) for x in zip(*looked, strict=True))
             repeat = np.ones(len(h), bool)
