@@ -11,8 +11,9 @@
 3. Classes that share prefix tokens are first compared with one leader each, the
    smallest id of a token's documents that they meet most often; exact verification
    of these pairs and connected components give groups of similar documents.
-4. The token-group matrix holds each group's union of prefix tokens. A document's
-   overlap with another group's union bounds its overlap with each member, so only
+4. The token-group matrix holds each group's union of prefix tokens. A document looks
+   for groups by its prefix tokens without the k - 1 most frequent, and its overlap
+   with a group's union bounds its overlap with each member, so only
    groups with at least k of its tokens are opened; their members that share k
    prefix tokens are verified exactly. Tokens that a document has alone lower the
    bound on both sides: two edited copies of one original, each with its own edits,
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.components import connected
@@ -112,6 +113,8 @@ def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_r
                 keep = np.arange(len(doc)) - first[doc] < prefix_sizes(size, percent)[doc]
                 rare = np.bincount(doc[rank == 0], minlength=w.n_docs)
                 n_rare = np.bincount(doc[keep & (rank == 0)], minlength=w.n_docs)
+                # the lowest bit tells whether a token is rare, the same for all documents
+                h = (h & ~np.uint64(1)) | (rank == 0).astype(np.uint64)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=w.n_docs))])
                 tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(size), pa.array(n_rare), pa.array(rare == n_rare), tokens], names=["doc_id", "size", "n_rare", "full", "tokens"])
@@ -170,18 +173,18 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rank = np.log2(np.maximum(table.column("times").to_numpy().astype(float), 1)).astype(np.int64) + 1
     prefixes = _prefixes(documents, n, percent, hot, rank).where("size > 0 and doc_id is not null")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    tokens = prefixes.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "size", "n_rare", "full", F.posexplode("tokens").alias("pos", "token"))
-    tokens = stored(tokens, "tokens")
+    prefixes = stored(prefixes.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
+    facts = prefixes.select("doc_id", "size", "n_rare", "full")
+    tokens = prefixes.select("doc_id", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    meets = tokens.join(shared, "token").select("doc_id", "size", "n_rare", "full", (F.col("pos") < F.col("n_rare")).alias("rare"), "token", "leader")
+    meets = stored(tokens.join(shared, "token"), "meets")
     # too few shared prefix tokens for any partner
     least = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100) / K_SHARE), F.lit(1))
-    meets = stored(meets, "meets")
     # tokens of its own: if all rare tokens are in the prefix, those that no other prefix has are in no such document
-    own = F.when(F.first("full"), F.first("n_rare") - F.count_if("rare")).otherwise(0)
-    alive = meets.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("size").alias("size"), own.alias("own"))
-    alive = alive.where((F.col("m") >= least) & (F.col("own") * 100 <= F.col("size") * (100 - percent))).select("doc_id", least.alias("k"), "own")
-    meets = stored(meets.join(alive, "doc_id").select("doc_id", "size", "full", "k", "own", "token", "leader"), "alive")
+    own = F.when(F.col("full"), F.col("n_rare") - F.col("rare")).otherwise(0)
+    alive = meets.groupBy("doc_id").agg(F.count("*").alias("m"), F.sum(F.col("token").bitwiseAND(F.lit(1))).alias("rare")).join(facts, "doc_id").withColumn("own", own)
+    alive = alive.where((F.col("m") >= least) & (F.col("own") * 100 <= F.col("size") * (100 - percent))).select("doc_id", "size", "full", least.alias("k"), "own")
+    meets = stored(meets.join(alive, "doc_id").select("doc_id", "size", "full", "k", "own", "token", "n", "leader"), "alive")
 
     # a leader for each document
     by_leader = meets.where("leader < doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("m"))
@@ -192,7 +195,7 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     # the token-group matrix, and the groups that a document can have a partner in
     placed = meets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
-    placed = stored(placed.select("doc_id", "size", "full", "own", "k", "token", "g"), "placed")
+    placed = stored(placed.select("doc_id", "size", "full", "own", "k", "token", "n", "g"), "placed")
     open_tokens = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("token")
     placed = stored(placed.join(open_tokens, "token"), "open")
     matrix = placed.groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("own").alias("to_own"), F.bool_and("full").alias("to_full")).withColumnRenamed("g", "to")
@@ -200,8 +203,12 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     most = _most(F.col("size"), F.when(both_full, F.col("own")).otherwise(0), F.col("high"), F.when(both_full, F.col("to_own")).otherwise(0))
     nearest = F.greatest(F.col("low"), F.least(F.col("high"), most))
     reach = (100 * most >= percent * (F.col("size") + nearest - most)) & (F.col("high") * 100 >= F.col("size") * percent) & (F.col("low") * percent <= F.col("size") * 100)
-    asks, has = placed.select("doc_id", "size", "full", "own", "k", F.col("token").alias("t"), "g"), matrix
-    bound = asks.join(has, (F.col("t") == F.col("token")) & (F.col("g") != F.col("to")) & reach)
+    # of k shared tokens one is left when the k - 1 most frequent are set aside: only the others look for groups
+    common_first = Window.partitionBy("doc_id").orderBy(F.desc("n"), "token")
+    asks = placed.withColumn("place", F.row_number().over(common_first)).where(F.col("place") >= F.col("k"))
+    asks = asks.select("doc_id", "size", "full", "own", F.col("token").alias("t"), "g")
+    near = asks.join(matrix, (F.col("t") == F.col("token")) & (F.col("g") != F.col("to")) & reach).select("doc_id", "to").distinct()
+    bound = placed.select("doc_id", "k", F.col("token").alias("t")).join(stored(near, "near").withColumnRenamed("to", "of"), "doc_id").join(matrix, (F.col("t") == F.col("token")) & (F.col("of") == F.col("to")))
     opened = stored(bound.groupBy("doc_id", "to").agg(F.count("*").alias("m"), F.first("k").alias("k")).where("m >= k").select("doc_id", "to"), "opened")
     mine = placed.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("full").alias("full_a"), F.col("own").alias("own_a"), F.col("k").alias("ka"), F.col("token").alias("t")).join(opened.select(F.col("doc_id").alias("a"), F.col("to").alias("g_a")), "a")
     theirs = placed.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("full").alias("full_b"), F.col("own").alias("own_b"), F.col("k").alias("kb"), "token", F.col("g").alias("to"))
