@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnfield.llm.shared import tidy
+from tarnfield.llm.shared import CACHES, small_batches, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -159,6 +159,9 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+CACHES[__name__] = pieces.cache_clear
+
+
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
     """documents with piece_ids, n_pieces, piece_score, and exact: whether the ids decode to the text."""
     at = documents.columns.index(text)
@@ -185,6 +188,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
                 new = [ids, pa.array(sizes), pa.array(score[bounds[1:]] - score[bounds[:-1]]), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *new], names=schema.names)
 
+    small_batches(documents.sparkSession)
     return documents.mapInArrow(run, schema)
 
 

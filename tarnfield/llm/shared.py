@@ -27,6 +27,9 @@ NOT_WS = "[^ \\t-\\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised pass works on; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
+BATCH_ROWS = 2000
+#: Paths of working tables, in the order they were asked for.
+WORK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,13 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: texts are long, and a batch is held in both the JVM and Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarnfield/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/tarnfield/{uuid.uuid4().hex}/{name}"
+    WORK.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes working tables that nothing reads any more, in whatever file system they are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(conf).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -110,11 +131,23 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What empties a cache that an operator keeps in a worker for its own later tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def forget(user: str) -> None:
+    """Empties the worker's caches but for those of the module `user`."""
+    _POWERS.clear()
+    for owner, empty in CACHES.items():
+        if owner != user:
+            empty()
+
+
 def tidy(run: Callable) -> Callable:
     """run, after which the worker gives unused memory back: Spark keeps workers for tasks of other operators."""
 
     def released() -> None:
-        _POWERS.clear()
+        forget(run.__module__)
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
