@@ -8,11 +8,14 @@ encoding: texts become piece ids.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.llm import line_dedup, mixing, ngram_join, piece_encoding, toxicity
-from tarnfield.llm.shared import stored
+from tarnfield.llm.shared import WORK, remove, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +39,30 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select("doc_id", "source", "n_pieces", "piece_score", "exact", "piece_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+_LEFT: list[str] = []
+
+
+def _tidied(stage: Callable) -> Callable:
+    """stage, before which the working tables of the stage before it go: its result has been written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _LEFT)
+        _LEFT.clear()
+        before = len(WORK)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(WORK[before:])
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("ngram_join", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("piece_encoding", encode_pieces),
+    ("toxicity", _tidied(drop_toxic)),
+    ("line_dedup", _tidied(drop_repeated_lines)),
+    ("ngram_join", _tidied(drop_near_duplicates)),
+    ("mixing", _tidied(mix_sources)),
+    ("piece_encoding", _tidied(encode_pieces)),
 ]
 
 #: The chain's training and the piece vocabulary are outside SQL; tests hold the stages against brute force.
