@@ -134,16 +134,16 @@ def votes() -> dict[str, Column]:
     lines = F.greatest(F.col("n_lines"), F.lit(1))
     against = {
         "word_length": ~(F.col("word_chars") / n).between(2.0, 12.0),
-        "symbols": F.col("n_symbols") > 1.0 * n,
-        "repeated_lines": F.col("n_dup_lines") > 0.5 * lines,
+        "symbols": F.col("n_symbols") > 0.1 * n,
+        "repeated_lines": F.col("n_dup_lines") > 0.3 * lines,
         "repeated_words": F.col("n_repeat_words") > 0.25 * n,
-        "letters": F.col("n_alpha") < 0.4 * n,
+        "letters": F.col("n_alpha") < 0.7 * n,
         "digits": F.col("n_digits") > 0.2 * F.col("word_chars"),
         "long_words": F.col("n_long") > 0.02 * n,
     }
     rules = {k: F.when(v, -1).otherwise(0) for k, v in against.items()}
     rules["length"] = F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") >= 20, 0).otherwise(-1)
-    rules["endings"] = F.when(F.col("n_ends") >= 0.5 * lines, 1).otherwise(0)
+    rules["endings"] = F.when(F.col("n_ends") >= 0.5 * lines, 1).when(F.col("n_ends") >= 0.1 * lines, 0).otherwise(-1)
     return {k: F.when(F.col("n_words") == 0, -1).otherwise(v).cast("int") for k, v in rules.items()}
 
 

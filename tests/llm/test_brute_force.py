@@ -179,6 +179,16 @@ def test_expectation_maximisation_finds_the_defect():
     del rng
 
 
+def test_defects_are_voted_against(spark):
+    rng = random.Random(3)
+    prose = {i: " ".join(rng.choices(WORDS, k=60)) + "." for i in range(400)}
+    few = {1000 + i: prose[i].replace(" ", " | ", 20) for i in range(20)}  # 0.25 symbols a word
+    bare = {2000 + i: " ".join("--" if j % 5 > 2 and j < 59 else w for j, w in enumerate(prose[20 + i].split(" "))) for i in range(20)}  # a letter in 0.62 of the words
+    got = {r.doc_id: r for r in quality_rules.verdicts(frame(spark, prose | few | bare)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i in prose) and not any(got[i].kept for i in few | bare)
+
+
 def best_score(word, pieces, unknown):
     best = [0.0] + [-1e30] * len(word)
     for e in range(1, len(word) + 1):
