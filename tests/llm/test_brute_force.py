@@ -249,6 +249,41 @@ def test_predictive_probabilities_add_up(spark):
     assert known + max(unseen) == pytest.approx(1.0, abs=1e-6)
 
 
+def test_word_order_counts(spark):
+    rng = random.Random(13)
+    follows = {w: rng.sample(WORDS, 2) for w in WORDS}
+    docs = {}
+    for i in range(300):
+        ws = [rng.choice(WORDS)]
+        while len(ws) < 40:
+            ws.append(rng.choice(follows[ws[-1]]))
+        docs[i] = " ".join(ws)
+    held = [i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0]
+    mixed = {}
+    for i in held:
+        for j in range(1000, 10**6):
+            if j not in mixed and j % 300 == i and zlib.crc32(str(j).encode()) % 10 == 0:
+                mixed[j] = " ".join(rng.sample(docs[i].split(" "), 40))
+                break
+    got = {r.doc_id: r.score for r in pitman_yor.score(frame(spark, docs | mixed)).collect()}
+    assert all(got[i] > got[j] + 10 for j in mixed for i in [j % 300])
+
+
+def test_contexts_share_out_all_probability(spark):
+    docs = frame(spark, corpus(12, 60))
+    from pyspark.sql import functions as F
+
+    training = F.col("doc_id") % 2 == 0
+    counted = sh.stored(pitman_yor.vocabulary(docs, training, []), "v")
+    rows, d = pitman_yor.seated_pairs(pitman_yor.pairs(docs, training, []), counted)
+    rows = sh.stored(rows, "s")
+    own = {r.prev: r.own for r in rows.groupBy("prev").agg(F.sum("own").alias("own")).collect()}
+    vocab = pitman_yor.with_contexts(counted, rows).where("c > 0").collect()
+    assert len(own) == len(vocab) and all(r.c >= r.k > 0 for r in vocab)
+    # customers less discounts, and what discounts leave to the word restaurant, are all customers
+    assert all(own[r.h] + d * r.t == pytest.approx(r.c) for r in vocab)
+
+
 def toxic_corpus(seed):
     rng = random.Random(seed)
     docs, toxic = {}, {}
