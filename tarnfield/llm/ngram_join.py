@@ -25,7 +25,8 @@ within a group are linked through it already: the components are exact.
 
 Defined results: null, empty and wordless texts have an empty set and are linked
 with nothing, themselves excepted. A text of fewer than n words is one shingle.
-Rows of equal doc_id are one document of which the largest set counts. A null
+Rows of equal doc_id are one document of which the largest set counts (among sets of
+one size, the one of the largest sums), in the component of which all its rows are. A null
 doc_id is left out of links and returned as its own null component. Extra columns
 are ignored by `components` and kept by `one_of_each`.
 """
@@ -47,6 +48,14 @@ HOT_SHARE = 0.002
 #: A task names a token as perhaps common from this share of its documents on, and from so many.
 HOT_LOCAL, HOT_LEAST = 0.001, 8
 K_SHARE = 10
+S1, S2 = 0x51ED, 0xA2C3
+
+
+def _sums(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """The first sum of each set; doc only rises."""
+    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(S1)), dtype=np.uint64)])
+    at = np.searchsorted(doc, np.arange(n_docs + 1))
+    return (s[at[1:]] - s[at[:-1]]).view(np.int64)
 
 
 def _sets(documents: DataFrame, n: int) -> DataFrame:
@@ -66,7 +75,7 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
             for w in words(batch.column(1)):
                 doc, h = shingle_sets(w, n)
                 size.append(np.bincount(doc, minlength=w.n_docs))
-                for out, salt in ((a, 0x51ED), (b, 0xA2C3)):
+                for out, salt in ((a, S1), (b, S2)):
                     s = np.zeros(w.n_docs, np.uint64)
                     np.add.at(s, doc, mix(h + np.uint64(salt)))
                     out.append(s.view(np.int64))
@@ -102,6 +111,7 @@ def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_r
         for batch in batches:
             for w in words(batch.column(1)):
                 doc, h = shingle_sets(w, n)
+                s1 = _sums(doc, h, w.n_docs)
                 rank = np.zeros(len(h), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h.view(np.int64)), len(common) - 1)
@@ -117,28 +127,30 @@ def _prefixes(documents: DataFrame, n: int, percent: int, hot: np.ndarray, hot_r
                 h = (h & ~np.uint64(1)) | (rank == 0).astype(np.uint64)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=w.n_docs))])
                 tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(size), pa.array(n_rare), pa.array(rare == n_rare), tokens], names=["doc_id", "size", "n_rare", "full", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(size), pa.array(s1), pa.array(n_rare), pa.array(rare == n_rare), tokens], names=["doc_id", "size", "s1", "n_rare", "full", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, n_rare long, full boolean, tokens array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, s1 long, n_rare long, full boolean, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold."""
+    """The pairs (a, b) whose whole sets meet the threshold; texts whose set is not the one that counts are left out."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                keys, sizes = [], []
+                keys, sizes, sums = [], [], []
                 for c in (2, 3):
                     docs, hs = [], []
-                    size = []
+                    size, s1 = [], []
                     for w in words(part.column(c)):
                         doc, h = shingle_sets(w, n)
                         docs.append(doc + w.first)
                         hs.append(h)
                         size.append(np.bincount(doc, minlength=w.n_docs))
+                        s1.append(_sums(doc, h, w.n_docs))
+                    sums.append(np.concatenate(s1) == part.column(c + 2).to_numpy())
                     keys.append((np.concatenate(docs), np.concatenate(hs)))
                     sizes.append(np.concatenate(size))
                 doc, h = np.concatenate([keys[0][0], keys[1][0]]), np.concatenate([keys[0][1], keys[1][1]])
@@ -146,12 +158,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 doc, h = doc[order], h[order]
                 same = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
                 inter = np.bincount(doc[1:][same], minlength=len(part))
-                ok = (100 * inter >= percent * (sizes[0] + sizes[1] - inter)) & (inter > 0)
+                ok = (100 * inter >= percent * (sizes[0] + sizes[1] - inter)) & (inter > 0) & sums[0] & sums[1]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("s1").alias("sa"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("s1").alias("sb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _most(size_a: Column, own_a: Column, size_b: Column, own_b: Column) -> Column:
@@ -165,15 +177,17 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     sets = all_rows.where("token is null").select("doc_id", "size", "s1", "s2")
     n_docs = sets.count()
     # the smallest id of each class; ids are pre-aggregated before the shuffle
-    classes = stored(sets.where("size > 0 and doc_id is not null").groupBy("size", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    one = sets.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("size", "s1", "s2")).alias("x")).select("doc_id", "x.*")
+    one = stored(one, "one")
+    classes = stored(one.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     common = all_rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= max(HOT_SHARE * n_docs, HOT_LEAST))
     # at most (mean set size) / HOT_SHARE rows
     table = common.orderBy("token").toArrow()
     hot = table.column("token").to_numpy().astype(np.int64)
     rank = np.log2(np.maximum(table.column("times").to_numpy().astype(float), 1)).astype(np.int64) + 1
     prefixes = _prefixes(documents, n, percent, hot, rank).where("size > 0 and doc_id is not null")
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    prefixes = stored(prefixes.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
+    reps = classes.select(F.col("rep").alias("doc_id"), "size", "s1")
+    prefixes = stored(prefixes.join(reps, ["doc_id", "size", "s1"], "left_semi").dropDuplicates(["doc_id"]), "prefixes")
     facts = prefixes.select("doc_id", "size", "n_rare", "full")
     tokens = prefixes.select("doc_id", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
@@ -189,7 +203,7 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     # a leader for each document
     by_leader = meets.where("leader < doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("m"))
     best = by_leader.groupBy("doc_id").agg(F.max(F.struct("m", (-F.col("leader")).alias("l"))).alias("x")).select((-F.col("x.l")).alias("a"), F.col("doc_id").alias("b"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(reps, "doc_id", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(reps.select("doc_id", "s1"), "doc_id")
     edges = stored(_verified(best, texts, n, percent), "leader_edges")
     groups = connected(edges)
 
@@ -220,7 +234,8 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     more = _verified(pairs, texts, n, percent)
     final = connected(stored(edges.unionByName(more), "all_edges"))
 
-    member = sets.where("doc_id is not null").join(classes, ["size", "s1", "s2"], "left").select("doc_id", "size", "rep")
+    ids = one.join(classes, ["size", "s1", "s2"], "left").select("doc_id", "rep")
+    member = sets.where("doc_id is not null").join(ids, "doc_id").select("doc_id", "size", "rep")
     member = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     nulls = sets.where("doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return member.unionByName(nulls)

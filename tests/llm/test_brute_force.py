@@ -79,6 +79,16 @@ def test_jaccard_components(spark, seed):
     assert got == {i: (len(sets[i]), top(i)) for i in docs}
 
 
+def test_rows_of_one_id_count_once(spark):
+    rng = random.Random(21)
+    short, long = (rng.choices(WORDS, k=k) for k in (90, 120))
+    near = lambda ws: " ".join([*ws[:-1], "edited"])
+    rows = [(1, " ".join(short)), (1, " ".join(long)), (10, " ".join(short)), (11, near(short)), (12, near(long))]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(docs).collect())
+    assert got == [(1, 87, 1), (1, 117, 1), (10, 87, 10), (11, 87, 10), (12, 117, 1)]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_repeated_strings_go(spark, seed):
     docs = corpus(seed, 60)
