@@ -18,7 +18,9 @@ exactly for any text without that mark.
 
 Defined results: a null or empty text has no pieces and decodes to the empty
 text. A mark U+2581 in the text decodes to a space, and `exact` is false. Rows
-are independent; extra columns are kept by `encode` and `decode`.
+are independent. Extra columns are kept by `encode` and `decode`; columns that have
+the names of the results are replaced. The vocabulary file is read by the driver and
+sent to the executors.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnfield.llm.shared import CACHES, small_batches, tidy
+from tarnfield.llm.shared import CACHES, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -48,12 +50,11 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 class Pieces:
     """The automaton, and the tables of a vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model.ParseFromString(content)
         self.prefix = model.normalizer_spec.add_dummy_prefix
         pieces = [(p.piece, p.score, p.type) for p in model.pieces]
         self._load(pieces)
@@ -155,8 +156,13 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(content: bytes) -> Pieces:
+    return Pieces(content)
+
+
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 CACHES[__name__] = pieces.cache_clear
@@ -166,13 +172,15 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
     """documents with piece_ids, n_pieces, piece_score, and exact: whether the ids decode to the text."""
     at = documents.columns.index(text)
     names = ["piece_ids", "n_pieces", "piece_score", "exact"]
-    kept = [f for f in documents.schema.fields if f.name not in names]
+    kept = [f for f in documents.schema.fields if f.name.lower() not in names]
     schema = T.StructType([*kept, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("piece_score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
-    keep = [i for i, f in enumerate(documents.schema.fields) if f.name not in names]
+    keep = [i for i, f in enumerate(documents.schema.fields) if f.name.lower() not in names]
+
+    sent = documents.sparkSession.sparkContext.broadcast(read(vocabulary))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(vocabulary)
+        p = pieces(sent.value)
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
@@ -188,19 +196,20 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
                 new = [ids, pa.array(sizes), pa.array(score[bounds[1:]] - score[bounds[:-1]]), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *new], names=schema.names)
 
-    small_batches(documents.sparkSession)
     return documents.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """encoded with the text of its piece ids; bytes that are no UTF-8 become U+FFFD."""
     at = encoded.columns.index(ids)
-    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
+    keep = [i for i, f in enumerate(encoded.schema.fields) if f.name.lower() != out.lower()]
+    schema = T.StructType([*(encoded.schema.fields[i] for i in keep), T.StructField(out, T.StringType())])
+    sent = encoded.sparkSession.sparkContext.broadcast(read(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(vocabulary)
+        p = pieces(sent.value)
         for batch in batches:
             texts = [p.decode(x or []).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

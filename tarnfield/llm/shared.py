@@ -12,6 +12,7 @@ import ctypes
 import functools
 import gc
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,20 +34,36 @@ BATCH_ROWS = 2000
 WORK: list[str] = []
 
 
+#: While a working table is written: Arrow batches of few rows, as texts are long and a batch is held in both the JVM
+#: and Python; and shuffle files that go when the write is done, as nothing reads them again.
+WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where neither is set, one process that is driver and executor alike makes a folder of its own; a cluster must name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tarnfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnfield-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from now on: texts are long, and a batch is held in both the JVM and Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+@contextlib.contextmanager
+def set_for(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, which are as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -65,12 +83,29 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    small_batches(spark)
     path = work_path(spark, name)
-    df.write.parquet(path)
+    with set_for(spark, WHILE_WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df stored; the working tables asked for since WORK had `since` entries go, as df needs them no more."""
+    out = stored(df, name)
+    gone = WORK[since:-1]
+    remove(df.sparkSession, gone)
+    del WORK[since:-1]
+    return out
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no column of that name (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. Texts of ASCII only take the JVM's fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -266,6 +301,38 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
+# ---------------------------------------------------------------- packed arrays
+
+
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as byte planes under Zstandard; rising ones as differences."""
+    x = np.ascontiguousarray(x)
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unpacked(b: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches laid together, or cut, to batches of about `rows` rows."""
+    held, n = [], 0
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            part = batch.slice(a, rows)
+            held.append(part)
+            n += len(part)
+            if n >= rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 # ---------------------------------------------------------------- blocks of ascending ids
 
 

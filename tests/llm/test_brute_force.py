@@ -251,12 +251,55 @@ def test_predictive_probabilities_add_up(spark):
     docs = frame(spark, corpus(12, 60))
     from pyspark.sql import functions as F
 
-    vocab = sh.stored(pitman_yor.vocabulary(docs, F.col("doc_id") % 2 == 0, []), "v")
-    model = pitman_yor.fitted(vocab)
-    rows = pitman_yor.word_scores(vocab, model).select("c", "log_p").collect()
-    known = sum(10**r.log_p for r in rows if r.c > 0)
-    unseen = {round(10**r.log_p, 12) for r in rows if r.c == 0} or {0.0}
-    assert known + max(unseen) == pytest.approx(1.0, abs=1e-6)
+    vocab = sh.stored(pitman_yor.vocabulary(pitman_yor.blocks(docs, F.col("doc_id") % 2 == 0), 3), "v")
+    rows = pitman_yor.word_samples(vocab, pitman_yor.fitted(vocab)).collect()
+    for i in range(pitman_yor.SAMPLES):
+        unseen = {round(r.p[i], 12) for r in rows if r.c == 0} or {0.0}
+        assert sum(r.p[i] for r in rows if r.c > 0) + max(unseen) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_seating_follows_the_exact_conditional():
+    # p(t) is proportional to S(c, t) * prod(base * (theta + d * (others + i))), S(c + 1, t) = S(c, t - 1) + (c - t * d) * S(c, t)
+    d, theta, n = 0.6, pitman_yor.CONCENTRATION, 40_000
+    for c, base, others in ((2, 0.05, 30), (5, 0.1, 20), (9, 0.02, 100), (12, 0.3, 2)):
+        row = np.zeros(c + 2)
+        row[0] = 1.0
+        for k in range(c):
+            row = np.concatenate([[0], row[:-1]]) + np.maximum(k - np.arange(c + 2) * d, 0 if k else 0) * row
+        want = np.array([row[t] * np.prod([base * (theta + d * (others + i)) for i in range(t)]) for t in range(1, c + 1)])
+        want /= want.sum()
+        f = lambda x: np.full(n, float(x))
+        t = pitman_yor.gibbs(f(c), f(base), f(others), d, theta, np.arange(n).astype(np.uint64), 3).astype(int)
+        got = np.bincount(t, minlength=c + 1)[1:] / n
+        assert np.abs(got - want).sum() < 0.02, (c, got, want)
+
+
+def test_contexts_over_all_blocks_equal_one_restaurant(spark, monkeypatch):
+    """A dozen tokens: counts, tables of the first state and scores against plain Python, however the texts lie in blocks."""
+    from pyspark.sql import functions as F
+
+    texts = {1: "a b a b", 2: "a b c", 3: "b a", 4: "a c", 5: "", 6: "a b d"}
+    rows = [(i, t, "s") for i, t in texts.items()]
+    training = F.col("doc_id") < 5
+    out = []
+    for parts, size in ((1, 10**6), (4, 3)):
+        monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", size)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out.append({r.doc_id: (r.n_tokens, r.n_known, r.score) for r in pitman_yor.score(docs, training).collect()})
+        of_blocks = pitman_yor.blocks(docs, training)
+        vocab = sh.stored(pitman_yor.vocabulary(of_blocks, 3), "v")
+        assert {r.word: r.c for r in vocab.collect()} == {"a": 5, "b": 4, "c": 2, "": 4, "d": 0}
+        answers = sh.stored(pitman_yor.pair_counts(of_blocks, 3), "p")
+        first = sh.stored(pitman_yor.first_tables(of_blocks, answers, vocab, 3), "f")
+        seated = {r.word: r for r in pitman_yor.seated_contexts(of_blocks, answers.unionByName(first), vocab, 3, 15, 0.5).collect()}
+        pairs = Counter(p for i, t in texts.items() if i < 5 for p in zip(["", *t.split()], [*t.split(), ""], strict=True))
+        for w, r in seated.items():
+            kinds, heads = ([p for p in pairs if p[k] == w] for k in (0, 1))
+            assert len(kinds) <= r.t <= sum(pairs[p] for p in kinds) and len(heads) <= r.k <= sum(pairs[p] for p in heads)
+        assert sum(r.t for r in seated.values()) == sum(r.k for r in seated.values())
+    assert set(out[0]) == set(out[1]) == set(texts)
+    for i in texts:
+        assert out[0][i][:2] == out[1][i][:2] and out[0][i][2] == pytest.approx(out[1][i][2])
 
 
 def test_word_order_counts(spark):
@@ -279,21 +322,6 @@ def test_word_order_counts(spark):
     assert all(got[i] > got[j] + 10 for j in mixed for i in [j % 300])
 
 
-def test_contexts_share_out_all_probability(spark):
-    docs = frame(spark, corpus(12, 60))
-    from pyspark.sql import functions as F
-
-    training = F.col("doc_id") % 2 == 0
-    counted = sh.stored(pitman_yor.vocabulary(docs, training, []), "v")
-    rows, d = pitman_yor.seated_pairs(pitman_yor.pairs(docs, training, []), counted)
-    rows = sh.stored(rows, "s")
-    own = {r.prev: r.own for r in rows.groupBy("prev").agg(F.sum("own").alias("own")).collect()}
-    vocab = pitman_yor.with_contexts(counted, rows).where("c > 0").collect()
-    assert len(own) == len(vocab) and all(r.c >= r.k > 0 for r in vocab)
-    # customers less discounts, and what discounts leave to the word restaurant, are all customers
-    assert all(own[r.h] + d * r.t == pytest.approx(r.c) for r in vocab)
-
-
 def toxic_corpus(seed):
     rng = random.Random(seed)
     docs, toxic = {}, {}
