@@ -180,9 +180,13 @@ def all_pairs_mcnemar(t: Tables) -> DataFrame:
     return _every_pair(t).select("arm1", "arm2", "b", "c", F.round(S.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
 
 
-@query(f"""with {_ALL}, m as (select arm1, arm2, round({_MCNEMAR_SQL}, 6) as p from s),
- r as (select *, least(1.0, (count(*) over () - row_number() over (order by p, arm1, arm2) + 1) * p) as step from m)
-select arm1, arm2, p, round(max(step) over (order by p, arm1, arm2 rows between unbounded preceding and current row), 6) as adjusted from r""")
+#: Common table expressions that end in h: arm1, arm2, p and adjusted.
+HOLM_SQL = f"""{_ALL}, m as (select arm1, arm2, round({_MCNEMAR_SQL}, 6) as p from s),
+ r as (select *, least(1.0, (count(*) over () - row_number() over (order by p, arm1, arm2) + 1) * p) as step from m),
+ h as (select arm1, arm2, p, round(max(step) over (order by p, arm1, arm2 rows between unbounded preceding and current row), 6) as adjusted from r)"""
+
+
+@query(f"with {HOLM_SQL} select arm1, arm2, p, adjusted from h")
 def holm(t: Tables) -> DataFrame:
     p = _every_pair(t).select("arm1", "arm2", F.round(S.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
     return S.holm(p, "p", "adjusted", "arm1", "arm2").withColumn("adjusted", F.round("adjusted", 6))

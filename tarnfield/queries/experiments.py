@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.functions import bpe
+from tarnfield.operators import chunking as C
 from tarnfield.operators import experiments as E
 from tarnfield.operators import retrieval as R
 from tarnfield.plans import pipeline as P
-from tarnfield.queries.registry import Tables, query
+from tarnfield.queries.evaluation import HOLM_SQL
+from tarnfield.queries.registry import QUERIES, Tables, query
 from tarnfield.queries.retrieval import _BM25, _allowed, _chunks, _index, _queries, _ranked
 
 
@@ -20,8 +23,20 @@ def batches(t: Tables) -> DataFrame:
 @query()
 def bootstrap_tau(t: Tables) -> DataFrame:
     board = {a: float((a * 5) % 7) for a in range(1, 8)}
-    out = E.bootstrap_tau(t.arms.select("item_id", "arm", F.col("correct").alias("hit")), board, 200)
-    return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    out = E.bootstrap_tau(t.arms.select("item_id", "arm", F.col("correct").alias("hit")), board)
+    return t.spark.createDataFrame([(out["tau_b"], out["low"], out["high"])], "tau_b double, low double, high double")
+
+
+@query(f"""with recursive {HOLM_SQL}, o as (select arm, count(*) filter (where correct) as score, row_number() over (order by count(*) filter (where correct) desc, arm) as i from arms group by arm),
+apart as (select arm1 as a1, arm2 as a2 from h where adjusted < 0.05 union all select arm2, arm1 from h where adjusted < 0.05),
+w as (select 1::bigint as i, [arm] as heads from o where i = 1
+ union all select o.i, case when (select count(*) from apart where a1 = o.arm and list_contains(w.heads, a2)) = len(w.heads) then list_append(w.heads, o.arm) else w.heads end from w join o on o.i = w.i + 1),
+hd as (select unnest(heads) as head, generate_subscripts(heads, 1) as tier from (select heads from w order by i desc limit 1))
+select o.arm as model, o.score, min(hd.tier)::bigint as tier from o join hd on not exists (select 1 from apart where a1 = o.arm and a2 = hd.head) group by 1, 2""")
+def tiers(t: Tables) -> DataFrame:
+    scores = t.arms.groupBy(F.col("arm").alias("model")).agg(F.count_if("correct").alias("score"))
+    pairs = QUERIES["holm"](t.spark, t.sf_dir).select(F.col("arm1").alias("model1"), F.col("arm2").alias("model2"), F.col("adjusted").alias("p"))
+    return E.tiers(scores, pairs)
 
 
 @query()
@@ -31,7 +46,19 @@ def sentence_boundaries(t: Tables) -> DataFrame:
 
 @query()
 def insert_fact(t: Tables) -> DataFrame:
-    return E.per_text(t.benchmark, "item_id", "text", lambda x: E.insert_at(x, "The lamp is on the pier.", 50), "text", "string")
+    """A sentence put in half way through a filler of at most 40 tokens that ends with a sentence."""
+    make = lambda b, i, x: [(i, E.insert_at(E.trimmed(x, min(40, b.count(x)), b), "The lamp is on the pier.", 50, b))]
+    return bpe.each_text(t.benchmark, "item_id", "text", make, "item_id long, text string")
+
+
+@query()
+def bpe_token_counts(t: Tables) -> DataFrame:
+    return bpe.token_counts(t.documents, "doc_id")
+
+
+@query()
+def chunk_bpe_windows(t: Tables) -> DataFrame:
+    return C.bpe_windows(t.documents, 256, 32)
 
 
 @query()

@@ -71,8 +71,8 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     heads = ", ".join(f"{v} as ({re.sub(r'[{}]', '', VIEWS[v])})" for v in used)
-    body = re.sub(r"^\s*with\s", "", sql, count=1) if re.match(r"\s*with\s", sql) else None
-    return f"with {heads}, {body}" if body is not None else f"with {heads} {sql}"
+    start = re.match(r"\s*with\s+(recursive\s+)?", sql)
+    return f"{start[0]}{heads}, {sql[start.end():]}" if start else f"with {heads} {sql}"
 
 
 def query(sql: str | None = None) -> Callable:

@@ -195,14 +195,68 @@ def parse_queries(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_join(X.parse_queries(reply, F.col("text")), "|").alias("queries"))
 
 
-@query("""with r as (select event_id, concat('Best: ', cast(event_id % 7 as varchar), ', then ', cast(event_id % 3 as varchar), ' and ', cast(event_id % 11 as varchar), ' or ', cast(event_id % 3 as varchar)) as reply from events),
-n as (select event_id, list_filter(list_transform(regexp_extract_all(reply, '\\d+'), lambda x: x::int), lambda x: x < 6) as named from r),
+_ORDER = "concat('Best: ', cast(event_id % 8 as string), ', then ', cast(event_id % 3 as string), ' and ', cast(event_id % 11 as string), ' or ', cast(event_id % 3 as string))"
+
+
+@query(f"""with r as (select event_id, {_ORDER} as reply from events),
+n as (select event_id, list_filter(list_transform(regexp_extract_all(reply, '\\d+'), lambda x: x::int - 1), lambda x: x >= 0 and x < 6) as named from r),
 u as (select event_id, unnest(named) as p, unnest(range(len(named))) as place from n union all select event_id, unnest(range(6))::int, 100 + unnest(range(6)) from n),
 f as (select event_id, p, min(place) as place from u group by event_id, p)
 select event_id, string_agg(p::varchar, ' ' order by place) as ordering from f group by event_id""")
 def parse_llm_order(t: Tables) -> DataFrame:
-    reply = F.expr("concat('Best: ', cast(event_id % 7 as string), ', then ', cast(event_id % 3 as string), ' and ', cast(event_id % 11 as string), ' or ', cast(event_id % 3 as string))")
-    return t.events.select("event_id", F.array_join(X.parse_order(reply, F.lit(6)).cast("array<string>"), " ").alias("ordering"))
+    return t.events.select("event_id", F.array_join(X.parse_order(F.expr(_ORDER), F.lit(6)).cast("array<string>"), " ").alias("ordering"))
+
+
+@query(f"select conv_id, turn, {_n('text')} = {_n("concat(' *', upper(split_part(text, ' ', 1)), '. ')")} as same from conversations")
+def exact_match(t: Tables) -> DataFrame:
+    expected = F.concat(F.lit(" *"), F.upper(F.split_part("text", F.lit(" "), F.lit(1))), F.lit(". "))
+    return t.conversations.select("conv_id", "turn", X.exact_match(F.col("text"), expected).alias("same"))
+
+
+_CHECK = """case event_id % 5 when 0 then concat('```json', chr(10), '{"answers": true, "n": ', cast(event_id as string), '}', chr(10), '```')
+ when 1 then '{"answers": false}' when 2 then '{"answers": "true"}' when 3 then '[true]' else 'yes' end"""
+
+
+@query(f"select event_id, case event_id % 5 when 0 then true when 1 then false end as answers from (select event_id, {_CHECK} as reply from events)")
+def parse_check(t: Tables) -> DataFrame:
+    return t.events.select("event_id", X.parse_check(F.expr(_CHECK)).alias("answers"))
+
+
+_QUOTE = """case conv_id % 4 when 0 then concat('"', array_to_string(string_split(text, ' ')[2:7], ' '), '"') when 1 then array_to_string(string_split(text, ' ')[1:2], ' ')
+ when 2 then concat(' ', split_part(text, ' ', 1), ' is not in any article at all') else text end"""
+
+
+@query(f"""with r as (select conv_id, turn, concat(text, ' ', case when conv_id % 8 = 0 then text else '' end) as article, {_QUOTE} as reply from conversations),
+q as (select conv_id, turn, article, trim(trim(trim(reply, ' ' || chr(9) || chr(10) || chr(13)), '"'), '“”') as quote from r)
+select conv_id, turn, case when len(list_filter(string_split_regex(quote, '\\s+'), lambda w: w <> '')) < 4 then 'too few words' when not contains(article, quote) then 'not in the article'
+ when (length(article) - length(replace(article, quote, ''))) // length(quote) > 1 then 'more than once' when contains(quote, chr(10)) then 'more than one line' end as broken from q""")
+def broken_quote(t: Tables) -> DataFrame:
+    article = F.expr("concat(text, ' ', case when conv_id % 8 = 0 then text else '' end)")
+    words = F.split("text", " ")
+    reply = (
+        F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit('"'), F.array_join(F.slice(words, 2, 6), " "), F.lit('"')))
+        .when(F.col("conv_id") % 4 == 1, F.array_join(F.slice(words, 1, 2), " "))
+        .when(F.col("conv_id") % 4 == 2, F.concat(F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" is not in any article at all")))
+        .otherwise(F.col("text"))
+    )
+    return t.conversations.select("conv_id", "turn", X.broken_quote(article, reply).alias("broken"))
+
+
+@query(r"""with a as (select item_id, text, instr(text, split_part(text, ' ', 6)) - 1 as place from benchmark),
+b as (select item_id, text, place, substr(text, 1, place) as head, substr(text, place + 1) as tail from a),
+c as (select *, length(regexp_extract(head, '^(?s:.*)([.!?]\s+|
+)', 0)) as start, regexp_extract(tail, '^(?s:.*?)([.!?](\s|$)|
+)', 0) as rest, regexp_extract(tail, '^(?s:.*?)([.!?](\s|$)|
+)', 1) as edge from b)
+select item_id, start::bigint as start, (place + case when rest = '' then length(tail) when regexp_matches(edge, '\s$') then length(rest) - 1 else length(rest) end)::bigint as stop from c""")
+def sentence_around(t: Tables) -> DataFrame:
+    at = F.expr("instr(text, split_part(text, ' ', 6)) - 1")
+    return t.benchmark.select("item_id", X.sentence_around(F.col("text"), at).alias("s")).select("item_id", "s.*")
+
+
+@query("select p_partkey, case when p_size = 1 then '1 day' else concat(cast(p_size as varchar), ' days') end as value from part")
+def value_text(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", X.value_text(F.lit("{n} days"), F.col("p_size")).alias("value"))
 
 
 @query("""select item_id, bool_and(contains(lower(text), lower(v))) as code_check from (select item_id, text, unnest([split_part(text, ' ', 1), split_part(text, ' ', 2)]) as v from benchmark) group by item_id""")

@@ -57,7 +57,22 @@ def test_citation_ranges(spark):
 
 
 def test_order_reply(spark):
-    assert one(spark, X.parse_order(F.lit("2 then 0, 2, 9"), F.lit(4))) == [2, 0, 1, 3]
+    # passages are numbered from 1 in the prompt, positions from 0
+    assert one(spark, X.parse_order(F.lit("3 then 1, 3, 0, 9"), F.lit(4))) == [2, 0, 1, 3]
+    assert one(spark, X.parse_order(F.lit("none"), F.lit(0))) == []
+
+
+def test_checks_and_quotes(spark):
+    fence = "`" * 3
+    assert one(spark, X.parse_check(F.lit(f'{fence}json\n{{"answers": true}}\n{fence}'))) is True
+    assert one(spark, X.parse_check(F.lit('{"answers": 1}'))) is None and one(spark, X.parse_check(F.lit("true"))) is None
+    article = F.lit("It floats. The lamp has two bulbs. It floats.\nThe end of it")
+    assert one(spark, X.broken_quote(article, F.lit(' "The lamp has two bulbs." '))) is None
+    assert one(spark, X.broken_quote(article, F.lit("The lamp has nine bulbs."))) == "not in the article"
+    text = "One here. Two is there! Three\nFour"
+    for at, want in ((2, "One here."), (12, "Two is there!"), (26, "Three"), (31, "Four")):
+        s = one(spark, X.sentence_around(F.lit(text), F.lit(at)))
+        assert text[s.start : s.stop] == want
 
 
 @pytest.mark.parametrize(("n", "want"), [(0, [(0, 0)]), (5, [(0, 5)]), (10, [(0, 8), (6, 10)]), (16, [(0, 8), (6, 14), (12, 16)])])
@@ -66,9 +81,45 @@ def test_windows(spark, n, want):
     assert [(r.first, r.stop) for r in C.fixed_windows(d, 8, 2).orderBy("first").collect()] == want
 
 
-def test_sections_cover_the_text_and_merge_empty_headings():
-    text = "before\n# A\n## B\nbody of b\n\nmore\n# C\n" + "word " * 30
-    got = C.sections(text, 12)
-    assert got[0] == (0, 7, [])
-    assert got[1][2] == ["A", "B"] and text[got[1][0] :].startswith("# A")
-    assert [a for a, _, _ in got[1:]] == [b for _, b, _ in got[:-1]] and got[-1][1] == len(text)
+def test_sections_cover_the_text_and_merge_empty_headings(spark):
+    from tarnfield.functions import bpe
+
+    texts = {1: "before\n# A\n## B\nbody of b\n\nmore\n# C\n" + "word " * 30, 2: "", 3: "plain", 4: "# T\n### deep\nx\n## up \ny\n# last", 5: "\n\n## first\nz"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.start, r.stop, r.headings) for r in C.sections(docs).collect()), key=lambda r: r[:3])
+    by = {d: [(texts[d][a:b], h) for i, a, b, h in rows if i == d] for d in texts}
+    assert by[1] == [("before\n", []), ("# A\n## B\nbody of b\n\nmore\n", ["A", "B"]), ("# C\n" + "word " * 30, ["C"])]
+    assert by[2] == [] and by[3] == [("plain", [])] and by[5] == [("\n\n## first\nz", ["first"])]
+    assert by[4] == [("# T\n### deep\nx\n", ["T", "deep"]), ("## up \ny\n", ["T", "up"]), ("# last", ["last"])]
+    b = bpe.Bpe(bpe.read(), bpe.PATTERN)
+    got = sorted((r.doc_id, r.chunk_no, r.start, r.stop) for r in C.structure_chunks(docs, 12).collect())
+    for d, text in texts.items():
+        mine = [(a, z) for i, _, a, z in got if i == d]
+        assert "".join(text[a:z] for a, z in mine) == text and all(b.count(text[a:z]) <= 12 for a, z in mine)
+        assert [n for i, n, _, _ in got if i == d] == list(range(len(mine)))
+
+
+def test_byte_pair_windows_hold_whole_characters(spark):
+    from tarnfield.functions import bpe
+
+    b = bpe.Bpe(bpe.read(), bpe.PATTERN)
+    for text in ("", "one two three four five six seven", "日本語のテキスト 🙂🙃 ende", "a" * 50):
+        low, high = b.bounds(text)
+        assert len(low) == b.count(text) + 1 and high[-1] == len(text)
+        for size, overlap in ((3, 0), (4, 2), (100, 7)):
+            got = b.windows(text, size, overlap)
+            want = []
+            for first in range(0, max(len(low) - 1, 1), size - overlap):
+                last = min(first + size, len(low) - 1)
+                want.append((low[first], high[last]))
+                if last == len(low) - 1:
+                    break
+            assert got == want
+
+
+def test_word_chunks_are_slices(spark):
+    text = "a bb  ccc dddd e"
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    got = C.word_chunks(docs, 2).orderBy("doc_id", "chunk_no").collect()
+    assert all(r.text == {1: text, 2: ""}[r.doc_id][r.start : r.stop] for r in got)
+    assert [(r.start, r.stop) for r in got if r.doc_id == 1] == [(0, 4), (5, 9), (10, 16)]

@@ -128,20 +128,36 @@ def test_packing_closes_before_it_overflows():
     assert E.pack([5, 5, 5, 20, 1, 1], 2, 10) == [0, 0, 1, 2, 3, 3]
 
 
-def test_tiers_and_tau():
-    assert E.tiers({"a": 3, "b": 2, "c": 1}, {frozenset("ac"), frozenset("bc")}) == [["a", "b"], ["c"]]
+def test_tiers_and_tau(spark):
     import numpy as np
 
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 9):
+        scores = {f"m{i}": int(x) for i, x in enumerate(rng.integers(0, 5, n))}
+        apart = {frozenset((a, b)) for a in scores for b in scores if a < b and rng.random() < 0.5}
+        left, want = sorted(scores, key=lambda m: (-scores[m], m)), {}
+        while left:
+            mine = {m for m in left if m == left[0] or frozenset((left[0], m)) not in apart}
+            want |= dict.fromkeys(mine, max(want.values(), default=0) + 1)
+            left = [m for m in left if m not in mine]
+        pairs = [(b, a, 0.01 if frozenset((a, b)) in apart else 0.5) for a in scores for b in scores if a < b]
+        got = E.tiers(spark.createDataFrame(list(scores.items()), "model string, score long"), spark.createDataFrame(pairs, "model1 string, model2 string, p double"))
+        assert {r.model: r.tier for r in got.collect()} == want
     assert E.tau_b(np.array([1, 2, 3]), np.array([1, 2, 3])) == 1.0 and E.tau_b(np.array([1, 1]), np.array([1, 2])) == 0.0
 
 
 def test_bootstrap_surrounds_tau(spark):
-    rows = [(i, a, (i * 7 + a * 3) % 10 < a + 2) for i in range(300) for a in range(1, 6)]
-    hits = spark.createDataFrame(rows, "item_id long, arm int, hit boolean")
-    r = E.bootstrap_tau(hits, {a: float(a) for a in range(1, 6)}, 100).first()
-    assert 0.5 < r.low <= r.high <= 1.0
-    total = hits.where(F.col("hit")).count()
-    assert total > 0
+    import numpy as np
+
+    hit = {(i, a): (i * 7 + a * 3 + i * i % 5) % 10 < a + 2 for i in range(60) for a in range(1, 6)}
+    hits = spark.createDataFrame([(*k, v) for k, v in hit.items()], "item_id long, arm int, hit boolean")
+    board = {a: float(a * 3 % 5) for a in range(1, 6)}
+    r = E.bootstrap_tau(hits, board)
+    matrix, x = np.array([[hit[i, a] for a in range(1, 6)] for i in range(60)], int), np.array([board[a] for a in range(1, 6)])
+    rng = np.random.default_rng(1)
+    draws = [E.tau_b(x, matrix[rng.integers(0, 60, 60)].sum(0)) for _ in range(2000)]
+    assert r["tau_b"] == round(E.tau_b(x, matrix.sum(0)), 4)
+    assert abs(r["low"] - np.percentile(draws, 2.5)) < 0.12 and abs(r["high"] - np.percentile(draws, 97.5)) < 0.12
 
 
 def test_sentences_and_changed_values():
@@ -150,3 +166,8 @@ def test_sentences_and_changed_values():
     assert E.changed_value("pay 30 days after", "pay 45 days after") == ("30", "45")
     assert E.changed_value("It is 24 months.", "It is 12 months.") == ("24", "12")
     assert E.insert_at("One two. Three four.", "New.", 50) == "One two. New. Three four."
+    from tarnfield.functions import bpe
+
+    b = bpe.Bpe(bpe.read(), bpe.PATTERN)
+    assert E.trimmed("One two. Three four. Five six seven eight.", 8, b) == "One two. Three four."
+    assert E.insert_at("One two. Three four five six seven eight nine ten.", "New.", 20, b).startswith("One two. New. Three")
