@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tarnfield.functions import bpe
 from tarnfield.operators import chunking as C
 from tarnfield.operators import experiments as E
-from tarnfield.operators import retrieval as R
 from tarnfield.plans import pipeline as P
 from tarnfield.queries.evaluation import HOLM_SQL
 from tarnfield.queries.registry import QUERIES, Tables, query
-from tarnfield.queries.retrieval import _BM25, _allowed, _chunks, _index, _queries, _ranked
+from tarnfield.queries.retrieval import _BM25, _NEAR, _ranked, _top
 
 
 @query()
@@ -67,7 +66,7 @@ def changed_value(t: Tables) -> DataFrame:
 
 
 def _spec_items(t: Tables) -> DataFrame:
-    return t.items.select("item_id", F.array_join(F.slice(F.split("evidence", " "), 1, 8), " ").alias("question"), "asker")
+    return t.items.select("item_id", F.col("evidence").alias("question"), "asker")
 
 
 @query(f"with {_BM25}, {_ranked('reason is null', 5)} select query_id, pos, rank from top")
@@ -76,18 +75,11 @@ def search_keyword(t: Tables) -> DataFrame:
     return P.run(t.docs, _spec_items(t), spec)["searched"].select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
-_EMB = "u as (select vec_id, [x::double / sqrt(list_sum([y::double * y::double for y in embedding])) for x in embedding] as v from embeddings)"
-
-
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.embeddings
     return e.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
 
 
-_NEAR = f"""{_EMB}, s as (select i.item_id as query_id, c.vec_id as pos, round(list_dot_product(q.v, c.v), 6) as score from items i join u q on q.vec_id = i.item_id and q.vec_id % 20 = 0 cross join u c join docs d on d.doc_id = c.vec_id),
-vr as (select *, row_number() over (partition by query_id order by score desc, pos) as rank from s)"""
-
-
 @query(f"with {_NEAR} select query_id, pos, rank from vr where rank <= 5")
 def search_vector(t: Tables) -> DataFrame:
     vectors, asks = _vectors(t)
@@ -96,21 +88,21 @@ def search_vector(t: Tables) -> DataFrame:
     return out.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""with {_BM25}, {_ranked('true', 10)}, {_NEAR.replace("s as (", "sv as (").replace("from s)", "from sv)")},
+@query(f"""with {_BM25}, {_ranked('true', 10)}, {_NEAR},
 l as (select query_id, pos, 1 as list_no, rank from top union all select query_id, pos, 2, rank from vr where rank <= 10),
 f as (select query_id, pos, round(sum(1.0 / (60 + rank)), 9) as score, min(list_no * 1000 + rank) as first from l group by 1, 2),
-r as (select *, row_number() over (partition by query_id order by score desc, first) as rank2 from f)
-select query_id, pos, rank2 as rank from r where rank2 <= 10""".replace("r as (select *, row_number() over (partition by query_id order by score desc, first)", "rr as (select *, row_number() over (partition by query_id order by score desc, first)").replace("from r where rank2", "from rr where rank2"))
+rr as (select *, row_number() over (partition by query_id order by score desc, first) as rank2 from f)
+select query_id, pos, rank2 as rank from rr where rank2 <= 10""")
 def search_hybrid(t: Tables) -> DataFrame:
     vectors, asks = _vectors(t)
-    spec = P.Spec(chunker=P.Chunker("whole"), search=P.Search("hybrid", 10))
+    spec = P.Spec(chunker=P.Chunker("whole"), search=P.Search("hybrid", 10, fuse_depth=10))
     out = P.run(t.docs, _spec_items(t), spec, vectors, asks)["searched"]
     return out.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def multiquery_rrf(t: Tables) -> DataFrame:
-    items = t.items.select("item_id", "asker", F.substring("evidence", 1, 120).alias("question"))
+    items = _spec_items(t)
     spec = P.Spec(chunker=P.Chunker("whole"), search=P.Search("keyword", 10), rewrite="split")
     return P.run(t.docs, items, spec)["searched"].select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -125,8 +117,6 @@ def chunked_pipeline(t: Tables) -> DataFrame:
 @query(f"""with {_BM25}, {_ranked('reason is null', 5)}, hit as (select i.item_id, i.type, coalesce(bool_or(contains(d.text, i.evidence)), false) as found from items i left join top t on t.query_id = i.item_id left join docs d on d.doc_id = t.pos group by 1, 2)
 select type, count(*) filter (where found) as hits, count(*) as items from hit group by type""")
 def keyword_recall(t: Tables) -> DataFrame:
-    q = _queries(t)
-    top = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 5, _allowed())
-    texts = top.join(t.docs.select(F.col("doc_id").alias("pos"), "text"), "pos").select(F.col("query_id").alias("item_id"), "text")
+    texts = _top(t, 5, True).join(t.docs.select(F.col("doc_id").alias("pos"), "text"), "pos").select(F.col("query_id").alias("item_id"), "text")
     found = t.items.join(texts, "item_id", "left").groupBy("item_id", "type").agg(F.coalesce(F.bool_or(F.contains(F.col("text"), F.col("evidence"))), F.lit(False)).alias("found"))
     return found.groupBy("type").agg(F.count_if("found").alias("hits"), F.count("*").alias("items"))

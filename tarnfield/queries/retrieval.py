@@ -23,7 +23,7 @@ def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {_VEC}, r as (select *, row_number() over (partition by query_id order by score desc, pos) as rank from s) select query_id, pos, score, rank from r where rank <= 5")
 def vector_topk(t: Tables) -> DataFrame:
-    return R.top_k(R.vector_scores(*_vectors(t)), 5).select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
+    return _out(R.vector_top_k(*_vectors(t), 5))
 
 
 @query(f"select vec_id, round(list_sum([abs(x) for x in {_UNIT.format('embedding')}]), 5) as l1, round(list_max({_UNIT.format('embedding')}), 5) as top from embeddings")
@@ -34,7 +34,7 @@ def l2_normalize(t: Tables) -> DataFrame:
 
 @query(f"with {_VEC} select query_id, pos, score from s where pos <> query_id and label = q_label and score >= 0.5")
 def cosine_pairs(t: Tables) -> DataFrame:
-    s = R.vector_scores(*_vectors(t)).where("score >= 0.5 and pos <> query_id")
+    s = R.vector_pairs(*_vectors(t), 0.5).where("pos <> query_id")
     labels = t.embeddings.select("vec_id", "label")
     s = s.join(labels.withColumnRenamed("vec_id", "pos"), "pos").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
     return s.where("label = q_label").select("query_id", "pos", "score")
@@ -86,25 +86,28 @@ def top_p(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ keywords: every benchmark item asks all documents
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
-_ASK = "array_to_string(string_split(evidence, ' ')[1:8], ' ')"
 _BM25 = f"""t as (select doc_id as pos, unnest({_WORDS.format('text')}) as term from docs), po as (select term, pos, count(*) as tf from t group by 1, 2),
 dl as (select doc_id as pos, len({_WORDS.format('text')}) as dl from docs), tot as (select count(*) as n, avg(dl) as avgdl from dl),
 raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select term, count(*) as df from po group by term), tot),
 idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
-q as (select item_id as query_id, asker, {_ASK} as text from items), qt as (select query_id, term, count(*) as times from (select query_id, unnest({_WORDS.format('text')}) as term from q) group by 1, 2),
+q as (select item_id as query_id, asker, evidence as text from items), qt as (select query_id, term, count(*) as times from (select query_id, unnest({_WORDS.format('text')}) as term from q) group by 1, 2),
 sc as (select query_id, po.pos, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from qt join idf on qt.term = idf.term join po on qt.term = po.term join dl on po.pos = dl.pos, tot group by 1, 2),
 al as (select q.query_id, q.asker, d.doc_id as pos, coalesce(score, 0) as score, d.access, d.status,
  case when d.access = 'staff' and q.asker <> 'staff' then 'access' when d.status <> 'current' then 'status' end as reason from q cross join docs d left join sc on sc.query_id = q.query_id and sc.pos = d.doc_id)"""
 
 
 def _queries(t: Tables) -> DataFrame:
-    return t.items.select(F.col("item_id").alias("query_id"), "asker", F.array_join(F.slice(F.split("evidence", " "), 1, 8), " ").alias("text"))
+    return t.items.select(F.col("item_id").alias("query_id"), "asker", F.col("evidence").alias("text"))
 
 
 def _index(t: Tables) -> R.KeywordIndex:
     return R.KeywordIndex(t.docs.select(F.col("doc_id").alias("pos"), "text"))
 
 
+def _top(t: Tables, k: int, allowed: bool = False) -> DataFrame:
+    return _index(t).top_k(_queries(t), k, _allowed() if allowed else None, _chunks(t) if allowed else None)
+
+
 def _chunks(t: Tables) -> DataFrame:
     return t.docs.select(F.col("doc_id").alias("pos"), "access", "status")
 
@@ -124,8 +127,7 @@ def _ranked(where: str = "true", k: int = 10) -> str:
 
 @query(f"with {_BM25}, {_ranked()} select query_id, pos, score, rank from top")
 def bm25_topk(t: Tables) -> DataFrame:
-    q = _queries(t)
-    return _out(R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 10))
+    return _out(_top(t, 10))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -134,14 +136,12 @@ def _out(df: DataFrame) -> DataFrame:
 
 @query(f"with {_BM25}, {_ranked('reason is null')} select query_id, pos, score, rank from top")
 def filter_before_topk(t: Tables) -> DataFrame:
-    q = _queries(t)
-    return _out(R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 10, _allowed()))
+    return _out(_top(t, 10, True))
 
 
 def _reasoned(t: Tables) -> DataFrame:
     q = _queries(t)
-    top = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 10)
-    return top.join(_chunks(t), "pos").join(F.broadcast(q.select("query_id", "asker")), "query_id").withColumn("reason", R.refusal(F.col("access"), F.col("status"), F.col("asker")))
+    return _top(t, 10).join(_chunks(t), "pos").join(F.broadcast(q.select("query_id", "asker")), "query_id").withColumn("reason", R.refusal(F.col("access"), F.col("status"), F.col("asker")))
 
 
 @query(f"with {_BM25}, {_ranked()} select query_id, pos, rank, row_number() over (partition by query_id order by rank) as new_rank from top where reason is null")
@@ -163,18 +163,20 @@ def refusal_reason(t: Tables) -> DataFrame:
     return t.docs.join(F.broadcast(who)).select("item_id", "doc_id", R.refusal(F.col("access"), F.col("status"), F.col("asker")).alias("reason"))
 
 
-_SECOND = f"""sl as (select query_id, pos, row_number() over (partition by query_id order by len_gap, pos) as rank from (select q.query_id, d.doc_id as pos, abs(length(d.text) - length(q.text) * 20) as len_gap from q, docs d))"""
-_RRF = f"""{_ranked(k=20)}, {_SECOND}, ls as (select query_id, pos, 1 as list_no, rank from top union all select query_id, pos, 2, rank from sl where rank <= 20),
+_NEAR = f"""u as (select vec_id, {_UNIT.format('embedding')} as v from embeddings), sv as (select i.item_id as query_id, c.vec_id as pos, round(list_dot_product(q.v, c.v), 6) as score from items i join u q on q.vec_id = i.item_id and q.vec_id % 20 = 0 cross join u c join docs d on d.doc_id = c.vec_id),
+vr as (select *, row_number() over (partition by query_id order by score desc, pos) as rank from sv)"""
+_RRF = f"""{_ranked(k=20)}, {_NEAR}, ls as (select query_id, pos, 1 as list_no, rank from top union all select query_id, pos, 2, rank from vr where rank <= 20),
 fu as (select query_id, pos, round(sum(1.0 / (60 + rank)), 9) as score, min(list_no * 1000 + rank) as first from ls group by 1, 2),
 fr as (select *, row_number() over (partition by query_id order by score desc, first) as frank from fu)"""
 
 
 def _lists(t: Tables) -> DataFrame:
-    q = _queries(t)
-    one = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 20).select("query_id", "pos", F.lit(1).alias("list_no"), "rank")
-    # a second ranking: documents whose length is nearest 20 times the query's
-    gaps = t.docs.select(F.col("doc_id").alias("pos"), F.length("text").alias("n")).join(F.broadcast(q.select("query_id", F.length("text").alias("m")))).select("query_id", "pos", (-F.abs(F.col("n") - F.col("m") * 20)).alias("score"))
-    return one.unionByName(R.top_k(gaps, 20).select("query_id", "pos", F.lit(2).alias("list_no"), "rank"))
+    """Two rankings of each item: by keywords, and by vectors for items that have one."""
+    one = _top(t, 20).select("query_id", "pos", F.lit(1).alias("list_no"), "rank")
+    asks, vectors = _vectors(t)
+    asks = asks.join(t.items.select(F.col("item_id").alias("query_id")), "query_id")
+    vectors = vectors.join(t.docs.select(F.col("doc_id").alias("pos")), "pos")
+    return one.unionByName(R.vector_top_k(asks, vectors, 20).select("query_id", "pos", F.lit(2).alias("list_no"), "rank"))
 
 
 @query(f"with {_BM25}, {_RRF} select query_id, pos, score, frank as rank from fr where frank <= 10")
@@ -190,25 +192,22 @@ def union_topk_dedup(t: Tables) -> DataFrame:
 @query(f"""with {_BM25}, {_ranked()}, x as (select *, case when rank <= 4 then 1 else 0 end as short, (pos * 7) % 10 as model_score from top)
 select query_id, pos, rank, row_number() over (partition by query_id order by short desc, case when short = 1 then -model_score else 0 end, rank) as new_rank from x""")
 def rerank_shortlist(t: Tables) -> DataFrame:
-    q = _queries(t)
-    x = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 10).withColumn("short", F.col("rank") <= 4)
+    x = _top(t, 10).withColumn("short", F.col("rank") <= 4)
     w = Window.partitionBy("query_id").orderBy(F.desc("short"), F.when(F.col("short"), -((F.col("pos") * 7) % 10)).otherwise(0), "rank")
     return x.select("query_id", "pos", F.col("rank").cast("long").alias("rank"), F.row_number().over(w).cast("long").alias("new_rank"))
 
 
-@query(f"with {_BM25}, {_ranked(k=5)} select query_id, pos, row_number() over (partition by query_id order by case when rank % 2 = 1 then rank else 1000 - rank end) as place from top")
+@query(f"with {_BM25}, {_ranked(k=5)} select query_id, pos, row_number() over (partition by query_id order by case when rank % 2 = 1 then rank else 100000 - rank end) as place from top")
 def order_ends(t: Tables) -> DataFrame:
-    q = _queries(t)
-    x = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 5)
-    w = Window.partitionBy("query_id").orderBy(F.when(F.col("rank") % 2 == 1, F.col("rank")).otherwise(1000 - F.col("rank")))
+    x = _top(t, 5).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    w = Window.partitionBy("query_id").orderBy(R.ends_order(F.col("rank"), F.col("n")))
     return x.select("query_id", "pos", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query(f"with {_BM25}, {_ranked('reason is null', 3)} select t.query_id, md5(concat(string_agg(concat('[P', t.rank, '] ', d.family, chr(10), trim(d.text, ' ' || chr(9) || chr(10) || chr(13))), chr(10) || chr(10) order by t.rank), chr(10), chr(10), 'Question: ', min(q.text))) as prompt from top t join docs d on t.pos = d.doc_id join q on q.query_id = t.query_id group by t.query_id")
 def build_prompt(t: Tables) -> DataFrame:
     q = _queries(t)
-    top = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 3, _allowed())
-    full = top.join(t.docs.select(F.col("doc_id").alias("pos"), "family", "text"), "pos")
+    full = _top(t, 3, True).join(t.docs.select(F.col("doc_id").alias("pos"), "family", "text"), "pos")
     block = F.concat(F.lit("[P"), F.col("rank").cast("string"), F.lit("] "), F.col("family"), F.lit("\n"), F.btrim("text", F.lit(" \t\n\r")))
     parts = full.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("p"))
     prompt = F.concat(F.array_join(F.transform("p", lambda x: x["b"]), "\n\n"), F.lit("\n\nQuestion: "), F.col("text"))
@@ -250,8 +249,7 @@ _RANKS = f"{_BM25}, {_SPANS}, {_ranked('true', 10)}, sr as (select sp.item_id, s
 
 
 def _span_ranks(t: Tables) -> DataFrame:
-    q = _queries(t)
-    top = R.filled_top_k(_index(t).scores(q), _chunks(t), q.select("query_id", "asker"), 10)
+    top = _top(t, 10)
     whole = t.docs.select(F.col("doc_id").alias("pos"), "doc_id", F.lit(0).alias("start"), F.length("text").alias("stop"))
     return R.span_ranks(_spans(t), top, whole)
 
@@ -301,12 +299,19 @@ def chunk_structure(t: Tables) -> DataFrame:
 
 @query("""with c as (select family, doc_id, length(text) as n, sum(length(text)) over (partition by family order by doc_id rows unbounded preceding) as s from docs) select family, count(*) as packed, max(s)::bigint as chars from c where s <= 20000 group by family""")
 def prefix_budget_pack(t: Tables) -> DataFrame:
-    w = Window.partitionBy("family").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = t.docs.select("family", "doc_id", F.length("text").alias("n")).withColumn("s", F.sum("n").over(w))
-    return c.where("s <= 20000").groupBy("family").agg(F.count("*").alias("packed"), F.max("s").alias("chars"))
+    c = R.within_budget(t.docs.select("family", "doc_id", F.length("text").alias("n")), ["family"], "doc_id", "n", 20000)
+    return c.groupBy("family").agg(F.count("*").alias("packed"), F.max("so_far").alias("chars"))
 
 
-@query("select family, status, count(*) as n, md5(string_agg(doc_id::varchar, ' ' order by doc_id)) as ids from docs group by family, status")
+@query("""with d as (select family, doc_id, doc_key, text, length(text) as n from docs where access = 'public' and status = 'current'),
+c as (select *, sum(n) over (partition by family order by doc_id rows unbounded preceding) as s from d),
+p as (select family, count(*) as documents, string_agg(concat('[Document: ', family, ' (', doc_key, ')]', chr(10), trim(text, ' ' || chr(9) || chr(10) || chr(13))), chr(10) || chr(10) order by doc_id) as body from c where s <= 60000 group by family)
+select family, documents, md5(concat('Documents:', chr(10), chr(10), body, chr(10), chr(10), 'Question: ', q.evidence)) as prompt from p, (select evidence from items order by item_id limit 1) q""")
 def pack_text(t: Tables) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), " ")
-    return t.docs.groupBy("family", "status").agg(F.count("*").alias("n"), F.md5(ids.cast("binary")).alias("ids"))
+    """A long prompt for each family: whole current public documents up to a budget of characters, the question last."""
+    d = t.docs.where("access = 'public' and status = 'current'").select("family", "doc_id", "doc_key", "text", F.length("text").alias("n"))
+    block = F.concat(F.lit("[Document: "), F.col("family"), F.lit(" ("), F.col("doc_key"), F.lit(")]\n"), F.btrim("text", F.lit(" \t\n\r")))
+    p = R.within_budget(d, ["family"], "doc_id", "n", 60000).groupBy("family").agg(F.count("*").alias("documents"), F.array_sort(F.collect_list(F.struct("doc_id", block.alias("b")))).alias("p"))
+    question = F.broadcast(t.items.orderBy("item_id").limit(1).select("evidence"))
+    prompt = F.concat(F.lit("Documents:\n\n"), F.array_join(F.transform("p", lambda x: x["b"]), "\n\n"), F.lit("\n\nQuestion: "), F.col("evidence"))
+    return p.join(question).select("family", "documents", F.md5(prompt.cast("binary")).alias("prompt"))

@@ -102,11 +102,43 @@ def test_filter_before_refills_and_after_does_not(spark):
 
 
 def test_chunk_positions_follow_documents(spark):
-    chunks = run(spark, P.Spec(chunker=P.Chunker("words", 3)))["chunks"].orderBy("pos").collect()
-    assert [c.pos for c in chunks] == list(range(len(chunks)))
     texts = {d[0]: d[1] for d in DOCS}
-    assert all(texts[c.doc_id][c.start : c.stop] == c.text for c in chunks)
-    assert [c.doc_id for c in chunks] == sorted(c.doc_id for c in chunks)
+    for chunker in (P.Chunker("words", 3), P.Chunker("fixed", 4, 2), P.Chunker("structure", 5), P.Chunker("whole")):
+        chunks = run(spark, P.Spec(chunker=chunker))["chunks"].orderBy("pos").collect()
+        assert all(texts[c.doc_id][c.start : c.stop] == c.text for c in chunks) and len({c.pos for c in chunks}) == len(chunks)
+        assert [c.doc_id for c in chunks] == sorted(c.doc_id for c in chunks)
+        assert all(c.chunk_id.startswith(f"{c.doc_id}#") for c in chunks)
+
+
+def test_removed_chunks_have_reasons(spark):
+    base = P.Spec(chunker=P.Chunker("whole"), search=P.Search(depth=4))
+    for placement in ("before", "after"):
+        removed = run(spark, base.changed(filter={"placement": placement}), "red lamps, boats leave")["removed"].collect()
+        assert {(r.pos, r.reason) for r in removed} == {(2, "access"), (3, "status")}
+    assert run(spark, base)["removed"].collect() == []
+
+
+def test_rerank_by_scores_and_replies(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, access string, status string")
+    items = spark.createDataFrame([(7, "red lamps", "public")], "item_id long, question string, asker string")
+    base = P.Spec(chunker=P.Chunker("whole"), search=P.Search(depth=4))
+    was = order(P.run(docs, items, base)["ranked"])
+    scores = spark.createDataFrame([(7, was[0], 0.1), (7, was[1], 0.9), (7, was[2], 0.5)], "item_id long, pos long, score double")
+    assert order(P.run(docs, items, base.changed(rerank={"mode": "scores", "shortlist": 3}), scores=scores)["ranked"]) == [was[1], was[2], was[0], was[3]]
+    replies = spark.createDataFrame([(7, "3, then 1")], "item_id long, text string")
+    out = P.run(docs, items, base.changed(rerank={"mode": "order", "shortlist": 3}), orders=replies)
+    assert order(out["ranked"]) == [was[2], was[0], was[1], was[3]]
+    text = out["texts"].first().prompt
+    assert text.startswith("Passages:\n\n[P1] \n") and text.endswith("\n\nQuestion: red lamps")
+
+
+def test_followups_are_resolved_by_replies(spark):
+    items = spark.createDataFrame([(1, "and boats?", "public", "User: lamps?"), (2, "lamps", "public", None)], "item_id long, question string, asker string, history string")
+    replies = spark.createDataFrame([(1, "1. when do boats leave"), (2, "ignored")], "item_id long, text string")
+    text = lambda spec, r=None: {x.item_id: x.text for x in P.queries_of(items, spec, r).collect()}
+    assert text(P.Spec(rewrite="resolve_followup"), replies) == {1: "when do boats leave", 2: "lamps"}
+    assert text(P.Spec(rewrite="rewrite"), replies) == {1: "when do boats leave", 2: "ignored"}
+    assert text(P.Spec(rewrite="rewrite")) == {1: "and boats?", 2: "lamps"}
 
 
 def test_spec_changes_one_stage():
