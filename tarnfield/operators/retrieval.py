@@ -280,3 +280,11 @@ def within_budget(rows: DataFrame, group: list[str], order: str, size: str, budg
     inside = rows.withColumn("cell", cell).join(open_, [*group, "cell"])
     w = Window.partitionBy(*group, "cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return inside.withColumn("so_far", F.col("before") + F.sum(size).over(w)).where(F.col("so_far") <= budget).drop("cell", "before")
+
+
+def ordered_union(parts: list[DataFrame], value: str, place: str) -> DataFrame:
+    """Distinct values of all parts with the place of their first mention."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy(value).agg(F.min(place).alias(place))
