@@ -37,3 +37,8 @@ class KeyedStore:
 def text_key(model, text):
     """The key of a text's vector under a model."""
     return F.sha2(F.concat(model, F.lit("\n"), text), 256)
+
+
+def score_key(model, revision, question, text):
+    """The key of a cross encoder's score: what it is and what it read."""
+    return F.sha2(F.concat_ws("\x1f", model, revision, question, text), 256)
