@@ -236,20 +236,20 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def passes(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PASS_BYTES each."""
+def passes(offsets: np.ndarray, size: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` bytes each."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = int(np.searchsorted(offsets, offsets[a] + PASS_BYTES, "right")) - 1
+        b = int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
 
 
-def words(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
+def words(texts: pa.Array, lower: bool = True, size: int = PASS_BYTES) -> Iterator[Words]:
     """Words `[^\\x20\\x09-\\x0D]+` of every text, a pass at a time."""
     data, offsets = buffers(texts)
-    for a, b in passes(offsets):
+    for a, b in passes(offsets, size):
         n = b - a
         lens = offsets[a + 1 : b + 1] - offsets[a:b]
         bounds = np.zeros(n + 1, np.int64)
