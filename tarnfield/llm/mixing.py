@@ -18,8 +18,9 @@ again, and only the last cell's documents are put in order.
 
 Defined results: a null text has size 0 and takes nothing. A null source is a
 source of its own, the last in order. Rows that repeat a doc_id are sampled
-together: they share u. An empty table gives an empty result. Extra columns are
-ignored by `mix` and kept by `mixed_documents`.
+together: they share u, within a source they are taken alike. An empty table gives an empty result. Extra columns,
+whatever their names, are ignored by `mix` and kept by `mixed_documents`. Targets are computed in one task over a row for
+each source, as the order of sources and the filling of targets run over all of them.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     odds = (u / (1 - u)) * (1 - p) / F.when(p > 0, p)
     # a monotone image of the Pareto rank in [0, 1); inclusion odds of 0 come last
     docs = docs.withColumn("rank", F.when(F.col("sure") >= 2, F.lit(None)).otherwise(F.coalesce(odds / (1 + odds), F.lit(1.0 - 2.0**-53))))
-    docs = stored(docs.select("doc_id", "source", "size", "source_size", "target", "sure", "rank"), "ranked")
+    docs = stored(docs.select("doc_id", "source", "size", "rel", "source_size", "target", "sure", "rank"), "ranked")
     left = docs.groupBy("source").agg((F.first("target") - F.sum(F.col("sure") * F.col("size"))).alias("left"))
     low, width = F.lit(0.0), 1.0
     state = left.withColumn("low", low)
@@ -108,7 +109,7 @@ def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     once = edge.select("e_id", "e_source", "e_rank").distinct()
     chosen = at.join(once, F.col("doc_id").eqNullSafe(F.col("e_id")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("rank") == F.col("e_rank")), "left")
     extra = F.when((F.col("size") > 0) & ((F.col("rank") < F.col("low")) | F.col("e_rank").isNotNull()), 1).otherwise(0)
-    chosen = chosen.withColumn("extra", F.coalesce(extra, F.lit(0))).select("doc_id", "source", "size", "source_size", "target", "sure", "rank", "left", "extra")
+    chosen = chosen.withColumn("extra", F.coalesce(extra, F.lit(0))).select("doc_id", "source", "size", "rel", "source_size", "target", "sure", "rank", "left", "extra")
     # the words still missing in each source, and the one document more that comes nearest to them
     gap = F.col("left") - F.coalesce(F.col("e_words"), F.lit(0))
     open_ = _with_source(chosen.where("extra = 0 and rank is not null and size > 0"), filled, "e_source")
@@ -117,25 +118,40 @@ def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     closing = stored(closing, "closing")
     out = _with_source(chosen, closing, "c_source")
     closes = F.coalesce(F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("rank") == F.col("c_rank")) & (F.col("extra") == 0), F.lit(False))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("extra") + closes.cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "rel", "source_size", "target", (F.col("sure") + F.col("extra") + closes.cast("int")).alias("copies"))
 
 
-def sized(documents: DataFrame, weight: str | None = None) -> DataFrame:
+def _size_and_rel(weight: str | None) -> list[Column]:
     size = F.coalesce(F.regexp_count("text", F.lit(NOT_WS)), F.lit(0)).cast("long")
     rel = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
-    return stored(documents.select("doc_id", "source", size.alias("size"), rel.alias("rel")), "sized")
+    return [size.alias("size"), rel.alias("rel")]
+
+
+def sized(documents: DataFrame, weight: str | None = None) -> DataFrame:
+    return stored(documents.select("doc_id", "source", *_size_and_rel(weight)), "sized")
+
+
+def _mixed(documents: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int, weight: str | None) -> DataFrame:
+    docs = sized(documents, weight)
+    return copies(docs, stored(source_targets(docs, weights, share, cap), "targets"), seed)
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, weight: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every document."""
-    docs = sized(documents, weight)
-    out = copies(docs, stored(source_targets(docs, weights, share, cap), "targets"), seed)
+    out = _mixed(documents, weights, share, cap, seed, weight)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **how) -> DataFrame:
+def mixed_documents(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, weight: str | None = None) -> DataFrame:
     """The mix itself: every document as many times as it is taken; a document without words stays once."""
-    got = mix(documents, **how).groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.max("size").alias("__size")).withColumnRenamed("doc_id", "__doc_id")
-    n = F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies")).cast("int")
-    out = documents.join(got, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).where(n > 0)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), n))).select(*documents.columns)
+    # rows that are alike in what the mix looks at are taken alike
+    key = ["doc_id", "source", "size", "rel"]
+    got = _mixed(documents, weights, share, cap, seed, weight).groupBy(*key).agg(F.max("copies").alias("copies"))
+    got = got.select(*(F.col(c).alias(f"got_{c}") for c in key), "copies")
+    docs = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"), "doc_id", "source", *_size_and_rel(weight))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"got_{c}"))
+    n = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    out = docs.join(got, same).where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), n)))
+    return out.select(*(F.col(f"doc.`{c}`") for c in documents.columns))

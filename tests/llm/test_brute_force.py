@@ -126,9 +126,26 @@ def test_lines(spark):
 def test_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(spark, fan_in=2)
     for i in range(5):
-        runs.add(spark.createDataFrame([(bytes([i]), i)], "h binary, owner long"))
+        runs.add(runs.write(spark.createDataFrame([(bytes([i]), i)], "h binary, owner long"), 0))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert runs.all().count() == 5
+    asked = spark.createDataFrame([(bytes([i]),) for i in range(7)], "h binary")
+    assert {r.h[0]: r.owner for r in runs.held(asked).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: None, 6: None}
+    runs.close()
+
+
+def test_runs_are_read_as_they_lie(spark):
+    """Neither a run that a batch meets nor runs that are merged are dealt or sorted again."""
+    runs = line_dedup.LineRuns(spark, fan_in=8)
+    with sh.set_for(spark, {**line_dedup.SORTED_SCANS, "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        for i in range(2):
+            runs.add(runs.write(spark.range(100 * i, 100 * i + 100).selectExpr("unhex(md5(string(id))) as h", "id as owner").groupBy("h").agg({"owner": "min"}).toDF("h", "owner"), 0))
+        batch = spark.range(300).selectExpr("unhex(md5(string(id))) as h").groupBy("h").count()
+        plan = runs.held(batch)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+        a, b = runs.levels[0]
+        plan = a.join(b.withColumnRenamed("owner", "other"), "h", "full_outer")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
 
 
 def test_mix_meets_targets(spark):

@@ -56,6 +56,38 @@ def test_stages_keep_columns(spark, name):
     assert RUNS[name](spark, d).columns == d.columns
 
 
+CLASHING = ["drop", "id", "row", "doc", "kept", "copy", "copies", "got_doc_id", "rel", "kept_id", "component_id", "score", "owner", "t", "g", "w", "n", "exact_", "__kept", "__copies", "__size", "__doc_id", "__copy", "__id", "__row"]
+
+
+@pytest.mark.parametrize("name", ["line_documents", "mixed", "toxicity", "one_of_each"])
+def test_names_that_operators_use_within(spark, name):
+    d = table(spark, ROWS).where("doc_id is not null")
+    plain = sorted(map(str, RUNS[name](spark, d).collect()))
+    clash = d
+    for c in CLASHING:
+        clash = clash.withColumn(c, F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+    got = RUNS[name](spark, clash)
+    assert got.columns == clash.columns
+    rows = got.collect()
+    assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHING)
+    assert sorted(map(str, got.select(*d.columns).collect())) == plain
+
+
+def test_rows_of_one_id_in_two_sources(spark):
+    d = table(spark, [(0, "a b c d e", "s0"), (0, "a b c d e f g h", "s1"), *((i, "w " * 20, f"s{i % 2}") for i in range(1, 41))])
+    taken = {(r.doc_id, r.size): r.copies for r in mixing.mix(d).collect()}
+    written = [(r.doc_id, len(r.text.split())) for r in mixing.mixed_documents(d).collect()]
+    assert all(written.count(k) == n for k, n in taken.items() if k[0] == 0)
+    assert len(written) == sum(n * (1 if k[0] == 0 else 1) for k, n in taken.items())
+
+
+def test_columns_of_the_results_names(spark):
+    d = table(spark, ROWS).withColumn("exact", F.lit("x")).withColumn("n_pieces", F.lit("y")).withColumn("decoded", F.lit("z"))
+    got = piece_encoding.decode(piece_encoding.encode(d))
+    assert got.columns == [*table(spark, []).columns, "piece_ids", "n_pieces", "piece_score", "exact", "decoded"]
+    assert all(r.decoded == (r.text or "") for r in got.collect())
+
+
 def test_one_row(spark):
     d = table(spark, [(7, "a b c d e f", "s")])
     r = fingerprints.with_edits(d).first()
