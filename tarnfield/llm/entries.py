@@ -56,8 +56,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _docs(spark, sf_dir), _docs(spark, sf_dir, "labels")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     model = toxicity.trained(docs, labels.select("doc_id", "toxic").where(~held_out))
-    out = toxicity.score(docs, model)
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    out = toxicity.score(docs, model, spans=True)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Training. The labels are of documents, so tokens are labelled first: a token of a
-toxic document is toxic if one of its features (the word, or its first four, five
-or six bytes) is all but confined to toxic documents of the training rows. On
+toxic document is toxic if one of its features (the word, or its first four to eight
+bytes) is all but confined to toxic documents of the training rows. On
 these labelled tokens a chain with tags clean and toxic is trained by Adagrad on
 the exact log-likelihood, gradients from forward-backward marginals; a line is a
 chain. Emission weights live in a hashed table of FEATURES cells, so the model
@@ -128,8 +128,8 @@ class Model:
         e = self.weights[features(w)].sum(1) + self.weights[-1]
         return Chains(lines(w), len(e)).marginals(e, self.trans)[0]
 
-    def documents(self, w: Words) -> np.ndarray:
-        x = evidence(self.tags(w), w)
+    def documents(self, w: Words, tags: np.ndarray) -> np.ndarray:
+        x = evidence(tags, w)
         return 1 / (1 + np.exp(-np.clip(x @ self.evidence, -50, 50)))
 
 
@@ -220,6 +220,17 @@ def trained(documents: DataFrame, labels: DataFrame) -> Model:
     return pickle.loads(bytes(got.model)) if got else fit(pa.array([], pa.large_string()), np.zeros(0, np.int64), share)
 
 
+def _runs(w: Words, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs in each text, first byte and end of each run) of adjacent tokens that are on, as offsets within the text."""
+    at = np.flatnonzero(on)
+    doc = w.doc[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+    last = np.append(new[1:], True)[: len(at)]
+    base = w.bounds[doc[new]]
+    return np.bincount(doc[new], minlength=w.n_docs), w.start[at[new]] - base, w.end[at[last]] - base
+
+
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
     """The columns `keep` with score and, if asked for, spans: byte offsets of the runs of toxic tokens in the UTF-8 text."""
     docs = documents.select(*keep, "text")
@@ -232,23 +243,17 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            out, found = [], []
+            out, runs = [], []
             for w in words(batch.column(len(keep))):
-                out.append(m.documents(w))
+                tags = m.tags(w)
+                out.append(m.documents(w, tags))
                 if spans:
-                    on = m.tags(w) >= SPAN_THRESHOLD
-                    mine: list[list] = [[] for _ in range(w.n_docs)]
-                    for i in np.flatnonzero(on):
-                        d, base = int(w.doc[i]), int(w.bounds[w.doc[i]])
-                        a, z = int(w.start[i]) - base, int(w.end[i]) - base
-                        if mine[d] and i and on[i - 1] and w.doc[i - 1] == d:
-                            mine[d][-1]["end"] = z
-                        else:
-                            mine[d].append({"start": a, "end": z})
-                    found += mine
+                    runs.append(_runs(w, tags >= SPAN_THRESHOLD))
             cols = [*batch.columns[: len(keep)], pa.array(np.concatenate(out) if out else np.zeros(0))]
             if spans:
-                cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+                n, start, end = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 3
+                both = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), both))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.mapInArrow(run, schema)
