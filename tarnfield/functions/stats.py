@@ -77,7 +77,8 @@ def mcnemar(b: Column, c: Column) -> Column:
     """
     n, m = b + c, F.least(b, c)
     top = log_factorial(n) - log_factorial(m) - log_factorial(n - m) - n * math.log(2.0)
-    steps = F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0)).cast("int"))
+    # ten standard deviations on, a term is less than 1e-40 of the first: the list has the length of a square root
+    steps = F.sequence(F.lit(0), F.greatest(F.least(m - 1, F.ceil(10 * F.sqrt(n.cast("double"))) + 20), F.lit(0)).cast("int"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def add(acc: Column, i: Column) -> Column:

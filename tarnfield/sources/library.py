@@ -80,8 +80,14 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str = RUN_RECORD) -> DataFrame:
-    """Records of an append-only JSONL log with their line's place; a torn line is left out."""
-    text = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
+    """Records of an append-only JSONL log with their line's place; a torn line is left out.
+
+    line_no rises with the place in a file, however the file is split: a split's first byte plus the line's number in it, which
+    is less than the split's bytes.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    first = text.groupBy("file", "block").agg(F.min("id").alias("first"))  # a row for each split
+    text = text.join(first, ["file", "block"]).withColumn("line_no", F.col("block") + F.col("id") - F.col("first")).where(F.trim("value") != "")
     parsed = text.select("line_no", F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return parsed.where("r._corrupt is null").select("line_no", "r.*").drop("_corrupt")
 
