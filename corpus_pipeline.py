@@ -19,22 +19,27 @@ from tarnfield.llm.shared import WORK, remove, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the chain calls toxic; a null or empty text has no toxic token and stays."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without lines that an earlier document holds; documents of which no text is left go, empty ones stay."""
     return line_dedup.dedup_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of documents linked by five-word shingles at 0.8; documents without words and null ids stay."""
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as often as the mix takes them; a document without words stays once."""
     return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage's rows are ids of pieces, not documents: the text is named by its digest, other columns are left behind."""
     out = piece_encoding.encode(docs.select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "n_pieces", "piece_score", "exact", "piece_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

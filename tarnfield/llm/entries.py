@@ -91,6 +91,16 @@ f as (select l.*, coalesce(o.n >= 2 and l.doc_id > o.first, false) as drop
 select doc_id, count(*) as n_lines, sum(drop::int)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not drop), '')) as kept_sha256
 from f group by doc_id
+""",
+    "op5_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as g from w),
+n as (select doc_id, count(*) as n from sh group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from common c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from link union all select b, a from link),
+r as (select doc_id as id, doc_id as x from documents union select r.id, e.b from r join e on e.a = r.x)
+select id as doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(x) as component_id from r left join n on n.doc_id = r.id group by id
 """,
     "op6_mixing": r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::bigint as size from documents),
