@@ -123,3 +123,39 @@ def test_word_chunks_are_slices(spark):
     got = C.word_chunks(docs, 2).orderBy("doc_id", "chunk_no").collect()
     assert all(r.text == {1: text, 2: ""}[r.doc_id][r.start : r.stop] for r in got)
     assert [(r.start, r.stop) for r in got if r.doc_id == 1] == [(0, 4), (5, 9), (10, 16)]
+
+
+def test_spans_stand_beside_anything(spark):
+    docs = {1: "a\nred lamps shine at night, they say", 2: '"red lamps shine at night"', 3: "red lamps shine", 4: "no lamps", 5: "at nightfall red  lamps"}
+    items = {10: "red lamps shine at night", 11: "lamps", 12: "red lamps", 13: "at night", 14: "lamps shine at nigh"}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    i = spark.createDataFrame(list(items.items()), "item_id long, evidence string")
+    got = {(r.item_id, r.doc_id, r.start, r.stop) for r in R.spans(i, d).collect()}
+    assert got == {(k, n, t.index(e), t.index(e) + len(e)) for k, e in items.items() for n, t in docs.items() if e in t}
+
+
+def test_budgets_cut_where_they_end(spark):
+    rows = spark.createDataFrame([(g, i, (i * 7 + g) % 5 + 1) for g in range(3) for i in range(400)], "g int, i long, n long")
+    got = R.within_budget(rows, ["g"], "i", "n", 200, cells=16).collect()
+    for g in range(3):
+        so_far, want = 0, []
+        for i in range(400):
+            so_far += (i * 7 + g) % 5 + 1
+            want += [(i, so_far)] if so_far <= 200 else []
+        assert sorted((r.i, r.so_far) for r in got if r.g == g) == want
+
+
+def test_best_chunks_with_ties_and_filters(spark):
+    texts = {i: "lamp " * (i % 3) + f"word{i % 7}" for i in range(700)}
+    chunks = spark.createDataFrame(list(texts.items()), "pos long, text string").repartition(5)
+    facts = spark.createDataFrame([(i, "staff" if i % 2 else "public") for i in texts], "pos long, access string")
+    asks = spark.createDataFrame([(1, "lamp word3", "public"), (2, "nothing here", "staff"), (3, "", "public")], "query_id long, text string, asker string")
+    index = R.KeywordIndex(chunks)
+    allowed = (F.col("access") == "public") | (F.col("asker") == "staff")
+    for may, filtered in ((allowed, True), (None, False)):
+        got = index.top_k(asks, 6, may, facts if filtered else None).collect()
+        scores = {(r.query_id, r.pos): r.score for r in index.scores(asks).collect()}
+        for q, who in ((1, "public"), (2, "staff"), (3, "public")):
+            open_ = [i for i in texts if not filtered or who == "staff" or i % 2 == 0]
+            want = sorted(open_, key=lambda i: (-scores.get((q, i), 0.0), i))[:6]
+            assert [r.pos for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
