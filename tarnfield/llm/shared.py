@@ -98,6 +98,13 @@ def stored_alone(df: DataFrame, name: str, since: int) -> DataFrame:
     return out
 
 
+def discard(spark: SparkSession, since: int, *names: str) -> None:
+    """Removes the working tables of these names that were asked for since WORK had `since` entries: nothing reads them any more."""
+    gone = [p for p in WORK[since:] if p.rpartition("/")[2] in names]
+    remove(spark, gone)
+    WORK[since:] = [p for p in WORK[since:] if p not in gone]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no column of that name (Spark does not tell upper from lower case)."""
     taken = {c.lower() for c in df.columns}
