@@ -11,7 +11,7 @@ from tarnfield.operators import experiments as E
 from tarnfield.plans import pipeline as P
 from tarnfield.queries.evaluation import HOLM_SQL
 from tarnfield.queries.registry import QUERIES, Tables, query
-from tarnfield.queries.retrieval import _BM25, _NEAR, _ranked, _top
+from tarnfield.queries.retrieval import _BM25, _CHUNKS, _NEAR, _ranked, _top
 
 
 @query()
@@ -100,18 +100,32 @@ def search_hybrid(t: Tables) -> DataFrame:
     return out.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_PARTS = """pa as (select item_id, asker, evidence, list_filter(list_transform(string_split(replace(evidence, '. ', chr(10)), chr(10)), lambda x: trim(trim(x, ' -*0123456789.'))), lambda x: x <> '')[1:3] as ps from items),
+pd as (select item_id, asker, case when len(ps) > 0 then [ps[i] for i in range(1, len(ps) + 1) if list_position(ps, ps[i]) = i] else [evidence] end as ps from pa),
+q as (select item_id * 10 + no as query_id, asker, text from (select item_id, asker, unnest(ps) as text, generate_subscripts(ps, 1) - 1 as no from pd))"""
+_PLAIN = "q as (select item_id as query_id, asker, evidence as text from items)"
+
+
+@query(f"""with {_BM25.replace(_PLAIN, _PARTS)}, {_ranked('true', 10)},
+f as (select query_id // 10 as query_id, pos, round(sum(1.0 / (60 + rank)), 9) as score, min((query_id % 10) * 1000 + rank) as first from top group by 1, 2),
+fr as (select *, row_number() over (partition by query_id order by score desc, first) as frank from f)
+select query_id, pos, score, frank as rank from fr where frank <= 10""")
 def multiquery_rrf(t: Tables) -> DataFrame:
     items = _spec_items(t)
     spec = P.Spec(chunker=P.Chunker("whole"), search=P.Search("keyword", 10), rewrite="split")
     return P.run(t.docs, items, spec)["searched"].select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_BY_CHUNK = _BM25.replace("from docs", "from dc").replace("cross join docs", "cross join dc")
+
+
+@query(f"""with {_CHUNKS}, dc as (select ck.doc_id * 1048576 + ck.chunk_no as doc_id, ck.text, d.access, d.status from ck join docs d on d.doc_id = ck.doc_id), {_BY_CHUNK}, {_ranked('true', 20)},
+kept as (select query_id, pos, row_number() over (partition by query_id order by rank) as rank from top where reason is null), five as (select *, count(*) over (partition by query_id) as n from kept where rank <= 5)
+select query_id, pos, rank, row_number() over (partition by query_id order by case when rank % 2 = 1 then rank else 2 * n + 1 - rank end) as place from five""")
 def chunked_pipeline(t: Tables) -> DataFrame:
     """Word chunks, keyword search, filter after, prompt with the best passages at its ends."""
     spec = P.Spec(chunker=P.Chunker("words", 64), search=P.Search("keyword", 20), filter=P.Filter("after"), prompt=P.Prompt(5, "ends"))
-    return P.run(t.docs, _spec_items(t), spec)["prompt"].select("query_id", "pos", "rank", "place")
+    return P.run(t.docs, _spec_items(t), spec)["prompt"].select("query_id", "pos", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"""with {_BM25}, {_ranked('reason is null', 5)}, hit as (select i.item_id, i.type, coalesce(bool_or(contains(d.text, i.evidence)), false) as found from items i left join top t on t.query_id = i.item_id left join docs d on d.doc_id = t.pos group by 1, 2)
