@@ -6,16 +6,18 @@
    any global token order, all but the last s|x| - k tokens of x hold at least k of
    the shared ones. k is a tenth of the set: a pair that only shares a passage
    falls short of k shared prefix tokens. The order puts tokens that occur in many
-   documents last (a table of bounded size, as a token must occur in HOT_SHARE of
-   all documents to be in it), so common passages hardly enter prefixes.
+   documents last (those of the HOT_ROWS most frequent tokens, a table of bounded size),
+   so common passages hardly enter prefixes.
 3. Classes that share prefix tokens are first compared with one leader each, the
-   smallest id of a token's documents that they meet most often; exact verification
-   of these pairs and connected components give groups of similar documents.
-4. The token-group matrix holds each group's union of prefix tokens. A document looks
-   for groups by its prefix tokens without the k - 1 most frequent, and its overlap
-   with a group's union bounds its overlap with each member, so only
-   groups with at least k of its tokens are opened; their members that share k
-   prefix tokens are verified exactly. Tokens that a document has alone lower the
+   document with the least tokens of its own among those that they meet most often, and
+   once more among those that found none; exact verification of these pairs and
+   connected components give groups of similar documents.
+4. The token-group matrix holds each group's union of prefix tokens. Tokens that the
+   same documents have, as those of a passage, are one class with a weight, so that a shared passage
+   costs a few rows and not one for each token. A document looks for groups by its prefix tokens without
+   the k - 1 most frequent, among theirs less the most frequent likewise, and its overlap with a
+   group's union bounds its overlap with each member, so only groups with at least k of its
+   tokens are opened; their members that share k prefix tokens are verified exactly. Tokens that a document has alone lower the
    bound on both sides: two edited copies of one original, each with its own edits,
    are told apart by counts. Groups that no document can enter from outside are
    never opened, so a large group of copies costs one comparison a document.
@@ -41,13 +43,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.components import connected
-from tarnfield.llm.shared import mix, shingle_sets, stored, tidy, words
+from tarnfield.llm.shared import WORK, fresh, mix, shingle_sets, stored, stored_alone, tidy, words
 
-#: A token is common from this share of all documents on.
-HOT_SHARE = 0.002
-#: A task names a token as perhaps common from this share of its documents on, and from so many.
-HOT_LOCAL, HOT_LEAST = 0.001, 8
+#: Common are the most frequent tokens that so many documents have, at most so many tokens: a table of fixed
+#: size, whatever the input. It decides the order of tokens, not what is compared.
+HOT_LEAST, HOT_ROWS = 8, 1_000_000
+#: A task counts tokens in stretches of so many, and passes on those that a stretch has twice.
+STRETCH = 4_000_000
 K_SHARE = 10
+#: Times that documents are compared with a leader each.
+ROUNDS = 2
+#: Ids that are sent to all tasks, at most.
+BROADCAST_IDS = 500_000
 S1, S2 = 0x51ED, 0xA2C3
 
 
@@ -63,12 +70,14 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, docs, fresh = np.zeros((0, 2), np.int64), 0, []
+        held: list[np.ndarray] = []
 
-        def squeeze() -> np.ndarray:
-            both = np.concatenate([kept, *fresh])
-            token, at = np.unique(both[:, 0], return_inverse=True)
-            return np.stack([token, np.bincount(at, both[:, 1], len(token)).astype(np.int64)], 1) if len(both) else both
+        def counted() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            held.clear()
+            token, times = token[times > 1], times[times > 1]
+            none = pa.nulls(len(token), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(times)], names=names)
 
         for batch in batches:
             size, a, b = [], [], []
@@ -79,18 +88,13 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
                     s = np.zeros(w.n_docs, np.uint64)
                     np.add.at(s, doc, mix(h + np.uint64(salt)))
                     out.append(s.view(np.int64))
-                token, times = np.unique(h.view(np.int64), return_counts=True)
-                fresh.append(np.stack([token, times], 1)[times > 1])
-                docs += w.n_docs
-                if sum(len(x) for x in fresh) > 200_000:
-                    kept, fresh = squeeze(), []
+                held.append(h.view(np.int64))
+                if sum(len(x) for x in held) > STRETCH:
+                    yield counted()
             none = pa.nulls(len(batch), pa.int64())
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), cat(size), cat(a), cat(b), none, none], names=names)
-        kept = squeeze()
-        kept = kept[kept[:, 1] >= max(HOT_LEAST, HOT_LOCAL * docs)]
-        none = pa.nulls(len(kept), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=names)
+        yield counted()
 
     names = ["doc_id", "size", "s1", "s2", "token", "times"]
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, s1 long, s2 long, token long, times long")
@@ -161,9 +165,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 ok = (100 * inter >= percent * (sizes[0] + sizes[1] - inter)) & (inter > 0) & sums[0] & sums[1]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # few ids go to the texts; many, and their texts, are dealt by id
+    texts = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("shuffle_merge"), "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("s1").alias("sa"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("s1").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _most(size_a: Column, own_a: Column, size_b: Column, own_b: Column) -> Column:
@@ -171,17 +179,40 @@ def _most(size_a: Column, own_a: Column, size_b: Column, own_b: Column) -> Colum
     return F.least(size_a - own_a, size_b - own_b)
 
 
+def _least(size: Column, percent: int) -> Column:
+    """How many tokens a set of this size shares at least with any partner, within the prefixes of both."""
+    return F.greatest(F.floor(F.ceil(size * percent / 100) / K_SHARE), F.floor(size / K_SHARE) - 2, F.lit(1))
+
+
+def _shared(of: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """How many tokens the prefix of a set of size `of`, one of the two, shares with the other set at the threshold.
+
+    The set whose prefix ends first in the global order has all of it decided: what the other prefix lacks, the other set lacks.
+    """
+    overlap = F.ceil((size_a + size_b) * percent / (100 + percent))
+    prefix = F.least(of, of - F.ceil(of * percent / 100) + F.greatest(F.floor(of / K_SHARE), F.lit(1)))
+    return overlap - of + prefix
+
+
 def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links."""
+    since = len(WORK)
     all_rows = stored(_sets(documents, n), "sets")
     sets = all_rows.where("token is null").select("doc_id", "size", "s1", "s2")
-    n_docs = sets.count()
     # the smallest id of each class; ids are pre-aggregated before the shuffle
     one = sets.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("size", "s1", "s2")).alias("x")).select("doc_id", "x.*")
     one = stored(one, "one")
     classes = stored(one.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    common = all_rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= max(HOT_SHARE * n_docs, HOT_LEAST))
-    # at most (mean set size) / HOT_SHARE rows
+    counts = stored(all_rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_LEAST), "counts")
+    # how many tokens have each power of 2**(1/4): a few dozen rows
+    step = F.floor(F.log2("times") * 4).cast("int")
+    left, least_step = HOT_ROWS, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least_step = r.step
+    common = counts.where(step >= least_step) if least_step is not None else counts.limit(0)
     table = common.orderBy("token").toArrow()
     hot = table.column("token").to_numpy().astype(np.int64)
     rank = np.log2(np.maximum(table.column("times").to_numpy().astype(float), 1)).astype(np.int64) + 1
@@ -190,47 +221,91 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     prefixes = stored(prefixes.join(reps, ["doc_id", "size", "s1"], "left_semi").dropDuplicates(["doc_id"]), "prefixes")
     facts = prefixes.select("doc_id", "size", "n_rare", "full")
     tokens = prefixes.select("doc_id", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    meets = stored(tokens.join(shared, "token"), "meets")
+    # tokens that the same documents have are one class of tokens; documents that share a passage meet in its classes
+    # (documents are told apart by how many, which first and last, and the xor of all: a chance likeness only adds candidates)
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_xor("doc_id").alias("all_ids")).where("n > 1")
+    rare = F.col("token").bitwiseAND(F.lit(1))
+    meets = tokens.join(shared.select("token", "n", F.xxhash64("n", "first", "last", "all_ids", rare).alias("t")), "token")
+    meets = stored(meets.groupBy("doc_id", "t").agg(F.count("*").alias("w"), F.sum(rare).alias("rare"), F.first("n").alias("n")), "meets")
     # too few shared prefix tokens for any partner
-    least = F.greatest(F.floor(F.ceil(F.col("size") * percent / 100) / K_SHARE), F.lit(1))
+    least = _least(F.col("size"), percent)
     # tokens of its own: if all rare tokens are in the prefix, those that no other prefix has are in no such document
     own = F.when(F.col("full"), F.col("n_rare") - F.col("rare")).otherwise(0)
-    alive = meets.groupBy("doc_id").agg(F.count("*").alias("m"), F.sum(F.col("token").bitwiseAND(F.lit(1))).alias("rare")).join(facts, "doc_id").withColumn("own", own)
+    alive = meets.groupBy("doc_id").agg(F.sum("w").alias("m"), F.sum("rare").alias("rare")).join(facts, "doc_id").withColumn("own", own)
     alive = alive.where((F.col("m") >= least) & (F.col("own") * 100 <= F.col("size") * (100 - percent))).select("doc_id", "size", "full", least.alias("k"), "own")
-    meets = stored(meets.join(alive, "doc_id").select("doc_id", "size", "full", "k", "own", "token", "n", "leader"), "alive")
+    meets = stored(meets.join(alive, "doc_id").select("doc_id", "size", "full", "k", "own", "t", "w", "n"), "alive")
 
-    # a leader for each document
-    by_leader = meets.where("leader < doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("m"))
-    best = by_leader.groupBy("doc_id").agg(F.max(F.struct("m", (-F.col("leader")).alias("l"))).alias("x")).select((-F.col("x.l")).alias("a"), F.col("doc_id").alias("b"))
+    # A leader for each document, then again for those without a group: of the documents of a class, the one with the
+    # least share of tokens of its own, as an original among edited copies has.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(reps.select("doc_id", "s1"), "doc_id")
-    edges = stored(_verified(best, texts, n, percent), "leader_edges")
-    groups = connected(edges)
+    edges, groups = None, None
+    for _ in range(ROUNDS):
+        alone = meets if groups is None else meets.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        share = F.struct(F.floor(F.col("own") * 1000 / F.col("size")).alias("own"), F.col("doc_id").alias("leader"))
+        leaders = alone.groupBy("t").agg(F.min(share).alias("x"), F.count("*").alias("docs")).where("docs > 1").select("t", "x.leader")
+        met = alone.join(leaders, "t").where("leader != doc_id").groupBy("doc_id", "leader").agg(F.sum("w").alias("m"))
+        best = met.groupBy("doc_id").agg(F.max(F.struct("m", (-F.col("leader")).alias("l"))).alias("x")).select((-F.col("x.l")).alias("a"), F.col("doc_id").alias("b"))
+        found = _verified(best, texts, n, percent)
+        edges = stored(found if edges is None else edges.unionByName(found), "leader_edges")
+        groups = connected(edges)
 
     # the token-group matrix, and the groups that a document can have a partner in
     placed = meets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
-    placed = stored(placed.select("doc_id", "size", "full", "own", "k", "token", "n", "g"), "placed")
-    open_tokens = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("token")
-    placed = stored(placed.join(open_tokens, "token"), "open")
-    matrix = placed.groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("own").alias("to_own"), F.bool_and("full").alias("to_full")).withColumnRenamed("g", "to")
+    placed = stored(placed.select("doc_id", "size", "full", "own", "k", "t", "w", "n", "g"), "placed")
+    open_tokens = placed.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t")
+    common_first = Window.partitionBy("doc_id").orderBy(F.desc("n"), "t").rowsBetween(Window.unboundedPreceding, 0)
+    placed = stored(placed.join(open_tokens, "t").withColumn("place", F.sum("w").over(common_first)), "open")
+    # Tokens that the same groups hold are one class to the matrix, as token classes are to documents.
+    held = placed.select("t", "g").distinct()
+    alike = held.groupBy("t").agg(F.xxhash64(F.count("*"), F.min("g"), F.max("g"), F.bit_xor("g")).alias("u"))
+    about = placed.groupBy("g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("own").alias("to_own"), F.bool_and("full").alias("to_full"))
+    matrix = stored(held.join(alike, "t").select(F.col("u").alias("to_u"), "g").distinct().join(about, "g").withColumnRenamed("g", "to"), "matrix")
+    after = F.greatest(F.least(F.col("w"), F.col("place") - F.col("k") + 1), F.lit(0))
+    of_doc = placed.join(alike, "t").groupBy("doc_id", "size", "full", "own", "k", "g", "u").agg(F.sum("w").alias("w"), F.sum(after).alias("after"))
+    of_doc = stored(of_doc, "of_doc")
     both_full = F.col("full") & F.col("to_full")
     most = _most(F.col("size"), F.when(both_full, F.col("own")).otherwise(0), F.col("high"), F.when(both_full, F.col("to_own")).otherwise(0))
     nearest = F.greatest(F.col("low"), F.least(F.col("high"), most))
     reach = (100 * most >= percent * (F.col("size") + nearest - most)) & (F.col("high") * 100 >= F.col("size") * percent) & (F.col("low") * percent <= F.col("size") * 100)
-    # of k shared tokens one is left when the k - 1 most frequent are set aside: only the others look for groups
-    common_first = Window.partitionBy("doc_id").orderBy(F.desc("n"), "token")
-    asks = placed.withColumn("place", F.row_number().over(common_first)).where(F.col("place") >= F.col("k"))
-    asks = asks.select("doc_id", "size", "full", "own", F.col("token").alias("t"), "g")
-    near = asks.join(matrix, (F.col("t") == F.col("token")) & (F.col("g") != F.col("to")) & reach).select("doc_id", "to").distinct()
-    bound = placed.select("doc_id", "k", F.col("token").alias("t")).join(stored(near, "near").withColumnRenamed("to", "of"), "doc_id").join(matrix, (F.col("t") == F.col("token")) & (F.col("of") == F.col("to")))
-    opened = stored(bound.groupBy("doc_id", "to").agg(F.count("*").alias("m"), F.first("k").alias("k")).where("m >= k").select("doc_id", "to"), "opened")
-    mine = placed.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("full").alias("full_a"), F.col("own").alias("own_a"), F.col("k").alias("ka"), F.col("token").alias("t")).join(opened.select(F.col("doc_id").alias("a"), F.col("to").alias("g_a")), "a")
-    theirs = placed.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("full").alias("full_b"), F.col("own").alias("own_b"), F.col("k").alias("kb"), "token", F.col("g").alias("to"))
+    # A pair shares so many prefix tokens at least; the bound rises as sizes come closer. Of the sizes that the group's
+    # members have, those within the threshold count; two less for rounding.
+    low, high = F.greatest("low", F.ceil(F.col("size") * percent / 100)), F.least("high", F.floor(F.col("size") * 100 / percent))
+    at_least = F.greatest(F.least(_shared(F.col("size"), F.col("size"), low, percent), _shared(high, F.col("size"), high, percent)) - 2, F.lit(1))
+    # the k - 1 most frequent tokens are set aside, so as many of the shared ones at most are not looked up
+    looked = F.greatest(at_least - F.greatest("k", _least(high, percent)) + 1, F.lit(1))
+    facts_of = [F.first(c).alias(c) for c in ("size", "k", "low", "high")]
+    asks_of = of_doc.where("after > 0")
+    # A group of one is its member. Its row has all classes that it looks up, so that a pair is told apart at one of the classes
+    # that it shares, the largest, and is one row.
+    members = placed.groupBy("g").agg(F.countDistinct("doc_id").alias("members"))
+    listed = stored(asks_of.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("u", "after"))).alias("looks")), "listed")
+    one_row = asks_of.join(listed, "doc_id")
+    single = one_row.join(members.where("members = 1").select("g"), "g").select(F.col("u").alias("to_u"), F.col("g").alias("to"), F.col("doc_id").alias("b"), F.col("size").alias("low"), F.col("size").alias("high"), F.col("own").alias("to_own"), F.col("full").alias("to_full"), F.col("looks").alias("to_looks"))
+    common = F.array_intersect(F.map_keys("looks"), F.map_keys("to_looks"))
+    told = F.aggregate(common, F.lit(0).cast("long"), lambda acc, x: acc + F.col("looks")[x])
+    alone = one_row.join(single, (F.col("u") == F.col("to_u")) & (F.col("g") < F.col("to")) & reach & (F.array_max(common) == F.col("u")) & (told >= looked)).select(F.col("doc_id").alias("a"), "b")
+    # the others are opened if their union of tokens allows it
+    large = stored(matrix.join(members.where("members > 1").select(F.col("g").alias("to")), "to"), "large")
+    met = asks_of.join(large, (F.col("u") == F.col("to_u")) & (F.col("g") < F.col("to")) & reach)
+    several = stored(met.groupBy("doc_id", "to").agg(F.sum("after").alias("m"), *facts_of).where(F.col("m") >= looked).select("doc_id", F.col("to").alias("of")), "near")
+    bound = of_doc.select("doc_id", "size", "k", "u", "w").join(several, "doc_id").join(large, (F.col("u") == F.col("to_u")) & (F.col("of") == F.col("to")))
+    overlap = bound.groupBy("doc_id", "to").agg(F.sum("w").alias("m"), *facts_of)
+    opened = stored(overlap.where(F.col("m") >= at_least).select("doc_id", "to"), "opened")
+    asks = placed.where(F.col("place") >= F.col("k")).select("doc_id", "size", "full", "own", "t", "g", "place")
+    mine = asks.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("full").alias("full_a"), F.col("own").alias("own_a"), "t", F.col("place").alias("place_a")).join(opened.select(F.col("doc_id").alias("a"), F.col("to").alias("g_a")), "a")
+    theirs = asks.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("full").alias("full_b"), F.col("own").alias("own_b"), F.col("t").alias("to_t"), F.col("g").alias("to"), F.col("place").alias("place_b"))
     full = F.col("full_a") & F.col("full_b")
     inter = _most(F.col("size_a"), F.when(full, F.col("own_a")).otherwise(0), F.col("size_b"), F.when(full, F.col("own_b")).otherwise(0))
-    close = 100 * inter >= percent * (F.col("size_a") + F.col("size_b") - inter)
-    both = mine.join(theirs, (F.col("t") == F.col("token")) & (F.col("g_a") == F.col("to")) & close)
-    pairs = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("way")).agg(F.count("*").alias("m"), F.least(F.first("ka"), F.first("kb")).alias("k")).where("m >= k").select("a", "b").distinct()
+    a_, b_ = F.col("size_a"), F.col("size_b")
+    pair_least = F.least(_shared(a_, a_, b_, percent), _shared(b_, a_, b_, percent))
+    close = (100 * inter >= percent * (a_ + b_ - inter)) & (F.col("place_a") >= pair_least) & (F.col("place_b") >= pair_least)
+    met = mine.join(theirs, (F.col("t") == F.col("to_t")) & (F.col("g_a") == F.col("to")) & close).select("a", "b").distinct()
+    # of the documents that met, those that share enough of their prefixes for their sizes; a document's classes are one row
+    lists = stored(placed.groupBy("doc_id", "size").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("held")), "lists")
+    of_a, of_b = (lists.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
+    both = F.array_intersect(F.map_keys("held_a"), F.map_keys("held_b"))
+    m = F.aggregate(both, F.lit(0).cast("long"), lambda acc, t: acc + F.col("held_a")[t])
+    pairs = stored(met.unionByName(alone), "met").join(of_b, "b").join(of_a, "a").where(m >= pair_least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(pairs, texts, n, percent)
     final = connected(stored(edges.unionByName(more), "all_edges"))
 
@@ -238,10 +313,11 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     member = sets.where("doc_id is not null").join(ids, "doc_id").select("doc_id", "size", "rep")
     member = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     nulls = sets.where("doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return member.unionByName(nulls)
+    return stored_alone(member.unionByName(nulls), "components", since)
 
 
 def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """documents, with the columns they had, of which each group of near duplicates keeps its smallest doc_id."""
-    kept = components(documents, n, percent).where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    id_ = fresh(documents, "kept_id")
+    kept = components(documents, n, percent).where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias(id_)).distinct()
+    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
