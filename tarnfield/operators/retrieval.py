@@ -8,12 +8,15 @@ shuffled, whatever the number of chunks. A query set past QUERY_ROWS is taken in
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tarnfield.functions.text import words
 
@@ -31,19 +34,35 @@ def refusal(access: Column, status: Column, asker: Column) -> Column:
 
 
 class KeywordIndex:
-    """Term statistics of a chunk table (pos, text), and scores by them."""
+    """Term statistics of a chunk table (pos, text), and scores by them.
+
+    Texts are split once for the statistics: the table of terms is kept until the index goes, its totals are three numbers.
+    """
 
     def __init__(self, chunks: DataFrame):
         self.chunks = chunks
         self.terms = chunks.select("pos", words(F.col("text")).alias("terms"))
-        self.totals = self.terms.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size("terms")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+
+    @cached_property
+    def statistics(self) -> tuple[DataFrame, int, float, float]:
+        """(term, df), the number of chunks, their mean length, and the mean of all terms' raw idf."""
+        once = self.terms.select(F.size("terms").alias("dl"), F.posexplode(F.array_distinct("terms")).alias("i", "term"))
+        # a chunk's length is counted with its first term
+        df = once.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("i") == 0, F.col("dl")).otherwise(0)).alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
+        weakref.finalize(self, df.unpersist)
+        n = self.chunks.count()
+        r = df.agg(F.sum("tokens").alias("tokens"), F.avg(self._raw(n)).alias("mean")).first()
+        return df.select("term", "df"), n, (r.tokens or 0) / max(n, 1) or 1.0, r.mean or 0.0
+
+    @staticmethod
+    def _raw(n: int) -> Column:
+        return F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
     def idf(self) -> DataFrame:
         """term, idf (Okapi): terms in more than half of all chunks get a share of the mean idf instead of a negative one."""
-        df = self.terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(self.totals))
-        raw = df.select("term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-        mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-        return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        df, n, _, mean = self.statistics
+        raw = self._raw(n)
+        return df.select("term", F.when(raw < 0, EPSILON * mean).otherwise(raw).alias("idf"))
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """query_id, term, weight of each query's (query_id, text) terms that a chunk has; a repeated term counts again."""
@@ -53,9 +72,9 @@ class KeywordIndex:
     def scores(self, queries: DataFrame) -> DataFrame:
         """query_id, pos, score of the chunks that a query (query_id, text) reaches, as an equi-join of terms."""
         postings = self.terms.select("pos", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
-        hits = self.asked(queries).join(postings, "term").join(F.broadcast(self.totals))
-        tf = F.col("tf")
-        part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        hits = self.asked(queries).join(postings, "term")
+        tf, avgdl = F.col("tf"), self.statistics[2]
+        part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
         return hits.groupBy("query_id", "pos").agg(F.round(F.sum(part), PLACES).alias("score"))
 
     def top_k(self, queries: DataFrame, k: int, allowed: Column | None = None, facts: DataFrame | None = None) -> DataFrame:
@@ -65,13 +84,12 @@ class KeywordIndex:
         """
         weights = self.asked(queries).toPandas()  # terms of the stated queries
         ids, cells = _numbered(queries)
-        total = self.totals.first()
         terms = sorted(set(weights["term"]))
         number = {t: i for i, t in enumerate(terms)}
         rows, cols = np.array([cells[_cell(q)] for q in weights["query_id"]], int), np.array([number[t] for t in weights["term"]], int)
         matrix = np.zeros((len(terms), len(ids)), np.float64)
         matrix[cols, rows] = weights["weight"].to_numpy(float)
-        avgdl = float(total.avgdl or 1.0)
+        avgdl = self.statistics[2]
 
         def scores(columns: list[pa.Array]) -> np.ndarray:
             lists = columns[1]
