@@ -136,3 +136,20 @@ def write_log(df: DataFrame, path: str) -> None:
 def write_summary(df: DataFrame, path: str, columns: list[str], *order: str) -> None:
     """A CSV with fixed columns and order: for summaries, which are small."""
     df.select(*columns).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+ARTICLE = "article_id string, product string, identifier string, role string, group int, text string"
+
+
+def read_first_edition(spark: SparkSession, folder: str, codes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The first edition's articles (with title, their first line) and questions (with item_id: the type's code and its place among its type).
+
+    Both files are one JSON document each; they are small.
+    """
+    articles = spark.read.schema(f"articles array<struct<{', '.join(c.replace(' ', ':', 1) for c in ARTICLE.split(', '))}>>").option("multiLine", True).json(f"{folder}/corpus.json")
+    articles = articles.select(F.inline("articles")).withColumn("title", F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
+    questions = spark.read.schema("questions array<struct<type:string,article_id:string,question:string>>").option("multiLine", True).json(f"{folder}/questions.json")
+    earlier = F.size(F.filter(F.slice("questions", 1, F.col("no")), lambda q: q["type"] == F.col("q.type")))
+    code = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("q.type")]
+    numbered = questions.select("questions", F.posexplode("questions").alias("no", "q"))
+    return articles, numbered.select(F.format_string("%s-%03d", code, earlier).alias("item_id"), "q.*")

@@ -154,3 +154,20 @@ def test_texts_are_written_until_they_pass(spark):
 def test_command_line_lists_queries():
     out = subprocess.run([sys.executable, "-m", "tarnfield", "list"], capture_output=True, text=True, check=True).stdout.split()
     assert "bm25_topk" in out and "episode_report" in out
+
+
+def test_items_reviews_and_the_first_edition(spark, tmp_path):
+    from tarnfield.sources import library, writer
+
+    span = "array<struct<doc_id:string,version:int,start:int,end:int>>"
+    items = spark.createDataFrame([("q1", "t", "how?", "public", [("d", 1, 2, 5), ("d", 1, 6, 8)]), ("q2", "t", "why?", "staff", [])], f"item_id string, type string, question string, asker string, evidence {span}")
+    writer.write_items(items, str(tmp_path / "items"), {"asker": "public"})
+    got = {json.loads(r.value)["item_id"]: json.loads(r.value) for r in spark.read.text(str(tmp_path / "items")).collect()}
+    assert "asker" not in got["q1"] and got["q2"] == {"item_id": "q2", "type": "t", "question": "why?", "asker": "staff"}
+    docs = spark.createDataFrame([("d", 1, "abcdefgh")], "doc_id string, version int, body string")
+    assert {r.item_id: r.evidence for r in writer.review_sheet(items, docs).collect()} == {"q1": "cde\ngh", "q2": ""}
+    (tmp_path / "corpus.json").write_text(json.dumps({"articles": [{"article_id": "a1", "product": "p", "group": 3, "text": " Lamp \nIt shines."}]}, indent=1))
+    (tmp_path / "questions.json").write_text(json.dumps({"questions": [{"type": t, "article_id": "a1", "question": f"q{i}"} for i, t in enumerate("xyx")]}))
+    articles, questions = library.read_first_edition(spark, str(tmp_path), {"x": "X", "y": "Y"})
+    assert articles.first().title == "Lamp" and articles.first().identifier is None
+    assert sorted((r.item_id, r.question) for r in questions.collect()) == [("X-000", "q0"), ("X-001", "q2"), ("Y-000", "q1")]
