@@ -14,7 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -54,6 +54,21 @@ class KeywordIndex:
         r = df.agg(F.sum("tokens").alias("tokens"), F.avg(self._raw(n)).alias("mean")).first()
         return df.select("term", "df"), n, (r.tokens or 0) / max(n, 1) or 1.0, r.mean or 0.0
 
+    def save(self, path: str) -> None:
+        """Writes split texts and term statistics, so that later sessions search without splitting or counting again."""
+        df, n, avgdl, mean = self.statistics
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        df.write.mode("overwrite").parquet(f"{path}/df")
+        df.sparkSession.createDataFrame([(n, float(avgdl), float(mean))], "n long, avgdl double, mean double").write.mode("overwrite").parquet(f"{path}/totals")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KeywordIndex:
+        index = cls.__new__(cls)
+        index.terms = spark.read.parquet(f"{path}/terms")
+        total = spark.read.parquet(f"{path}/totals").first()
+        index.statistics = (spark.read.parquet(f"{path}/df"), total.n, total.avgdl, total.mean)
+        return index
+
     @staticmethod
     def _raw(n: int) -> Column:
         return F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)

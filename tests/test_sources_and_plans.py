@@ -203,3 +203,27 @@ def test_sentences_and_changed_values():
     b = bpe.Bpe(bpe.read(), bpe.PATTERN)
     assert E.trimmed("One two. Three four. Five six seven eight.", 8, b) == "One two. Three four."
     assert E.insert_at("One two. Three four five six seven eight nine ten.", "New.", 20, b).startswith("One two. New. Three")
+
+
+def test_an_index_is_built_once_and_read_again(spark, tmp_path):
+    from tarnfield.operators import retrieval as R
+    from tarnfield.plans import index as I
+    from tarnfield.sources.stores import KeyedStore
+
+    def embed(texts):
+        return [[float(len(t)), float(t.count("a")), 1.0] for t in texts]
+
+    chunks = spark.createDataFrame([(1, "a lamp"), (2, "boats at sea"), (3, "a lamp")], "pos long, embed_text string")
+    store = KeyedStore(spark, str(tmp_path / "vectors"), I.VECTORS)
+    built = I.build_index(chunks, "m", embed, store)
+    assert store.table().count() == 2 and {r.pos: r.v[0] for r in built.vectors.collect()} == {1: 6.0, 2: 12.0, 3: 6.0}
+
+    def none(texts):
+        raise AssertionError("embedded again")
+
+    assert I.build_index(chunks, "m", none, store).vectors.count() == 3
+    asks = spark.createDataFrame([(9, "lamp")], "query_id long, text string")
+    built.keywords.save(str(tmp_path / "index"))
+    again = R.KeywordIndex.load(spark, str(tmp_path / "index"))
+    rows = lambda i: [(r.pos, r.score) for r in i.top_k(asks, 3).orderBy("rank").collect()]
+    assert rows(again) == rows(built.keywords) and [p for p, _ in rows(again)] == [1, 3, 2]
