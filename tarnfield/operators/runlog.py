@@ -51,7 +51,7 @@ def stratified_pilot(items: DataFrame, key: str, stratum: str, fraction: float,
     firsts = h.groupBy(stratum).agg(F.min(F.struct("h", key)).alias("f")).select(F.col(f"f.{key}").alias(key))
     size = h.agg(F.greatest(F.lit(1), F.round(F.count("*") * fraction)).alias("n")).first().n
     rest = max(int(size) - firsts.count(), 0)
-    more = h.join(F.broadcast(firsts), key, "left_anti").orderBy("h", key).limit(rest).select(key)
+    more = h.join(firsts, key, "left_anti").orderBy("h", key).limit(rest).select(key)
     return firsts.unionByName(more)
 
 
