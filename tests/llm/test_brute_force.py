@@ -377,3 +377,32 @@ def test_marginals_are_exact():
             one += w * np.array(y)
             two[1:] += w * np.array([y[k - 1] * y[k] for k in range(1, z - a)])
         assert np.allclose(p[a:z], one / total) and np.allclose(both[a + 1 : z], two[1:] / total)
+
+
+def test_texts_longer_than_a_pass(spark):
+    """One text of 1.4 MiB, over a pass, with passages that repeat across the cut and in another document."""
+    rng = random.Random(31)
+    passage = " ".join(rng.choices(WORDS, k=60))
+    parts = [" ".join(str(rng.getrandbits(40)) for _ in range(40_000)) for _ in range(3)]
+    long = f"{parts[0]} {passage}\n{parts[1]}\n{passage} {parts[2]}"
+    docs = {1: long, 2: f"other words first {passage} and last", 3: long[: 1 << 20] + " tail"}
+    assert len(long) > 1.3 * (1 << 20)
+    seen, want = set(), {}
+    for i, t in docs.items():
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            w = hash(b[p : p + 100])
+            if w in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        want[i] = int(gone.sum())
+    d = frame(spark, docs)
+    got = {r.doc_id: len(docs[r.doc_id].encode()) - len(r.kept) for r in suffix_dedup.deduplicate(d).collect()}
+    assert got == want and want[1] >= len(passage) and want[2] >= len(passage) and want[3] > 1_000_000
+    scores = {r.doc_id: r for r in pitman_yor.score(d).collect()}
+    assert {i: r.n_tokens for i, r in scores.items()} == {i: len(tokens(t)) + 1 for i, t in docs.items()}
+    sets = {r.doc_id: r.n_shingles for r in ngram_join.components(d).collect()}
+    assert sets == {i: len({tuple(w[j : j + 4]) for j in range(len(w) - 3)}) for i, w in ((i, tokens(t)) for i, t in docs.items())}
+    lines = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(d).collect()}
+    assert lines[1] == (3, 0) and lines[3][0] == docs[3].count("\n") + 1
