@@ -200,3 +200,38 @@ def call_lists(t: Tables) -> DataFrame:
     r = t.runs.where("call_id < 600").groupBy((F.col("call_id") % 300).alias("item_id"), F.col("event_type").alias("stage"))
     calls = F.array_sort(F.collect_list(F.struct("line_no", F.concat_ws("/", "model", "mode").alias("c"))))
     return r.agg(F.array_join(F.transform(calls, lambda x: x["c"]), " ").alias("calls"))
+
+
+@query(f"""with a as (select arm, count(*) filter (where answerable and evidence_rank <= 5) as c, count(*) filter (where answerable) as n from arms group by arm),
+w as (select arm, c / n as rate, {_w('c', 'n', 'low')} as low, {_w('c', 'n', 'high')} as high from a), ab as (select w.*, coalesce(w.low > r.high, false) as clear from w, w r where r.arm = 1),
+h as (select arm from ab where clear order by rate desc, arm limit 1)
+select ab.arm, round(rate, 6) as rate, round(low, 6) as low, round(high, 6) as high, ab.arm in (select arm from h) as highlighted from ab""")
+def chart_interval_bars(t: Tables) -> DataFrame:
+    """Bars with intervals; the best arm whose interval clears the reference's is highlighted, none if none does."""
+    a = t.arms.where("answerable").groupBy("arm").agg(F.count_if(F.col("evidence_rank") <= 5).alias("c"), F.count("*").alias("n"))
+    w = S.safe_wilson(F.col("c"), F.col("n"))
+    bars = a.select("arm", (F.col("c") / F.col("n")).alias("rate"), w["low"].alias("low"), w["high"].alias("high"))
+    bars = bars.join(F.broadcast(bars.where("arm = 1").select(F.col("high").alias("ref"))))
+    best = bars.where("low > ref").orderBy(F.desc("rate"), "arm").limit(1).select("arm", F.lit(True).alias("best"))
+    return bars.join(best, "arm", "left").select("arm", F.round("rate", 6).alias("rate"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.coalesce("best", F.lit(False)).alias("highlighted"))
+
+
+_BARS = {"search": ("answerable and evidence_rank <= 5", "answerable"), "answer": (f"answerable and {RIGHT}", "answerable"), "not found": ("not answerable and coalesce(declined, false)", "not answerable"), "leaks": ("asker = 'public' and leaked", "asker = 'public'")}
+
+
+@query("with a as (select arm, " + ", ".join(f"count(*) filter (where {c}) as c{i}, count(*) filter (where {n}) as n{i}" for i, (c, n) in enumerate(_BARS.values())) + " from arms where arm in (1, 7) group by arm) " + " union all ".join(f"select '{k}' as category, arm, round(c{i} / n{i}, 6) as rate from a" for i, k in enumerate(_BARS)))
+def chart_grouped_bars(t: Tables) -> DataFrame:
+    """The four numbers of the first and the final arm, as shares."""
+    a = t.arms.where("arm in (1, 7)").groupBy("arm").agg(*[(F.count_if(F.expr(c)) / F.count_if(F.expr(n))).alias(k) for k, (c, n) in _BARS.items()])
+    return a.select(F.inline(F.array(*[F.struct(F.lit(k).alias("category"), F.col("arm"), F.round(F.col(f"`{k}`"), 6).alias("rate")) for k in _BARS])))
+
+
+@query("""with b as (select arm, count(*) filter (where correct) as x, count(*) filter (where faithful and answerable) as y from arms group by arm), r as (select arm, dense_rank() over (order by x desc) as before, dense_rank() over (order by y desc) as after from b)
+select arm, before, after, case when after < before then 'rises' when after > before then 'falls' else 'stays' end as direction, before - after as places from r""")
+def chart_slope(t: Tables) -> DataFrame:
+    """Places in two orders, ties sharing one, and which way each arm moves."""
+    b = t.arms.groupBy("arm").agg(F.count_if("correct").alias("x"), F.count_if(F.expr("faithful and answerable")).alias("y"))
+    place = lambda c: F.dense_rank().over(Window.orderBy(F.desc(c))).cast("long")
+    r = b.select("arm", place("x").alias("before"), place("y").alias("after"))
+    direction = F.when(F.col("after") < F.col("before"), "rises").when(F.col("after") > F.col("before"), "falls").otherwise("stays")
+    return r.select("arm", "before", "after", direction.alias("direction"), (F.col("before") - F.col("after")).alias("places"))
