@@ -171,3 +171,16 @@ def test_items_reviews_and_the_first_edition(spark, tmp_path):
     articles, questions = library.read_first_edition(spark, str(tmp_path), {"x": "X", "y": "Y"})
     assert articles.first().title == "Lamp" and articles.first().identifier is None
     assert sorted((r.item_id, r.question) for r in questions.collect()) == [("X-000", "q0"), ("X-001", "q2"), ("Y-000", "q1")]
+
+
+def test_runs_accumulate_in_their_metadata(spark, tmp_path):
+    from tarnfield.sources import metadata
+
+    path = str(tmp_path / "results" / "metadata.json")
+    schema = "run_id string, started string, finished string, calls long, failures long"
+    assert metadata.read_metadata(path) is None
+    metadata.record_run(path, spark.createDataFrame([("b", "2024-01-02", "2024-01-03", 5, 1)], schema), str(tmp_path))
+    out = metadata.record_run(path, spark.createDataFrame([("a", "2024-01-01", "2024-01-01", 2, 0), ("b", "2024-01-02", "2024-01-04", 6, 0)], schema), str(tmp_path), prices="x")
+    assert metadata.read_metadata(path) == out and [(p["run_id"], p["calls"]) for p in out["passes"]] == [("a", 2), ("b", 6)]
+    assert (out["started"], out["finished"], out["prices"], out["git"]["commit"]) == ("2024-01-01", "2024-01-04", "x", None)
+    assert out["versions"]["pyspark"]
