@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from tarnfield.llm.shared import BASE_INV, PASS_BYTES, blocks_of, buffers, id_bounds, mix, ordered_block, powers, prefix_hash, stored, tidy
 
 LENGTH, ANCHOR = 100, 32
+#: Bytes of text that a block has on average, at most.
+BLOCK_BYTES = 64 << 20
 POSITION = np.uint64(24)
 EARLIER, MIXED = 1, 2
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -81,7 +83,6 @@ class Pass:
         body = (self.sums[stop] - self.sums[self.first]) * self.inv[self.first]
         self.body_hash = mix(mix(body) ^ ((stop - self.first).astype(np.uint64) << np.uint64(32)) ^ (anchor - self.first).astype(np.uint64))
 
-    @tidy
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(interval, start) of all windows of some intervals, in order."""
         size = self.last[which] - self.first[which] + 1
@@ -218,7 +219,10 @@ class Block:
 def deduplicate(documents: DataFrame, length: int = LENGTH, blocks: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (byte ranges removed) and kept (the bytes that stay) of every row."""
     spark = documents.sparkSession
-    blocks = blocks or blocks_of(spark)
+    if blocks is None:
+        # a block's texts are in one task: as many blocks as a shuffle has partitions, more if these would hold too much
+        size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        blocks = max(blocks_of(spark), -(-size // BLOCK_BYTES))
     buckets = blocks
     bounds = id_bounds(documents, blocks)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ordered_block(F.col("doc_id"), bounds).cast("int").alias("block"))
