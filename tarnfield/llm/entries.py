@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the driver's tables, and their DuckDB equivalents."""
+"""Queries op1 to op13 over the driver's tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, suffix_dedup, toxicity, warc
-from tarnfield.llm.shared import crc_mod
+from tarnfield.llm import byte_bpe, fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, suffix_dedup, tandem_runs, toxicity, warc, whitening
+from tarnfield.llm.shared import NOT_WS, crc_mod
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -65,6 +65,52 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """docs of which a tenth, by the crc32 of the id, repeat themselves from some word on."""
+    h = crc_mod(F.col("doc_id"), 1 << 32)
+    ws = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({NOT_WS})"), 1)
+
+    def repeated(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        take = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, take(i))), " ")).otherwise("")
+
+    # the words are bound to a lambda's name, so that they are split once
+    return docs.withColumn("text", F.when(h % 10 == 0, F.get(F.transform(F.array(ws), repeated), F.lit(0))).otherwise(F.col("text")))
+
+
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tandem_runs.periodic_runs(_repeating(_docs(spark, sf_dir).select("doc_id", "text"))).drop("text")
+    # runs come by start and period: the first of the greatest stays
+    more = lambda x, b: b.isNull() | (x["length"] * b["period"] > b["length"] * x["period"])
+    best = F.aggregate("runs", F.lit(None).cast(out.schema["runs"].dataType.elementType), lambda b, x: F.when(more(x, b), x).otherwise(b))
+    line = lambda x: F.concat_ws(",", *(x[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = out.withColumn("best", best)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_docs(spark, sf_dir, "embeddings").select("vec_id", "embedding"), count=32)
+    one = out.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened"))
+    return one.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = byte_bpe.encode(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
+    out = byte_bpe.decode(ids)
+    return out.select("doc_id", "n_tokens", F.sha2(byte_bpe.ids_text(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_piece_encoding": op2_piece_encoding,
@@ -76,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_tandem_runs": op11_tandem_runs,
+    "op12_whitening": op12_whitening,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {

@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = "[ \\t-\\r]+"
 NOT_WS = "[^ \\t-\\r]+"
@@ -118,6 +119,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def over_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name: within, they are numbered, as mapInArrow can't resolve a name with a dot."""
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=numbered.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(renamed, numbered).toDF(*schema.names)
+
+
 def blocks_of(spark: SparkSession) -> int:
     """How many blocks a table is dealt into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.llm import fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, suffix_dedup, toxicity, warc
+from tarnfield.llm import byte_bpe, fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, suffix_dedup, tandem_runs, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, size long, rank double, block string, token string"
 LONG = "the cat sat on the mat again and again " * 3000
@@ -33,6 +33,8 @@ RUNS = {
     "join": lambda s, d: ngram_join.components(d),
     "one_of_each": lambda s, d: ngram_join.one_of_each(d),
     "suffixes": lambda s, d: suffix_dedup.deduplicate(d),
+    "runs": lambda s, d: tandem_runs.periodic_runs(d),
+    "tokens": lambda s, d: byte_bpe.decode(byte_bpe.encode(d)),
     "language_model": lambda s, d: pitman_yor.score(d),
 }
 EACH_ROW = set(RUNS) - {"mixed", "one_of_each", "line_documents", "toxicity"}
