@@ -52,9 +52,15 @@ PATTERN = public_tokenizers.PATTERN
 CHUNK, OVERLAP = 1 << 15, 512
 #: How far a match looks ahead of its beginning at most, besides the character after it.
 AHEAD = 3
-#: Pre-tokens that each of two tables keeps; the older is dropped when the newer is full.
-MEMO_PIECES = 200_000
-ROWS = 500
+#: Pre-tokens whose ids a worker keeps; when there are more, those of the texts at hand stay.
+MEMO_PIECES = 300_000
+#: Bytes from which a pre-token is merged alone, by a heap.
+LONG_PIECE = 64
+#: Texts, and characters, that are encoded at a time.
+ROWS, CHARACTERS = 500, 1 << 20
+#: The table of pairs: its size as a power of two, and how keys are spread over it.
+TABLE = 20
+HASH, MASK, SHIFT = 0x9E3779B97F4A7C1, (1 << 62) - 1, 62 - TABLE
 
 
 def _classes(pattern: str) -> set[str]:
@@ -89,7 +95,21 @@ class Ranks:
         self.plain = {ord(c): "☠" for c in odd}
         self.odd = frozenset(odd)
         self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # ids whose bytes together are a piece, as an open table of 2**TABLE slots: left id * none + right id, and the piece's
+        self.none = max(self.bytes_of) + 1
+        self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = np.array([self.rank.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)], np.int32)
+        found = [(a, b, i) for piece, i in self.rank.items() for cut in range(1, len(piece)) if (a := self.rank.get(piece[:cut])) is not None and (b := self.rank.get(piece[cut:])) is not None]
+        a, b, value = np.array(found or [(0, 0, 0)], np.int64).T
+        self.keys, self.values = np.full(1 << TABLE, -1), np.zeros(1 << TABLE, np.int32)
+        key, todo = a * self.none + b, np.arange(len(found))
+        slot = (key * HASH & MASK) >> SHIFT
+        # of those that want one slot the last gets it
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            self.keys[slot[free]], self.values[slot[free]] = key[free], value[free]
+            todo = todo[self.keys[slot[todo]] != key[todo]]
+            slot[todo] = (slot[todo] + 1) % len(self.keys)
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text; together they are the text."""
@@ -97,28 +117,74 @@ class Ranks:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.plain))]
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        if piece in self.rank:
-            return [self.rank[piece]]
-        return self._short(piece) if len(piece) <= 64 else self._long(piece)
-
-    def _short(self, piece: bytes) -> list[int]:
-        get, none = self.rank.get, len(self.rank) + 1
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(a + b, none) for a, b in zip(parts[:-1], parts[1:], strict=True)]
-        while pairs:
-            least = min(pairs)
-            if least == none:
-                break
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-        return [self.rank[p] for p in parts]
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """int32 ids of each pre-token, as bytes: merges of many go on at once, one in each a round."""
+        out: list[bytes] = [b""] * len(pieces)
+        some = []
+        for i, piece in enumerate(pieces):
+            whole = self.rank.get(piece)
+            if whole is not None:
+                out[i] = array("i", [whole]).tobytes()
+            elif len(piece) > LONG_PIECE:
+                out[i] = array("i", self._long(piece)).tobytes()
+            else:
+                some.append(i)
+        if some:
+            ids, sizes = self._rounds([pieces[i] for i in some])
+            raw, stops = ids.tobytes(), np.cumsum(sizes * 4).tolist()
+            for i, a, b in zip(some, [0, *stops], stops, strict=False):
+                out[i] = raw[a:b]
+        return out
+
+    def _rounds(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pre-tokens laid together, and how many each has."""
+        size = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = self.of_byte[raw]
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        # the rank of each id and the one after it
+        pair = np.full(len(ids), self.none, np.int32)
+        pair[:-1] = self.byte_pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        pair[np.cumsum(size) - 1] = self.none
+        done = []
+        while len(ids):
+            begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            count = np.diff(np.append(begin, len(ids)))
+            least = np.minimum.reduceat(pair, begin)
+            over = least == self.none
+            if over.any():
+                gone = np.repeat(over, count)
+                done.append((piece[gone], ids[gone]))
+                ids, piece, pair, least, count = ids[~gone], piece[~gone], pair[~gone], least[~over], count[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(pair == np.repeat(least, count))
+            at = at[np.append(True, piece[at[1:]] != piece[at[:-1]])]
+            ids[at] = pair[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, piece, pair = ids[stay], piece[stay], pair[stay]
+            at -= np.arange(len(at))  # one element has gone for each that came before
+            near = np.concatenate([at, at[at > 0] - 1])
+            after = np.minimum(near + 1, len(ids) - 1)
+            joined = (near + 1 < len(ids)) & (piece[near] == piece[after])
+            pair[near] = np.where(joined, self._pair_ranks(ids[near], ids[after]), self.none)
+        which, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(which, kind="stable")].astype(np.int32), np.bincount(which, minlength=len(pieces))
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of two ids' bytes together, `none` where they are no piece."""
+        key = left.astype(np.int64) * self.none + right
+        slot = (key * HASH & MASK) >> SHIFT
+        out = np.full(len(key), self.none, np.int32)
+        look = np.arange(len(key))
+        while len(look):
+            have = self.keys[slot[look]]
+            same = have == key[look]
+            out[look[same]] = self.values[slot[look[same]]]
+            look = look[~same & (have >= 0)]
+            slot[look] = (slot[look] + 1) % len(self.keys)
+        return out
 
     def _long(self, piece: bytes) -> list[int]:
         """The same by a heap of pairs over a linked list: a pre-token may be as long as a text."""
@@ -146,23 +212,19 @@ class Ranks:
             i = after[i]
         return out
 
-    def encode(self, pieces: list[str]) -> bytes:
-        """int32 ids of pre-tokens, as bytes."""
-        try:
-            return b"".join(map(self.memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        out = []
-        for p in pieces:
-            got = self.memo.get(p)
-            if got is None:
-                got = self.older.get(p) or array("i", self.merged(p.encode())).tobytes()
-                if len(self.memo) >= MEMO_PIECES:
-                    self.older, self.memo = self.memo, {}
-                if len(p) <= 64:
-                    self.memo[p] = got
-            out.append(got)
-        return b"".join(out)
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """int32 ids, as bytes, of some texts' pre-tokens."""
+        here = set().union(*texts)
+        memo = self.memo
+        new = [p for p in here if p not in memo]
+        if len(memo) + len(new) > MEMO_PIECES:
+            self.memo = memo = {p: memo[p] for p in here if p in memo}
+        memo.update(zip(new, self.merged([p.encode() for p in new]), strict=True))
+        out = [b"".join(map(memo.__getitem__, t)) for t in texts]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del memo[p]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -173,6 +235,19 @@ def ranks(content: bytes, pattern: str, odd: str) -> Ranks:
 CACHES[__name__] = ranks.cache_clear
 
 
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded length together; a longer text is alone."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if i > a and (held + size > CHARACTERS or i - a >= ROWS):
+            yield a, i
+            a, held = i, 0
+        held += size
+    if texts:
+        yield a, len(texts)
+
+
 def _ids(got: list[bytes]) -> list[pa.Array]:
     """token_ids and n_tokens of some texts."""
     sizes = np.array([len(x) // 4 for x in got], np.int64)
@@ -180,6 +255,12 @@ def _ids(got: list[bytes]) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(got), np.int32))), pa.array(sizes)]
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column laid together, and the bounds of each row's; a null row has none."""
+    counts = column.value_lengths().fill_null(0).to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+
+
 def _cut(long: DataFrame, column: str, keep: list[T.StructField], sent, chunk: int, overlap: int) -> DataFrame:
     """Pre-tokenised chunks: row, chunk, start, its text, `ends` of its pre-tokens, and the other columns as `doc` on the first."""
     others = F.struct(*(F.col(f"`{f.name}`") for f in keep)) if keep else F.struct(F.lit(0).alias("none"))
@@ -237,15 +318,19 @@ def _long_encoded(long: DataFrame, column: str, keep: list[T.StructField], sent,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(*sent.value)
         for batch in batches:
-            got = []
-            for text, ends, begin, stop in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                if ends is None:
-                    got.append(r.encode(r.pieces(text)))
-                    continue
-                at = np.array([0, *ends])
-                at = at[(at >= begin) & (at <= (len(text) if stop is None else stop))].tolist()
-                got.append(r.encode([text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids(got)[0], batch.column(6)], names=["row", "chunk", "ids", "doc"])
+            texts = batch.column(2).to_pylist()
+            for a, b in _groups(texts):
+                part, pieces = batch.slice(a, b - a), []
+                values, bounds = _lists(part.column(3))
+                whole = part.column(3).is_null().to_pylist()
+                for i, (text, begin, stop) in enumerate(zip(texts[a:b], part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                    if whole[i]:
+                        pieces.append(r.pieces(text))
+                        continue
+                    at = np.append(0, values[bounds[i] : bounds[i + 1]])
+                    at = at[(at >= begin) & (at <= (len(text) if stop is None else stop))].tolist()
+                    pieces.append([text[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids(r.encode(pieces))[0], part.column(6)], names=["row", "chunk", "ids", "doc"])
 
     kind = chunks.schema["doc"].dataType
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("doc", kind)])
@@ -271,9 +356,10 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(*sent.value)
         for batch in batches:
-            for a in range(0, len(batch), ROWS):
-                part = batch.slice(a, ROWS)
-                got = [r.encode(r.pieces(t)) if t else b"" for t in part.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            for a, b in _groups(texts):
+                part = batch.slice(a, b - a)
+                got = r.encode([r.pieces(t) if t else [] for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *_ids(got)], names=schema.names)
 
     is_long = F.coalesce(F.length(column), F.lit(0)) > chunk + overlap
@@ -294,7 +380,9 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_i
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
-                got = [b"".join(map(of.__getitem__, x)) if x else b"" for x in part.column(at).to_pylist()]
+                values, bounds = _lists(part.column(at))
+                flat, bounds = list(map(of.__getitem__, values.tolist())), bounds.tolist()
+                got = [b"".join(flat[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), pa.array(got, pa.binary())], names=schema.names)
 
     return over_arrow(encoded, run, schema)
