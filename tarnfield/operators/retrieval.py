@@ -1,291 +1,23 @@
-"""Keyword, vector and fused search over chunks, with filters before or after ranking.
-
-Chunks are rows with a position `pos` that breaks ties. Every chunk has a score for every query, 0 where no
-term reaches it, and ranks. A stated query set is sent to the tasks; each scores its own chunks by one matrix product
-for a batch and keeps the best k for each query, so that only k rows for a query and task are
-shuffled, whatever the number of chunks. A query set past QUERY_ROWS is taken in blocks.
-"""
+"""Who may read a chunk, and what a prompt takes. Search itself is in keyword_index, vectors and fusion, evidence in spans."""
 
 from __future__ import annotations
 
-import weakref
-from collections.abc import Iterator
-from functools import cached_property
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from tarnfield.functions.text import words
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-RRF_K = 60
-#: Queries that one pass over the chunks answers, and chunks of one matrix product.
-QUERY_ROWS, PRODUCT_ROWS = 4096, 256
-#: Decimal places that scores are compared at: sums in any order compare alike.
-PLACES, VECTOR_PLACES = 9, 6
+from tarnfield.operators.fusion import RRF_K, fuse, fuse_whole, prefix
+from tarnfield.operators.keyword_index import KeywordIndex
+from tarnfield.operators.ranking import top_k
+from tarnfield.operators.spans import held, spans
+from tarnfield.operators.vectors import dot, unit, vector_pairs, vector_places, vector_top_k
 
+__all__ = ["RRF_K", "KeywordIndex", "dot", "fuse", "fuse_whole", "held", "prefix", "spans", "top_k", "unit", "vector_pairs", "vector_places", "vector_top_k"]
 
 def refusal(access: Column, status: Column, asker: Column) -> Column:
     """Why a chunk is withheld: access comes before status; null if it isn't."""
     return F.when((access == "staff") & (asker != "staff"), "access").when(status != "current", "status")
 
 
-class KeywordIndex:
-    """Term statistics of a chunk table (pos, text), and scores by them.
-
-    Texts are split once for the statistics: the table of terms is kept until the index goes, its totals are three numbers.
-    """
-
-    def __init__(self, chunks: DataFrame):
-        self.chunks = chunks
-        self.terms = chunks.select("pos", words(F.col("text")).alias("terms"))
-
-    @cached_property
-    def statistics(self) -> tuple[DataFrame, int, float, float]:
-        """(term, df), the number of chunks, their mean length, and the mean of all terms' raw idf."""
-        once = self.terms.select(F.size("terms").alias("dl"), F.posexplode(F.array_distinct("terms")).alias("i", "term"))
-        # a chunk's length is counted with its first term
-        df = once.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("i") == 0, F.col("dl")).otherwise(0)).alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
-        weakref.finalize(self, df.unpersist)
-        n = self.chunks.count()
-        r = df.agg(F.sum("tokens").alias("tokens"), F.avg(self._raw(n)).alias("mean")).first()
-        return df.select("term", "df"), n, (r.tokens or 0) / max(n, 1) or 1.0, r.mean or 0.0
-
-    def save(self, path: str) -> None:
-        """Writes split texts and term statistics, so that later sessions search without splitting or counting again."""
-        df, n, avgdl, mean = self.statistics
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        df.write.mode("overwrite").parquet(f"{path}/df")
-        df.sparkSession.createDataFrame([(n, float(avgdl), float(mean))], "n long, avgdl double, mean double").write.mode("overwrite").parquet(f"{path}/totals")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> KeywordIndex:
-        index = cls.__new__(cls)
-        index.terms = spark.read.parquet(f"{path}/terms")
-        total = spark.read.parquet(f"{path}/totals").first()
-        index.statistics = (spark.read.parquet(f"{path}/df"), total.n, total.avgdl, total.mean)
-        return index
-
-    @staticmethod
-    def _raw(n: int) -> Column:
-        return F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-
-    def idf(self) -> DataFrame:
-        """term, idf (Okapi): terms in more than half of all chunks get a share of the mean idf instead of a negative one."""
-        df, n, _, mean = self.statistics
-        raw = self._raw(n)
-        return df.select("term", F.when(raw < 0, EPSILON * mean).otherwise(raw).alias("idf"))
-
-    def asked(self, queries: DataFrame) -> DataFrame:
-        """query_id, term, weight of each query's (query_id, text) terms that a chunk has; a repeated term counts again."""
-        counted = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        return counted.join(self.idf(), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """query_id, pos, score of the chunks that a query (query_id, text) reaches, as an equi-join of terms."""
-        postings = self.terms.select("pos", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("pos", "dl", "term").agg(F.count("*").alias("tf"))
-        hits = self.asked(queries).join(postings, "term")
-        tf, avgdl = F.col("tf"), self.statistics[2]
-        part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-        return hits.groupBy("query_id", "pos").agg(F.round(F.sum(part), PLACES).alias("score"))
-
-    def top_k(self, queries: DataFrame, k: int, allowed: Column | None = None, facts: DataFrame | None = None) -> DataFrame:
-        """query_id, pos, score, rank of each query's (query_id, text) best k chunks.
-
-        allowed, if given, says of columns of queries and of facts (pos, ..) which chunks a query ranks.
-        """
-        weights = self.asked(queries).toPandas()  # terms of the stated queries
-        ids, cells = _numbered(queries)
-        terms = sorted(set(weights["term"]))
-        number = {t: i for i, t in enumerate(terms)}
-        rows, cols = np.array([cells[_cell(q)] for q in weights["query_id"]], int), np.array([number[t] for t in weights["term"]], int)
-        matrix = np.zeros((len(terms), len(ids)), np.float64)
-        matrix[cols, rows] = weights["weight"].to_numpy(float)
-        avgdl = self.statistics[2]
-
-        def scores(columns: list[pa.Array]) -> np.ndarray:
-            lists = columns[1]
-            tf = np.zeros((len(lists), len(terms)))
-            at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            coded = lists.flatten().dictionary_encode()
-            place = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], int)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, int)
-            np.add.at(tf, (at[place >= 0], place[place >= 0]), 1.0)
-            dl = columns[0].to_numpy().astype(float)
-            tf *= (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)[:, None])
-            return np.round(tf @ matrix, PLACES)
-
-        among = F.filter("terms", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
-        table = self.terms.select("pos", F.size("terms").alias("dl"), among.alias("terms"))
-        return _best(table, scores, queries, ids, k, allowed, facts)
-
-
-def _cell(query_id) -> tuple:
-    return tuple(query_id.values()) if isinstance(query_id, dict) else tuple(query_id) if isinstance(query_id, (tuple, list)) else (query_id,)
-
-
-def _numbered(queries: DataFrame) -> tuple[list, dict]:
-    """The stated queries' ids in order, and the number of each."""
-    ids = sorted((r.query_id for r in queries.select("query_id").distinct().collect()), key=_cell)
-    return ids, {_cell(q): i for i, q in enumerate(ids)}
-
-
-def _best(table: DataFrame, scores, queries: DataFrame, ids: list, k: int, allowed: Column | None, facts: DataFrame | None) -> DataFrame:
-    """The k best chunks of each query: scores(columns after pos) gives a batch's chunks x queries."""
-    spark = table.sparkSession
-    kind = queries.schema["query_id"].dataType
-    if not ids:
-        return spark.createDataFrame([], f"query_id {kind.simpleString()}, pos long, score double, rank int")
-    names = [c for c in table.columns if c != "pos"]
-    may, table = _permitted(table, queries, ids, allowed, facts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-
-        def squeezed(q: np.ndarray, pos: np.ndarray, score: np.ndarray) -> tuple:
-            order = np.lexsort((pos, -score, q))
-            q, pos, score = q[order], pos[order], score[order]
-            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
-            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-            return q[place < k], pos[place < k], score[place < k]
-
-        for batch in batches:
-            for a in range(0, len(batch), PRODUCT_ROWS):
-                part = batch.slice(a, PRODUCT_ROWS)
-                pos = part.column(0).to_numpy()
-                s = scores([part.column(i) for i in range(1, len(names) + 1)])
-                if may is not None:
-                    s = np.where(may[part.column(len(names) + 1).to_numpy()], s, -np.inf)
-                if len(pos) > k:
-                    # ties with the k-th stay: the position decides among them
-                    edge = np.partition(s, len(pos) - k, axis=0)[len(pos) - k]
-                    row, q = np.nonzero((s >= edge) & (s > -np.inf))
-                else:
-                    row, q = np.nonzero(s > -np.inf)
-                kept = squeezed(*(np.concatenate([x, y]) for x, y in zip(kept, (q, pos[row], s[row, q]), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["q", "pos", "score"])
-
-    found = table.mapInArrow(run, "q long, pos long, score double")
-    names_of = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], f"q long, query_id {kind.simpleString()}")
-    return top_k(found.join(F.broadcast(names_of), "q").select("query_id", "pos", "score"), k)
-
-
-def _permitted(table: DataFrame, queries: DataFrame, ids: list, allowed: Column | None, facts: DataFrame | None) -> tuple[np.ndarray | None, DataFrame]:
-    """Which kinds of chunks (distinct facts) a query ranks, and the table with the kind of each chunk."""
-    if allowed is None or facts is None:
-        return None, table
-    about = [c for c in facts.columns if c != "pos"]
-    kinds = facts.select(*about).distinct().collect()  # a few values for each fact
-    numbered = table.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(kinds)], _kind_schema(facts, about)) if kinds else None
-    if numbered is None:
-        return np.zeros((1, len(ids)), bool), table.withColumn("kind", F.lit(0))
-    number = {_cell(q): i for i, q in enumerate(ids)}
-    may = np.zeros((len(kinds), len(ids)), bool)
-    # both sides are stated: distinct facts and the query set
-    for r in queries.join(F.broadcast(numbered)).where(allowed).select("kind", "query_id").collect():
-        may[r.kind, number[_cell(r.query_id)]] = True
-    same = F.lit(True)
-    for c in about:
-        same = same & facts[c].eqNullSafe(numbered[c])
-    return may, table.join(facts.join(F.broadcast(numbered), same).select("pos", "kind"), "pos")
-
-
-def _kind_schema(facts: DataFrame, about: list[str]):
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    return StructType([StructField("kind", IntegerType()), *(facts.schema[c] for c in about)])
-
-
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The first k of each query by score, then position, with rank. Spark cuts each task's rows to k before the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def unit(v: Column) -> Column:
-    """v over its Euclidean length, in double."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / length)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _units(v: pa.Array) -> np.ndarray:
-    x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-    length = np.sqrt((x * x).sum(1, keepdims=True))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / length
-
-
-def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, allowed: Column | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """query_id, pos, score (cosine), rank of each query's (query_id, v) best k chunks (pos, v); as KeywordIndex.top_k."""
-    ids, cells = _numbered(queries)
-    told = queries.select("query_id", "v").toArrow()
-    asked = np.zeros((len(ids), 1))
-    if len(ids):
-        units = _units(told.column("v").combine_chunks())
-        asked = np.zeros((len(ids), units.shape[1]))
-        asked[[cells[_cell(q)] for q in told.column("query_id").to_pylist()]] = units
-    return _best(chunks.select("pos", "v"), lambda columns: np.round(_units(columns[0]) @ asked.T, VECTOR_PLACES), queries, ids, k, allowed, facts)
-
-
-def vector_pairs(queries: DataFrame, chunks: DataFrame, least: float) -> DataFrame:
-    """query_id, pos, score of the pairs of a stated query set (query_id long, v) and all chunks (pos, v) with a cosine of `least` or more."""
-    told = queries.select("query_id", "v").toArrow()
-    ids, asked = told.column("query_id").to_numpy(), _units(told.column("v").combine_chunks()) if told.num_rows else np.zeros((0, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch) if len(ids) else 0, PRODUCT_ROWS):
-                part = batch.slice(a, PRODUCT_ROWS)
-                s = np.round(_units(part.column(1)) @ asked.T, VECTOR_PLACES)
-                row, q = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(part.column(0).to_numpy()[row]), pa.array(s[row, q])], names=["query_id", "pos", "score"])
-
-    return chunks.select("pos", "v").mapInArrow(run, "query_id long, pos long, score double")
-
-
-def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, list_no, rank, pos): score, and rank; ties keep the order of first mention."""
-    first = F.min(F.struct("list_no", "rank"))
-    s = rankings.groupBy("query_id", "pos").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), first.alias("first"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first.list_no", "first.rank")
-    return s.withColumn("rank", F.row_number().over(w)).select("query_id", "pos", "score", "rank")
-
-
-def spans(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Where each item's evidence first stands word for word in a document: item_id, doc_id, start, stop.
-
-    Words within an evidence have a space on either side wherever it stands, its first and last word may not. So documents are
-    looked up by the evidence's second word with the third, if it has one before its last (an equi-join with the documents' pairs of words between
-    spaces), and only those few pairs are compared as texts. Evidence of three words or fewer has no such inner pair and is
-    compared with every document: those items, a stated set, go out in blocks.
-    """
-    ws = F.split("evidence", " ")
-    key = items.select("item_id", "evidence", F.when(F.size(ws) >= 4, F.array_join(F.slice(ws, 2, 2), " ")).alias("gram"))
-    long, short = key.where("gram is not null"), key.where("gram is null").select("item_id", "evidence")
-    pairs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 2), " ")))
-    # the words are bound to a lambda's name so that they are split once for a text; only pairs that an item has are exploded
-    wanted = long.select("gram").distinct()
-    few = [r.gram for r in wanted.limit(QUERY_ROWS + 1).collect()]
-    found = F.get(F.transform(F.array(F.split("text", " ")), pairs), F.lit(0))
-    if len(few) <= QUERY_ROWS:
-        found = F.filter(found, lambda g: g.isin(few)) if few else F.array().cast("array<string>")
-    near = docs.select("doc_id", F.explode(found).alias("gram")).join(long, "gram").select("doc_id", "item_id", "evidence")
-    at = F.expr("instr(text, evidence)")
-    hits = docs.select("doc_id", "text").join(near, "doc_id").where(at > 0)
-    block = short.groupBy((F.xxhash64("item_id") % 64).alias("block")).agg(F.collect_list(F.struct("item_id", "evidence")).alias("asked"))
-    in_text = F.filter("asked", lambda x: F.contains(F.col("text"), x["evidence"]))
-    if not short.isEmpty():
-        every = docs.select("doc_id", "text").join(F.broadcast(block) if short.count() <= QUERY_ROWS else block).select("doc_id", "text", F.inline(in_text))
-        hits = hits.select("doc_id", "text", "item_id", "evidence").unionByName(every)
-    return hits.select("item_id", "doc_id", (at - 1).cast("long").alias("start"), (at - 1 + F.length("evidence")).cast("long").alias("stop"))
-
-
 def span_ranks(found: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """item_id, doc_id, start, stop, rank of the first ranked chunk (query_id, pos, rank) that holds the span whole; null if none."""
     placed = ranked.join(chunks.select("pos", F.col("doc_id").alias("c_doc"), F.col("start").alias("c_start"), F.col("stop").alias("c_stop")), "pos")

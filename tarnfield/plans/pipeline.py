@@ -130,16 +130,19 @@ def _refused(f: Filter) -> Column:
 
 def _searched(index: retrieval.KeywordIndex | None, q: DataFrame, light: DataFrame, s: Search, allowed: Column | None, vectors: DataFrame | None, query_vectors: DataFrame | None) -> DataFrame:
     """query_id, pos, score, rank of each query's best chunks by the spec's search."""
-    deep = s.depth if s.mode != "hybrid" else s.fuse_depth or max(light.count(), s.depth)
-    lists = []
+    deep = s.depth if s.mode != "hybrid" else s.fuse_depth or retrieval.prefix(s.depth, s.rrf_k)
+    texts, lists = q.select("query_id", "text", "asker"), []
     if index is not None:
-        lists.append(index.top_k(q.select("query_id", "text", "asker"), deep, allowed, light))
+        lists.append((index.top_k(texts, deep, allowed, light), lambda wanted: index.places(texts, wanted, allowed, light)))
     if s.mode in ("vector", "hybrid"):
         asks = query_vectors.select(F.struct(F.col("query_id").alias("item_id"), F.lit(0).alias("query_no")).alias("query_id"), "v").join(q.select("query_id", "asker"), "query_id")
-        lists.append(retrieval.vector_top_k(asks, vectors.join(light.select("pos"), "pos"), deep, allowed, light))
+        here = vectors.join(light.select("pos"), "pos")
+        lists.append((retrieval.vector_top_k(asks, here, deep, allowed, light), lambda wanted: retrieval.vector_places(asks, here, wanted, allowed, light)))
     if len(lists) == 1:
-        return lists[0]
-    both = lists[0].select("query_id", F.lit(1).alias("list_no"), "rank", "pos").unionByName(lists[1].select("query_id", F.lit(2).alias("list_no"), "rank", "pos"))
+        return lists[0][0]
+    if s.fuse_depth is None:
+        return retrieval.fuse_whole(lists, s.depth, s.rrf_k)
+    both = lists[0][0].select("query_id", F.lit(1).alias("list_no"), "rank", "pos").unionByName(lists[1][0].select("query_id", F.lit(2).alias("list_no"), "rank", "pos"))
     return retrieval.fuse(both, s.rrf_k).where(F.col("rank") <= s.depth)
 
 

@@ -100,6 +100,19 @@ def search_hybrid(t: Tables) -> DataFrame:
     return out.select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""with {_BM25}, kr as (select query_id, pos, row_number() over (partition by query_id order by score desc, pos) as rank from al), {_NEAR},
+l as (select query_id, pos, 1 as list_no, rank from kr union all select query_id, pos, 2, rank from vr),
+f as (select query_id, pos, round(sum(1.0 / (60 + rank)), 9) as score, min(list_no * 10000000 + rank) as first from l group by 1, 2),
+rr as (select *, row_number() over (partition by query_id order by score desc, first) as rank2 from f)
+select query_id, pos, score, rank2 as rank from rr where rank2 <= 10""")
+def search_hybrid_whole(t: Tables) -> DataFrame:
+    """Fusion of both whole rankings: 81 rows of each are read for a query, and few places counted."""
+    vectors, asks = _vectors(t)
+    spec = P.Spec(chunker=P.Chunker("whole"), search=P.Search("hybrid", 10))
+    out = P.run(t.docs, _spec_items(t), spec, vectors, asks)["searched"]
+    return out.select("query_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _PARTS = """pa as (select item_id, asker, evidence, list_filter(list_transform(string_split(replace(evidence, '. ', chr(10)), chr(10)), lambda x: trim(trim(x, ' -*0123456789.'))), lambda x: x <> '')[1:3] as ps from items),
 pd as (select item_id, asker, case when len(ps) > 0 then [ps[i] for i in range(1, len(ps) + 1) if list_position(ps, ps[i]) = i] else [evidence] end as ps from pa),
 q as (select item_id * 10 + no as query_id, asker, text from (select item_id, asker, unnest(ps) as text, generate_subscripts(ps, 1) - 1 as no from pd))"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnfield.operators import chunking as C
 from tarnfield.operators import retrieval as R
 from tarnfield.queries.registry import Tables, query
+from tarnfield.session import written
 
 # ------------------------------------------------------------------ vectors: every 20th row asks all rows
 
@@ -100,8 +101,15 @@ def _queries(t: Tables) -> DataFrame:
     return t.items.select(F.col("item_id").alias("query_id"), "asker", F.col("evidence").alias("text"))
 
 
+#: Indexes of this application's tables, written when first asked.
+_INDEXES: dict[tuple[str, str], R.KeywordIndex] = {}
+
+
 def _index(t: Tables) -> R.KeywordIndex:
-    return R.KeywordIndex(t.docs.select(F.col("doc_id").alias("pos"), "text"))
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = R.KeywordIndex(t.docs.select(F.col("doc_id").alias("pos"), "text"))
+    return _INDEXES[key]
 
 
 def _top(t: Tables, k: int, allowed: bool = False) -> DataFrame:
@@ -233,16 +241,20 @@ def all_spans_union(t: Tables) -> DataFrame:
 
 @query(f"with {_SPANS}, {_CHUNKS} select item_id, sp.doc_id, chunk_no::bigint as chunk_no from sp join ck on sp.doc_id = ck.doc_id and ck.start <= sp.start and sp.stop <= ck.stop")
 def span_containment_join(t: Tables) -> DataFrame:
-    c = C.word_chunks(t.docs, 64).select(F.col("doc_id").alias("c_doc"), "chunk_no", F.col("start").alias("c_start"), F.col("stop").alias("c_stop"))
-    holds = (F.col("doc_id") == F.col("c_doc")) & (F.col("c_start") <= F.col("start")) & (F.col("stop") <= F.col("c_stop"))
-    return _spans(t).join(c, holds).select("item_id", "doc_id", "chunk_no")
+    found, chunks = _spans_and_chunks(t)
+    return R.held(found, chunks).select("item_id", "doc_id", F.col("c_chunk_no").alias("chunk_no"))
+
+
+def _spans_and_chunks(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The spans, and chunks of the documents that have some."""
+    found = written(_spans(t))
+    docs = t.docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return found, C.word_chunks(docs, 64).select("doc_id", "chunk_no", "start", "stop")
 
 
 @query(f"with {_SPANS}, {_CHUNKS} select item_id, doc_id, start, stop from sp where not exists (select 1 from ck where sp.doc_id = ck.doc_id and ck.start <= sp.start and sp.stop <= ck.stop)")
 def cut_spans_anti(t: Tables) -> DataFrame:
-    c = C.word_chunks(t.docs, 64).select(F.col("doc_id").alias("c_doc"), F.col("start").alias("c_start"), F.col("stop").alias("c_stop"))
-    holds = (F.col("doc_id") == F.col("c_doc")) & (F.col("c_start") <= F.col("start")) & (F.col("stop") <= F.col("c_stop"))
-    return _spans(t).join(c, holds, "left_anti")
+    return R.held(*_spans_and_chunks(t), "left_anti")
 
 
 _RANKS = f"{_BM25}, {_SPANS}, {_ranked('true', 10)}, sr as (select sp.item_id, sp.doc_id, min(top.rank) as rank from sp left join top on top.query_id = sp.item_id and top.pos = sp.doc_id group by 1, 2)"

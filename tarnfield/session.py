@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -27,3 +31,24 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read lazily so that Catalyst can prune it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder for working tables that the driver and all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    One process that is driver and executor alike makes a folder of its own where neither is set; a cluster must name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnfield-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/") + "/tarnfield"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the work folder and read back, for what is read more than once."""
+    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,9 @@
 """Hand-computed values and order of ties."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,117 @@ def test_best_chunks_with_ties_and_filters(spark):
             open_ = [i for i in texts if not filtered or who == "staff" or i % 2 == 0]
             want = sorted(open_, key=lambda i: (-scores.get((q, i), 0.0), i))[:6]
             assert [r.pos for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+# ------------------------------------------------------------------ indexes, tiles, whole fusion and intervals
+
+
+def _plain_ranking(scores, allowed):
+    return sorted((p for p in scores if p in allowed), key=lambda p: (-scores[p], p))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_blocks_that_cannot_matter_stay_shut(spark, monkeypatch, few):
+    from tarnfield.operators import keyword_index as K
+
+    monkeypatch.setattr(K, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(K, "FEW_BLOCKS", 1000 if few else 0)
+    rng = random.Random(4)
+    texts = {i * 3: " ".join(rng.choice("a b c d e f g h".split() + [f"w{i % 40}"]) for _ in range(rng.randrange(0, 12))) for i in range(300)}
+    texts[9] = None
+    chunks = spark.createDataFrame(list(texts.items()), "pos long, text string").repartition(3)
+    facts = spark.createDataFrame([(i, "staff" if i % 2 else "public", None) for i in texts if i != 6], "pos long, access string, status string")
+    asks = spark.createDataFrame([(1, "a w3 w7 w3", "public"), (2, "nothing here", "staff"), (3, "", "public"), (4, "w11", "public"), (5, None, "staff"), (6, "w1 w2 w5", "staff")], "query_id long, text string, asker string")
+    index = K.KeywordIndex(chunks)
+    reached: dict = {}
+    for r in index.scores(asks).collect():
+        reached.setdefault(r.query_id, {})[r.pos] = r.score
+    opened = []
+    scored = K._Search.scored
+    monkeypatch.setattr(K._Search, "scored", lambda self, o, *a: (opened.append(o.count()), scored(self, o, *a))[1])
+    may = (F.col("access") == "public") | (F.col("asker") == "staff")
+    wanted = spark.createDataFrame([(1, 0), (1, 9), (1, 30), (4, 33), (6, 3), (2, 60)], "query_id long, pos long")
+    for allowed in (None, may):
+        got = index.top_k(asks, 5, allowed, facts if allowed is not None else None).collect()
+        places = {(r.query_id, r.pos): r.rank for r in index.places(asks, wanted, allowed, facts if allowed is not None else None).collect()}
+        for q, who in ((1, "public"), (2, "staff"), (3, "public"), (4, "public"), (5, "staff"), (6, "staff")):
+            seen = [i for i in texts if allowed is None or (i != 6 and (who == "staff" or i % 2 == 0))]
+            want = _plain_ranking({i: reached.get(q, {}).get(i, 0.0) for i in texts}, set(seen))
+            assert [r.pos for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want[:5]
+            assert all(places[q, p] == want.index(p) + 1 for k, p in places if k == q and p in want)
+    if not few:
+        only = asks.where("query_id = 6")
+        opened.clear()
+        assert index.top_k(only, 2).count() == 2 and sum(opened) < index.blocks  # rare words open some blocks
+
+
+def test_vectors_without_a_direction_are_left_out(spark, monkeypatch):
+    from tarnfield.operators import ranking, vectors as V
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    for i in (5, 6, 7, 8, 9):
+        rows[i] = (i, [0.0] * 4)
+    rows[20], rows[21] = (20, None), (21, [1.0, None, 2.0, 3.0])
+    chunks = spark.createDataFrame(rows, "pos long, v array<double>").repartition(3)
+    asks = spark.createDataFrame([(q, None if q == 3 else [0.0] * 4 if q == 4 else rows[30 + q][1]) for q in range(7)], "query_id long, v array<double>")
+    good = {i: np.array(v) for i, v in rows if v and None not in v and any(v)}
+    for size in (4096, 3):  # one block of queries, then tiles
+        monkeypatch.setattr(ranking, "QUERY_ROWS", size)
+        monkeypatch.setattr(V, "TILE_ROWS", 64 if size == 3 else 16384)
+        got = V.vector_top_k(asks, chunks, 5).collect()
+        wanted = spark.createDataFrame([(q, p) for q in range(7) for p in (0, 7, 50, 299)], "query_id long, pos long")
+        places = {(r.query_id, r.pos): r.rank for r in V.vector_places(asks, chunks, wanted).collect()}
+        assert {r.query_id for r in got} == {0, 1, 2, 5, 6}
+        for q in (0, 1, 2, 5, 6):
+            a = np.array(rows[30 + q][1])
+            scores = {i: round(float(a @ v / np.linalg.norm(a) / np.linalg.norm(v)), 6) for i, v in good.items()}
+            want = _plain_ranking(scores, set(good))
+            assert [r.pos for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want[:5]
+            assert all(places[q, p] == want.index(p) + 1 for p in (0, 50, 299)) and (q, 7) not in places
+
+
+@pytest.mark.parametrize("depth, k", [(1, 60), (5, 60), (10, 3), (400, 60)])
+def test_fusion_of_whole_rankings_from_prefixes(spark, depth, k):
+    rng = random.Random(depth)
+    orders = {q: [rng.sample(range(300), 300), rng.sample(range(300), 280)] for q in range(4)}
+    read = []
+
+    def side(i):
+        rows = [(q, p, r + 1) for q, o in orders.items() for r, p in enumerate(o[i])]
+        table = spark.createDataFrame(rows, "query_id long, pos long, rank int")
+
+        def places(wanted):
+            read.append(wanted.count())
+            return table.join(wanted, ["query_id", "pos"])
+
+        return table.where(F.col("rank") <= R.prefix(depth, k)), places
+
+    got = R.fuse_whole([side(0), side(1)], depth, k).collect()
+    for q, o in orders.items():
+        at = [{p: r + 1 for r, p in enumerate(x)} for x in o]
+        score = {p: round(sum(1.0 / (k + a[p]) for a in at if p in a), 9) for p in range(300)}
+        first = {p: min((i, a[p]) for i, a in enumerate(at) if p in a) for p in range(300)}
+        want = sorted(range(300), key=lambda p: (-score[p], first[p]))[:depth]
+        rows = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.pos for r in rows] == want and all(abs(r.score - score[r.pos]) < 1e-9 for r in rows)
+    if depth <= 5:
+        assert sum(read) < 4 * 2 * 100  # few places are counted, and none for most chunks
+
+
+def test_spans_and_the_chunks_that_hold_them(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab c\n") for _ in range(400))
+    found = [(1, a, a + rng.randrange(0, 60)) for a in range(0, 400, 3)] + [(2, 0, 3)]
+    cuts = [(1, n, a, a + 90) for n, a in enumerate(range(0, 400, 45))] + [(3, 0, 0, 50), (1, 99, 0, 400)]
+    f = spark.createDataFrame(found, "doc_id long, start long, stop long")
+    c = spark.createDataFrame(cuts, "doc_id long, chunk_no int, start long, stop long")
+    want = sorted((a, b, n) for d, a, b in found for e, n, x, y in cuts if d == e and x <= a and b <= y)
+    for size in (7, 8192):
+        assert sorted((r.start, r.stop, r.c_chunk_no) for r in R.held(f, c, size=size).collect()) == want
+        assert R.held(f, c, "left_anti", size).count() == sum(not any(d == e and x <= a and b <= y for e, _, x, y in cuts) for d, a, b in found)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    items = {i: text[i * 9 : i * 9 + i % 7] for i in range(30)} | {30: "", 31: None, 32: text[5:9]}
+    i = spark.createDataFrame(list(items.items()), "item_id long, evidence string")
+    got = {(r.item_id, r.doc_id, r.start, r.stop) for r in R.spans(i, docs).collect()}
+    assert got == {(k, n, t.index(e), t.index(e) + len(e)) for k, e in items.items() if e is not None for n, t in ((1, text), (3, "")) if e in t}
