@@ -1,7 +1,7 @@
 """The boundary to models: planned calls in, run records out, with validation, pacing and retries.
 
 A responder is any object with `validate(call)`, which raises ValueError, and `respond(call)`, which returns the
-answer's fields. Calls are dealt by provider, so that a provider's pace is kept within one task for each of its lanes.
+answer's fields. Send times are planned before anything is sent: a column that every lane of a provider obeys.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.operators.runlog import pending
+from tarnfield.operators.runlog import pending, slots
+from tarnfield.sources.responses import ResponseFolder
 
 ATTEMPTS, FIRST_WAIT = 5, 1.0
 RECORD = "call_id string, request_hash string, provider string, ok boolean, attempts int, text string, input_tokens long, output_tokens long, error string"
@@ -65,8 +66,12 @@ def attempt(responder: Responder, call: dict[str, Any], sleep: Callable[[float],
     return {"ok": False, "attempts": tried, "error": error, "text": None, "input_tokens": None, "output_tokens": None}
 
 
-def answered(calls: DataFrame, make: Callable[[], Responder], lanes: int = 1, interval: float = 0.0) -> DataFrame:
-    """Run records of calls (call_id, request_hash, provider, prompt). All calls are validated before one is sent."""
+def answered(calls: DataFrame, make: Callable[[], Responder], lanes: int = 1, interval: float = 0.0, folder: ResponseFolder | None = None) -> DataFrame:
+    """Run records of calls (call_id, request_hash, provider, prompt). All calls are validated before one is sent.
+
+    Each call has a slot of its provider's limiter, `interval` seconds apart; its lanes, a task or part of one each, send
+    in the order of slots and keep to them. A folder keeps each record as it comes, and a request it has is not sent.
+    """
 
     def bad(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         responder = make()
@@ -84,26 +89,46 @@ def answered(calls: DataFrame, make: Callable[[], Responder], lanes: int = 1, in
         raise ValueError(f"call {problem.call_id}: {problem.problem}")
 
     def send(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        responder = make()
+        responder, free = make(), 0.0
         for chunk in chunks:
             rows = []
             for call in chunk.to_dict("records"):
-                rows.append({k: call[k] for k in ("call_id", "request_hash", "provider")} | attempt(responder, call))
-                if interval:
-                    time.sleep(interval)
+                record = folder.get(call["request_hash"]) if folder else None
+                if record is None:
+                    # not before its slot, nor sooner after the lane's last call than all lanes together allow
+                    now = time.time()
+                    due = max(began + call["slot"], free)
+                    if due > now:
+                        time.sleep(due - now)
+                    free = max(due, now) + lanes * interval
+                    record = {k: call[k] for k in ("call_id", "request_hash", "provider")} | attempt(responder, call)
+                    if folder:
+                        folder.put(record)
+                rows.append(record | {"call_id": call["call_id"]})
             if rows:
                 yield pd.DataFrame(rows)[[x.split(" ")[0] for x in RECORD.split(", ")]]
 
-    lane = F.pmod(F.xxhash64("call_id"), F.lit(lanes))
-    return calls.repartition("provider", lane).mapInPandas(send, RECORD)
+    began = time.time()
+    first = slots(calls.withColumn("at", F.lit(0.0)), "provider", "at", "call_id", interval)
+    lane = F.pmod(F.row_number().over(Window.partitionBy("provider").orderBy("slot", "call_id")), F.lit(lanes))
+    timed = first.withColumn("lane", lane).repartition("provider", "lane").sortWithinPartitions("provider", "slot")
+    return timed.mapInPandas(send, RECORD)
+
 
+def run(planned: DataFrame, done: DataFrame, make: Callable[[], Responder], folder: ResponseFolder | None = None, **how: Any) -> DataFrame:
+    """Records for what `done` lacks: equal requests are sent once and their answer goes to every call that planned it.
 
-def run(planned: DataFrame, done: DataFrame, make: Callable[[], Responder], **how: Any) -> DataFrame:
-    """Records for what `done` lacks: equal requests are sent once and their answer goes to every call that planned it."""
+    With a folder, requests that it has an answer to are not sent, and each answer is put there before the next call
+    goes: a task that runs again, or the whole run, sends only what it had no record of.
+    """
     todo = pending(planned, done)
     leaders = todo.groupBy("request_hash", "provider").agg(F.min(F.struct("call_id", "prompt")).alias("x")).select("request_hash", "provider", "x.call_id", "x.prompt")
-    got = answered(leaders, make, **how).drop("call_id")
-    return todo.select("call_id", "request_hash", "provider").join(got, ["request_hash", "provider"])
+    known = folder.answers(planned.sparkSession, RECORD).dropDuplicates(["request_hash"]) if folder else None
+    got = answered(folder.lacking(leaders, RECORD) if folder else leaders, make, folder=folder, **how)
+    got = got if known is None else got.unionByName(known.join(todo.select("request_hash").distinct(), "request_hash", "left_semi").select(*got.columns))
+    # one answer for each request: what was sent since the folder was listed is among both
+    got = got.drop("call_id", "provider").dropDuplicates(["request_hash"])
+    return todo.select("call_id", "request_hash", "provider").join(got, "request_hash")
 
 
 def check_budget(estimate: DataFrame, limit: float) -> float:

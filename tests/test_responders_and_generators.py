@@ -1,9 +1,14 @@
+import os
+import time
+from collections import Counter
+
 import pytest
 
 from tarnfield.operators import generators as G
 from tarnfield.operators import responders as R
 from tarnfield.sources import library as L
 from tarnfield.sources import writer as W
+from tarnfield.sources.responses import ResponseFolder
 
 CALLS = "call_id string, request_hash string, provider string, prompt string"
 
@@ -100,3 +105,55 @@ def test_passes_accumulate(spark):
     one = W.run_passes(r)
     two = W.run_passes(r.limit(0).union(spark.createDataFrame([("r2", "2024-02-01", None)], r.schema)), one)
     assert {(x.run_id, x.started, x.finished, x.calls, x.failures) for x in two.collect()} == {("r1", "2024-01-01", "2024-01-03", 2, 1), ("r2", "2024-02-01", "2024-02-01", 1, 0)}
+
+
+def counting(folder, dies_at=None):
+    """Makes a responder that notes each call it sends, and dies once at a given prompt. Workers get its class by value."""
+
+    class Counting(R.MockResponder):
+        def respond(self, call):
+            with open(f"{folder}/sent", "a") as f:
+                f.write(f"{call['request_hash']} {time.time()}\n")
+            if call["prompt"] == dies_at and not os.path.exists(f"{folder}/died"):
+                open(f"{folder}/died", "w").close()
+                os._exit(1)
+            if call["prompt"] == "p3":
+                raise RuntimeError("refused")
+            return super().respond(call)
+
+    return Counting
+
+
+def sent(tmp_path):
+    return [line.split()[0] for line in (tmp_path / "sent").read_text().splitlines()]
+
+
+def test_a_killed_task_sends_nothing_twice(spark, tmp_path):
+    calls = [(f"c{i}", f"h{i % 12}", "p", f"p{i % 12}") for i in range(24)]
+    planned = spark.createDataFrame(calls, "call_id string, request_hash string, provider string, prompt string")
+    done = spark.createDataFrame([], R.RECORD)
+    folder = ResponseFolder(f"file://{tmp_path}/responses", "run1")
+    where = str(tmp_path)
+    with pytest.raises(Exception, match="(?i)worker|python|exit"):
+        R.run(planned, done, counting(where, "p7"), folder=folder).collect()
+    before = sent(tmp_path)
+    got = R.run(planned, done, counting(where, "p7"), folder=folder).collect()
+    after = sent(tmp_path)
+    assert sorted(r.call_id for r in got) == sorted(c for c, *_ in calls)
+    assert {r.request_hash for r in got if not r.ok} == {"h3"}
+    # only the request that was under way when the worker died went out again
+    assert len(before) < 12 and Counter(after) == Counter({f"h{i}": 1 for i in range(12)}) + Counter(["h7"])
+    again = R.run(planned, done, counting(where), folder=folder).collect()
+    assert len(again) == 24 and sent(tmp_path) == after
+    other = R.run(planned, done, counting(where), folder=ResponseFolder(folder.uri, "run2")).collect()
+    assert len(other) == 24 and sent(tmp_path)[len(after) :] == ["h3"]  # a later run tries failures again
+
+
+def test_lanes_keep_to_their_slots(spark, tmp_path):
+    planned = spark.createDataFrame([(f"c{i:02}", f"h{i}", "p", f"q{i}") for i in range(12)], "call_id string, request_hash string, provider string, prompt string")
+    where = str(tmp_path)
+    R.answered(planned, counting(where), lanes=3, interval=0.1).collect()
+    at = sorted(float(line.split()[1]) for line in (tmp_path / "sent").read_text().splitlines())
+    assert at[-1] - at[0] > 0.1 * (12 - 3) * 0.9
+    # no more than the lanes' share in any stretch of time
+    assert all(at[i + 6] - at[i] > 0.25 for i in range(len(at) - 6))
