@@ -14,7 +14,12 @@ from tarnfield.queries.registry import QUERIES, Tables, query
 from tarnfield.queries.retrieval import _BM25, _CHUNKS, _NEAR, _ranked, _top
 
 
-@query()
+@query("""with recursive t as (select conv_id, turn, tokens, row_number() over (partition by conv_id order by turn) as n from turns),
+b as (select conv_id, n, turn, 0::bigint as batch, 1 as inputs, tokens as held from t where n = 1
+ union all select t.conv_id, t.n, t.turn, case when b.inputs = 4 or b.held + t.tokens > 2000 then b.batch + 1 else b.batch end,
+  case when b.inputs = 4 or b.held + t.tokens > 2000 then 1 else b.inputs + 1 end, case when b.inputs = 4 or b.held + t.tokens > 2000 then t.tokens else b.held + t.tokens end
+ from b join t on t.conv_id = b.conv_id and t.n = b.n + 1)
+select conv_id, turn, batch from b""")
 def batches(t: Tables) -> DataFrame:
     return E.batches(t.turns, "conv_id", "turn", "tokens", 4, 2000)
 

@@ -67,14 +67,31 @@ def select(rows: DataFrame, **equal: Any) -> DataFrame:
     return rows
 
 
+#: Keys of one range of a digest's tree.
+DIGEST_KEYS = 1024
+
+
 def checksum(rows: DataFrame, key: str) -> DataFrame:
     """checksum, items: a digest of the rows in the order of their key, for comparing with a committed one.
 
-    Rows are digested where they are; the digests, a few bytes each, are put in order on one row.
+    A tree of digests: rows are digested where they are, the digests of DIGEST_KEYS neighbouring keys make one of
+    the range, in order, those of so many ranges the next, until one range is left. Ranges are of numbers; other keys go by
+    their crc32. So no task holds more than a range, and the digest doesn't depend on how rows are partitioned.
     """
+    whole = dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(key).cast("long") if whole else F.crc32(F.col(key).cast("string").cast("binary"))
     line = F.md5(F.concat_ws("\t", *[F.col(c).cast("string") for c in rows.columns]).cast("binary"))
-    digests = F.array_sort(F.collect_list(F.struct(key, line.alias("d"))))
-    return rows.groupBy().agg(F.md5(F.array_join(F.transform(digests, lambda x: x["d"]), "").cast("binary")).alias("checksum"), F.count("*").alias("items"))
+    # a row's place is its number, then its key and digest; a null key comes first
+    level = rows.select(F.coalesce(number, F.lit(-1)).alias("at"), F.struct(F.col(key).alias("k"), line.alias("d")).alias("place"), line.alias("digest"), F.lit(1).cast("long").alias("items"))
+    low, high = level.agg(F.min("at"), F.max("at")).first()
+    while True:
+        parts = F.array_sort(F.collect_list(F.struct("at", "place", "digest")))
+        cell = F.floor(F.col("at") / DIGEST_KEYS).cast("long")
+        level = level.groupBy(cell.alias("cell")).agg(F.md5(F.array_join(F.transform(parts, lambda x: x["digest"]), "").cast("binary")).alias("digest"), F.sum("items").alias("items"))
+        level = level.select(F.col("cell").alias("at"), F.struct("cell").alias("place"), "digest", "items")
+        low, high = (None if x is None else x // DIGEST_KEYS for x in (low, high))
+        if low == high:
+            return level.select(F.col("digest").alias("checksum"), "items")
 
 
 def committed(rows: DataFrame, key: str, config: dict, known: dict | None) -> bool:

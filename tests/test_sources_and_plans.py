@@ -227,3 +227,74 @@ def test_an_index_is_built_once_and_read_again(spark, tmp_path):
     again = R.KeywordIndex.load(spark, str(tmp_path / "index"))
     rows = lambda i: [(r.pos, r.score) for r in i.top_k(asks, 3).orderBy("rank").collect()]
     assert rows(again) == rows(built.keywords) and [p for p, _ in rows(again)] == [1, 3, 2]
+
+
+def test_latest_answers_of_a_stream_equal_those_of_the_whole_log(spark, tmp_path):
+    import random
+
+    from tarnfield.operators.runlog import latest_successful
+    from tarnfield.streaming.runlog import RECORD, LatestAnswers
+
+    rng, rows = random.Random(2), []
+    state = LatestAnswers(spark, str(tmp_path / "state"), buckets=4)
+    for batch in range(6):
+        new = [(f"c{rng.randrange(9)}", f"h{rng.randrange(3)}", len(rows) + i, rng.random() < 0.5, None, "") for i in range(12)]
+        rows += new
+        rng.shuffle(new)
+        table = spark.createDataFrame(new + new[:3], RECORD)
+        state.merge(table, batch)
+        if batch % 2:
+            state.merge(table, batch)  # a batch runs again
+        want = sorted(tuple(r) for r in latest_successful(spark.createDataFrame(rows, RECORD)).select("call_id", "request_hash", "line_no").collect())
+        assert sorted(tuple(r) for r in state.latest().collect()) == want
+
+
+def test_latest_answers_follow_a_folder(spark, tmp_path):
+    from tarnfield.streaming.runlog import LatestAnswers
+
+    src = tmp_path / "in"
+    src.mkdir()
+    row = {"call_id": "a", "request_hash": "h", "line_no": 1, "ok": True, "recorded": "2024-01-01T00:00:00", "text": "x"}
+    state = LatestAnswers(spark, str(tmp_path / "state"))
+    for n, (line, ok, want) in enumerate([({}, True, [("a", "h", 1)]), ({"line_no": 2, "request_hash": "g"}, False, []), ({"line_no": 3, "request_hash": "g"}, True, [("a", "g", 3)])]):
+        (src / f"{n}.json").write_text(json.dumps(row | line | {"ok": ok}) + "\n")
+        state.follow(runlog.records(spark, str(src)), str(tmp_path / "ck")).awaitTermination(60)
+        assert [tuple(r) for r in state.latest().collect()] == want
+
+
+def test_batches_of_one_large_group(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([0, 1, 5, 30, 120, None])) for g, n in (("a", 3000), (None, 7), ("b", 1)) for i in range(n)]
+    table = spark.createDataFrame(rows, "g string, i long, tokens long").repartition(5)
+    for inputs, tokens in ((7, 100), (1, 50), (5000, 40)):
+        got = {(r.g, r.i): r.batch for r in E.batches(table, "g", "i", "tokens", inputs, tokens).collect()}
+        for g in ("a", None, "b"):
+            mine = [r for r in rows if r[0] == g]
+            want = E.pack([r[2] or 0 for r in mine], inputs, tokens)
+            assert [got[(g, r[1])] for r in mine] == want
+
+
+def test_a_digest_is_a_tree_of_ranges(spark):
+    import hashlib
+
+    from tarnfield.sources import itemlog
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    rows = [(i * 37, f"t{i}") for i in range(4000)] + [(5, None), (5, "b")]
+    want = {}
+    for i, t in sorted(rows, key=lambda r: (r[0], md5("\t".join([str(r[0])] + ([r[1]] if r[1] is not None else []))))):
+        want.setdefault(i, []).append(md5("\t".join([str(i)] + ([t] if t is not None else []))))
+    level = {i: "".join(d) for i, d in want.items()}
+    while True:
+        cells = {}
+        for i in sorted(level):
+            cells.setdefault(i // 1024, []).append(level[i])
+        level = {c: md5("".join(d)) for c, d in cells.items()}
+        if len(level) == 1:
+            break
+    for parts in (1, 7):
+        r = itemlog.checksum(spark.createDataFrame(rows, "id long, text string").repartition(parts), "id").first()
+        assert (r.checksum, r["items"]) == (next(iter(level.values())), len(rows))
+    assert itemlog.checksum(spark.createDataFrame([("x", "y"), ("z", None)], "id string, text string"), "id").count() == 1
