@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnfield.llm.shared import CACHES, tidy
+from tarnfield.llm.shared import CACHES, over_arrow, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -196,7 +196,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
                 new = [ids, pa.array(sizes), pa.array(score[bounds[1:]] - score[bounds[:-1]]), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *new], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return over_arrow(documents, run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -212,4 +212,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "piece_i
             texts = [p.decode(x or []).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return over_arrow(encoded, run, schema)

@@ -11,9 +11,8 @@ The counts: words are `[^\\x20\\x09-\\x0D]+`, lines are split at \\n.
 
 Defined results: a null or empty text has zero of everything and fails the base
 rules. Every row is judged on its own, so repeated rows get equal verdicts. An
-empty table gives an empty result. Extra columns are ignored by `verdicts` and
-kept by `filter_documents`. A rule that no document moves keeps its prior
-accuracy.
+empty table gives an empty result. Extra columns are ignored. A rule that no document
+moves keeps its prior accuracy.
 """
 
 from __future__ import annotations

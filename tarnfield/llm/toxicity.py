@@ -264,7 +264,7 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7
     known = labels.where(crc_mod(F.col("doc_id"), 3) != 1)
     model = trained(documents, known)
     extra = [c for c in documents.columns if c != "text"]
-    renamed = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(extra)], F.col("text").alias("c_text"), "text")
+    renamed = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)], F.col("text").alias("c_text"), "text")
     keep = tuple(f"c{i}" for i in range(len(extra))) + ("c_text",)
     names = dict(zip(extra, keep, strict=False)) | {"text": "c_text"}
     return score(renamed, model, keep).where(F.col("score") < threshold).select(*[F.col(names[c]).alias(c) for c in documents.columns])

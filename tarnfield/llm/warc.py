@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.shared import stored, work_path
+from tarnfield.llm.shared import blocks_of, stored, work_path
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
@@ -207,7 +207,8 @@ def read_archives(spark: SparkSession, bundles: DataFrame) -> DataFrame:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.int64()), pa.array(cols[5])], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri"])
 
-    names = bundles.select("bundle").distinct()
+    # so many tasks as is said: names are a few bytes each, which adaptive execution would lay together in one
+    names = bundles.select("bundle").distinct().repartition(blocks_of(spark), "bundle")
     return names.mapInArrow(run, RECORD)
 
 

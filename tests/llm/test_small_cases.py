@@ -58,7 +58,7 @@ def test_stages_keep_columns(spark, name):
     assert RUNS[name](spark, d).columns == d.columns
 
 
-CLASHING = ["drop", "id", "row", "doc", "kept", "copy", "copies", "got_doc_id", "rel", "kept_id", "component_id", "score", "owner", "t", "g", "w", "n", "exact_", "__kept", "__copies", "__size", "__doc_id", "__copy", "__id", "__row"]
+CLASHING = ["drop", "id", "row", "doc", "kept", "copy", "copies", "got_doc_id", "rel", "kept_id", "component_id", "score", "owner", "t", "g", "w", "n", "exact_", "a.b", "__kept", "__copies", "__size", "__doc_id", "__copy", "__id", "__row"]
 
 
 @pytest.mark.parametrize("name", ["line_documents", "mixed", "toxicity", "one_of_each"])
@@ -90,6 +90,21 @@ def test_columns_of_the_results_names(spark):
     assert all(r.decoded == (r.text or "") for r in got.collect())
 
 
+def test_dotted_names_are_kept_by_encoders(spark):
+    d = table(spark, ROWS).withColumn("a.b", F.lit("x"))
+    for encoder in (piece_encoding, byte_bpe):
+        got = encoder.decode(encoder.encode(d))
+        assert "a.b" in got.columns and {r["a.b"] for r in got.collect()} == {"x"}
+
+
+def test_archives_are_read_by_several_tasks(spark):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}" * 50) for i in range(60)], "page_id long, url string, html string").repartition(4)
+    index = warc.write_archives(pages)
+    read = warc.read_archives(spark, index)
+    # a number that adaptive execution keeps, however small the names
+    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and read.count() == 60
+
+
 def test_one_row(spark):
     d = table(spark, [(7, "a b c d e f", "s")])
     r = fingerprints.with_edits(d).first()
