@@ -97,14 +97,6 @@ def test_dotted_names_are_kept_by_encoders(spark):
         assert "a.b" in got.columns and {r["a.b"] for r in got.collect()} == {"x"}
 
 
-def test_archives_are_read_by_several_tasks(spark):
-    pages = spark.createDataFrame([(i, "u", f"<p>{i}" * 50) for i in range(60)], "page_id long, url string, html string").repartition(4)
-    index = warc.write_archives(pages)
-    read = warc.read_archives(spark, index)
-    # a number that adaptive execution keeps, however small the names
-    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and read.count() == 60
-
-
 def test_one_row(spark):
     d = table(spark, [(7, "a b c d e f", "s")])
     r = fingerprints.with_edits(d).first()
