@@ -102,13 +102,14 @@ def fitted(b: bpe.Bpe, text: str, limit: int) -> list[tuple[int, int]]:
     """Ranges of at most `limit` tokens: the whole text, else as many whole paragraphs as fit, else windows of a paragraph."""
     import regex
 
-    if b.count(text) <= limit:
+    tokens, count = b.run_counts(text)
+    if tokens <= limit:
         return [(0, len(text))]
     edges = sorted({0, len(text), *(m.end() for m in regex.finditer(PARAGRAPH_BREAK, text))})
     out, at = [], 0
     while at < len(edges) - 1:
         to = at
-        while to < len(edges) - 1 and b.count(text[edges[at] : edges[to + 1]]) <= limit:
+        while to < len(edges) - 1 and count(edges[at], edges[to + 1]) <= limit:
             to += 1
         if to == at:
             out += [(edges[at] + x, edges[at] + y) for x, y in b.windows(text[edges[at] : edges[at + 1]], limit)]

@@ -101,6 +101,61 @@ def test_sections_cover_the_text_and_merge_empty_headings(spark):
         assert [n for i, n, _, _ in got if i == d] == list(range(len(mine)))
 
 
+def _fitted_plainly(b, text, limit):
+    """As fitted, with every growing run of paragraphs encoded anew."""
+    import regex
+
+    if b.count(text) <= limit:
+        return [(0, len(text))]
+    edges = sorted({0, len(text), *(m.end() for m in regex.finditer(C.PARAGRAPH_BREAK, text))})
+    out, now = [], None
+    for x, y in zip(edges, edges[1:], strict=False):
+        if now and b.count(text[now[0] : y]) <= limit:
+            now = (now[0], y)
+            continue
+        out += [now] if now else []
+        now = (x, y) if b.count(text[x:y]) <= limit else None
+        if now is None:
+            out += [(x + p, x + q) for p, q in b.windows(text[x:y], limit)]
+    return out + ([now] if now else [])
+
+
+def test_paragraph_runs_are_counted_from_one_encoding():
+    import random
+
+    from tarnfield.functions import bpe
+
+    b = bpe.Bpe(bpe.read(), bpe.PATTERN)
+    rng = random.Random(5)
+    parts = ["\n\n", "\n \t\n", "\n", " ", "  ", "\t", "\u00a0", "\u2003", "\x1c", "word", "it's", "'ll", "12", "!?", "日本", "🙂", "e\u0301", "---", "Ab"]
+    for n in range(600):
+        text = "".join(rng.choices(parts, k=rng.randrange(60)))
+        total, count = b.run_counts(text)
+        assert total == b.count(text)
+        import regex
+
+        edges = sorted({0, len(text), *(m.end() for m in regex.finditer(C.PARAGRAPH_BREAK, text))})
+        for x in edges:
+            for y in edges:
+                if x < y:
+                    assert count(x, y) == b.count(text[x:y]), (text, x, y)
+        for limit in (3, 9, 25):
+            assert C.fitted(b, text, limit) == _fitted_plainly(b, text, limit)
+
+
+def test_a_long_section_is_encoded_a_bounded_number_of_times(monkeypatch):
+    from tarnfield.functions import bpe
+
+    b = bpe.Bpe(bpe.read(), bpe.PATTERN)
+    seen = []
+    ids = bpe.Bpe.ids
+    monkeypatch.setattr(bpe.Bpe, "ids", lambda self, text: seen.append(len(text)) or ids(self, text))
+    text = "a few words\n\n" * 5000
+    got = C.fitted(b, text, 2000)
+    assert got[0][0] == 0 and got[-1][1] == len(text) and len(got) > 1
+    assert sum(seen) < 2 * len(text)
+
+
 def test_byte_pair_windows_hold_whole_characters(spark):
     from tarnfield.functions import bpe
 
