@@ -19,7 +19,7 @@ from tarnfield.operators import responders
 from tarnfield.operators.spans import held
 from tarnfield.plans import pipeline
 from tarnfield.session import written
-from tarnfield.sources.itemlog import COLUMNS, ITEM_LOG, write_log
+from tarnfield.sources.itemlog import CALL, COLUMNS, ITEM_LOG, write_log
 from tarnfield.sources.responses import ResponseFolder
 
 #: Ranked chunks that a log keeps of each stage, and the kinds of labelled spans in the order they are logged.

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tarnfield.functions.text import parse_order, parse_queries, parse_rewrite
 from tarnfield.operators import chunking, retrieval
 
-#: A chunk's position is its document's id times this, plus its number in the document.
+#: A chunk's position is its document's id times this, plus its number in the document. A document of so many chunks, or an
+#: id whose positions don't fit a long, is an error: positions never run into those of another document.
 CHUNKS_A_DOCUMENT = 1 << 20
 
 
@@ -91,7 +92,9 @@ def chunks_of(docs: DataFrame, c: Chunker) -> DataFrame:
         "structure": lambda: chunking.structure_chunks(docs, c.size),
     }[c.kind]()
     about = docs.select("doc_id", F.col("text").alias("body"), "access", "status", _or(docs, "title", F.lit("")), _or(docs, "doc_key", F.col("doc_id").cast("string")))
-    pos = F.col("doc_id") if c.kind == "whole" else F.col("doc_id") * CHUNKS_A_DOCUMENT + F.col("chunk_no")
+    fits = (F.col("chunk_no") < CHUNKS_A_DOCUMENT) & F.col("doc_id").between(-((1 << 63) // CHUNKS_A_DOCUMENT), (1 << 63) // CHUNKS_A_DOCUMENT - 1)
+    far = F.raise_error(F.concat(F.lit("no position for chunk "), F.col("chunk_no").cast("string"), F.lit(" of document "), F.col("doc_id").cast("string"))).cast("long")
+    pos = F.col("doc_id") if c.kind == "whole" else F.when(fits, F.col("doc_id") * CHUNKS_A_DOCUMENT + F.col("chunk_no")).otherwise(far)
     chunks = pieces.join(about, "doc_id").withColumn("text", F.substring("body", F.col("start") + 1, F.col("stop") - F.col("start")))
     headings = _or(pieces, "headings", F.array().cast("array<string>"))
     chunks = chunks.select(pos.alias("pos"), F.concat("doc_key", F.lit("#"), F.col("chunk_no").cast("string")).alias("chunk_id"), "doc_id", "start", "stop", "text", headings, "title", "access", "status")
@@ -162,23 +165,27 @@ def _reranked(kept: DataFrame, chunks: DataFrame, r: Rerank, scores: DataFrame |
     return kept.withColumn("rank", F.row_number().over(by_item.orderBy(F.col("place").isNull(), "place", "rank"))).select("query_id", "pos", "score", "rank")
 
 
-def run(docs: DataFrame, items: DataFrame, spec: Spec, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, replies: DataFrame | None = None, scores: DataFrame | None = None, orders: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(docs: DataFrame, items: DataFrame, spec: Spec, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, replies: DataFrame | None = None, scores: DataFrame | None = None, orders: DataFrame | None = None, index: retrieval.KeywordIndex | None = None, chunks: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of the stages: `chunks`; `queries`; `searched`, `removed` (with the reason: chunks that a filter after the search
     takes out, or that one before it kept out of what an unfiltered search finds), `filtered`, `ranked` and `prompt`, each
     by query_id = item and pos; `texts`, the prompt of each item. Only a stated query set and term weights are computed at once.
 
     docs: as chunks_of. items: item_id, question, asker, and history if there are earlier turns. vectors: pos, v.
     query_vectors: query_id, v. replies: a rewriting model's (item_id, text). scores: a cross encoder's (item_id, pos, score).
-    orders: a reranking model's replies (item_id, text), whose numbers begin at 1.
+    orders: a reranking model's replies (item_id, text), whose numbers begin at 1. chunks and
+    index: of the same documents by the spec's chunker, if they are at hand.
     """
     s, f = spec.search, spec.filter
     if s.mode != "keyword" and (vectors is None or query_vectors is None):
         raise ValueError("vector search needs vectors")
-    chunks = chunks_of(docs, spec.chunker)
+    chunks = chunks_of(docs, spec.chunker) if chunks is None else chunks
     q = queries_of(items, spec, replies).withColumn("query_id", F.struct("item_id", "query_no"))
     light = chunks.select("pos", "access", "status")
     # statistics are of all chunks, whoever asks
-    index = retrieval.KeywordIndex(chunks.select("pos", F.col("embed_text").alias("text"))) if s.mode != "vector" else None
+    if s.mode != "vector":
+        index = index or retrieval.KeywordIndex(chunks.select("pos", F.col("embed_text").alias("text")))
+    else:
+        index = None
     allowed = _refused(f).isNull() if f.placement == "before" else None
     found = _searched(index, q, light, s, allowed, vectors, query_vectors)
     flat = found.select(F.col("query_id.item_id").alias("query_id"), F.col("query_id.query_no").alias("list_no"), "rank", "pos", "score")

@@ -194,12 +194,11 @@ def paired_grid(t: Tables) -> DataFrame:
     return c.select("type", "flag", F.round(F.col("1_hits") / F.col("1_n"), 6).alias("rate_1"), F.round(F.col("2_hits") / F.col("2_n"), 6).alias("rate_2"), F.round(w1["low"], 6).alias("low_1"), F.round(w2["low"], 6).alias("low_2"), (w1["high"] < w2["low"]).alias("apart"))
 
 
-@query("""select call_id % 300 as item_id, event_type as stage, string_agg(concat(model, '/', mode), ' ' order by line_no) as calls from runs where call_id < 600 group by 1, 2""")
+@query("""select call_id as item_id, event_type as stage, row_number() over (partition by call_id, event_type order by line_no) as place, concat(model, '/', mode) as call from runs""")
 def call_lists(t: Tables) -> DataFrame:
-    """The calls that each stage makes for an item, in order."""
-    r = t.runs.where("call_id < 600").groupBy((F.col("call_id") % 300).alias("item_id"), F.col("event_type").alias("stage"))
-    calls = F.array_sort(F.collect_list(F.struct("line_no", F.concat_ws("/", "model", "mode").alias("c"))))
-    return r.agg(F.array_join(F.transform(calls, lambda x: x["c"]), " ").alias("calls"))
+    """The calls that each stage makes for an item, one a row, with their places in its list."""
+    place = F.row_number().over(Window.partitionBy("call_id", "event_type").orderBy("line_no")).cast("long")
+    return t.runs.select(F.col("call_id").alias("item_id"), F.col("event_type").alias("stage"), place.alias("place"), F.concat_ws("/", "model", "mode").alias("call"))
 
 
 @query(f"""with a as (select arm, count(*) filter (where answerable and evidence_rank <= 5) as c, count(*) filter (where answerable) as n from arms group by arm),

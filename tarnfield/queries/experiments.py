@@ -11,7 +11,8 @@ from tarnfield.operators import experiments as E
 from tarnfield.plans import pipeline as P
 from tarnfield.queries.evaluation import HOLM_SQL
 from tarnfield.queries.registry import QUERIES, Tables, query
-from tarnfield.queries.retrieval import _BM25, _CHUNKS, _NEAR, _ranked, _top
+from tarnfield.queries.retrieval import _BM25, _CHUNKS, _NEAR, _SPANS, _ranked, _top
+from tarnfield.session import written
 
 
 @query("""with recursive t as (select conv_id, turn, tokens, row_number() over (partition by conv_id order by turn) as n from turns),
@@ -146,6 +147,51 @@ def chunked_pipeline(t: Tables) -> DataFrame:
     return P.run(t.docs, _spec_items(t), spec)["prompt"].select("query_id", "pos", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
+_PLACED = "select ck.doc_id * 1048576 + ck.chunk_no as doc_id, ck.text, d.access, d.status from ck join docs d on d.doc_id = ck.doc_id"
+_NAME = "concat(pos // 1048576, '@1#', pos % 1048576)"
+
+
+@query(f"""with {_CHUNKS}, dc as ({_PLACED}), {_BY_CHUNK}, {_SPANS}, cd as (select unnest(['off', 'after', 'before']) as condition),
+rk as (select *, row_number() over (partition by query_id order by score desc, pos) as r0 from al), rb as (select *, row_number() over (partition by query_id order by score desc, pos) as r1 from al where reason is null),
+se as (select condition, query_id, pos, access, reason, r0 as rank from rk cross join cd where r0 <= 20 and condition <> 'before' union all select 'before', query_id, pos, access, null, r1 from rb where r1 <= 20),
+fi as (select condition, query_id, pos, access, row_number() over (partition by condition, query_id order by rank) as rank from se where condition = 'off' or reason is null),
+ho as (select sp.*, ck.doc_id * 1048576 + ck.chunk_no as pos from sp join ck on sp.doc_id = ck.doc_id and ck.start <= sp.start and sp.stop <= ck.stop),
+tr as (select cd.condition, sp.item_id, sp.doc_id, count(ho.pos) = 0 as cut, min(se.rank) as searched, min(fi.rank) as filtered from sp cross join cd left join ho on ho.item_id = sp.item_id and ho.doc_id = sp.doc_id
+ left join se on se.condition = cd.condition and se.query_id = sp.item_id and se.pos = ho.pos left join fi on fi.condition = cd.condition and fi.query_id = sp.item_id and fi.pos = ho.pos group by 1, 2, 3),
+ev as (select condition, item_id, coalesce(bool_or(cut) filter (where doc_id % 2 = 0), false) as cut, count(*) filter (where doc_id % 2 = 0) as n, count(searched) filter (where doc_id % 2 = 0) as ns, count(filtered) filter (where doc_id % 2 = 0) as nf,
+ max(filtered) filter (where doc_id % 2 = 0) as mf, min(filtered) filter (where doc_id % 2 = 1) as d,
+ string_agg(concat(doc_id, ':', case when cut then 'cut' else 'whole' end, ':', coalesce(searched::varchar, '-'), ':', coalesce(filtered::varchar, '-')), ' ' order by doc_id % 2, doc_id) as traces from tr group by 1, 2),
+ls as (select condition, query_id, count(*) as n_ranked, string_agg({_NAME}, ' ' order by rank) filter (where rank <= 5) as prompt_chunks, string_agg({_NAME}, ' ' order by rank) filter (where rank <= 5 and access = 'staff' and asker <> 'staff') as leaks from fi join q using (query_id) group by 1, 2),
+rm as (select query_id, count(*) as n from rk where r0 <= 20 and reason is not null group by 1),
+x as (select cd.condition, i.*, ev.traces, case when ev.n > 0 and ev.n = ev.ns then true end as at_search, case when ev.n > 0 and ev.n = ev.nf then ev.mf end as er, coalesce(ev.cut, false) as cut, ev.d, ls.n_ranked, ls.prompt_chunks, ls.leaks, case when cd.condition <> 'off' then rm.n end as n_removed
+ from items i cross join cd left join ev on ev.condition = cd.condition and ev.item_id = i.item_id left join ls on ls.condition = cd.condition and ls.query_id = i.item_id left join rm on rm.query_id = i.item_id)
+select condition, item_id::varchar as item_id, type, coalesce(n_ranked, 0)::int as n_ranked, coalesce(n_removed, 0)::int as n_removed, coalesce(prompt_chunks, '') as prompt_chunks, coalesce(leaks, '') as leaks, coalesce(traces, '') as traces, er::int as evidence_rank,
+ d is not null and (er is null or d < er) as distractor_above,
+ case when not answerable then null when cut then 'chunk' when at_search is null then 'search' when er is null then case when condition = 'after' then 'filter' else 'rerank' end when er > 5 then 'rerank' when item_id % 4 = 0 then 'unjudged' when item_id % 2 = 1 then null when item_id % 3 = 0 then 'prompt' else 'answer' end as lost_at from x""")
+def condition_logs(t: Tables) -> DataFrame:
+    """The item logs of three conditions that differ in where the filter stands, over one index."""
+    from tarnfield.plans import condition as R
+
+    base = P.Spec(chunker=P.Chunker("words", 64), search=P.Search("keyword", 20))
+    chunks = written(P.chunks_of(t.docs, base.chunker))
+    index = P.retrieval.KeywordIndex(chunks.select("pos", F.col("embed_text").alias("text")))
+    found = written(P.retrieval.spans(t.items, t.docs))
+    kind = F.when(F.col("doc_id") % 2 == 0, "evidence").otherwise("distractor")
+    spans = found.select("item_id", kind.alias("kind"), "doc_id", "start", "stop")
+    v = t.items.where("item_id % 4 <> 0").withColumn("declined", F.col("item_id") % 3 == 0).withColumn("correct", F.col("item_id") % 2 == 1)
+    verdict = F.struct("declined", "correct", F.lit(True).alias("faithful"), F.lit("").alias("reason"))
+    judged = v.select("item_id", F.lit(None).cast(R.CALL).alias("call"), verdict.alias("verdict"), F.lit(None).cast("string").alias("error"))
+    out = None
+    for name in ("off", "after", "before"):
+        spec = base.changed(filter={"placement": name})
+        stages = P.run(t.docs, _spec_items(t), spec, index=index, chunks=chunks)
+        log = R.item_logs(stages, t.items, spans, name, spec, judged=judged)
+        out = log if out is None else out.unionByName(log)
+    rank = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    trace = F.transform("spans", lambda s: F.concat_ws(":", s["span"]["doc_id"], F.when(s["cut"], "cut").otherwise("whole"), rank(s["searched"]), rank(s["filtered"])))
+    return out.select("condition", "item_id", "type", F.size("ranked").alias("n_ranked"), F.size("removed").alias("n_removed"), F.array_join("prompt_chunks", " ").alias("prompt_chunks"), F.array_join("leaks", " ").alias("leaks"), F.array_join(trace, " ").alias("traces"), "evidence_rank", "distractor_above", "lost_at")
+
+
 @query(f"""with {_BM25}, {_ranked('reason is null', 5)}, hit as (select i.item_id, i.type, coalesce(bool_or(contains(d.text, i.evidence)), false) as found from items i left join top t on t.query_id = i.item_id left join docs d on d.doc_id = t.pos group by 1, 2)
 select type, count(*) filter (where found) as hits, count(*) as items from hit group by type""")
 def keyword_recall(t: Tables) -> DataFrame:

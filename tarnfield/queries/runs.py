@@ -242,19 +242,23 @@ def state_tracking_ledger(t: Tables) -> DataFrame:
     return t.part.join(m, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", (F.col("p_size") + F.coalesce("moved", F.lit(0.0))).alias("stock"))
 
 
-_SEATS = "with x as (select unnest(range(1, 6)) as i) select a.i as a, b.i as b, c.i as c, d.i as d, e.i as e from x a, x b, x c, x d, x e where a.i <> b.i and a.i <> c.i and a.i <> d.i and a.i <> e.i and b.i <> c.i and b.i <> d.i and b.i <> e.i and c.i <> d.i and c.i <> e.i and d.i <> e.i and b.i = a.i + 1 and c.i < d.i and e.i <> 1 and abs(d.i - a.i) = 2"
+_CLUES = "1 + s_suppkey % 2 as gap, 1 + s_nationkey % 3 as apart, 1 + s_suppkey % 5 as never"
 
 
-@query(_SEATS)
+@query(f"""with x as (select unnest(range(1, 6)) as i), p as (select s_suppkey as id, {_CLUES} from supplier), k as (select distinct gap, apart, never from p),
+s as (select k.*, a.i * 10000 + b.i * 1000 + c.i * 100 + d.i * 10 + e.i as seats from k, x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5 and b.i = a.i + gap and c.i < d.i and e.i <> never and abs(d.i - a.i) = apart)
+select id, count(seats) as solutions, min(seats)::bigint as first_seats from p left join s using (gap, apart, never) group by id""")
 def puzzle_solutions(t: Tables) -> DataFrame:
-    # five places: at most 3,125 rows
-    x = [t.spark.range(1, 6).withColumnRenamed("id", n) for n in "abcde"]
-    p = x[0]
-    for i, y in enumerate(x[1:], 1):
-        p = p.crossJoin(y)
-        for n in "abcde"[:i]:
-            p = p.where(F.col(n) != F.col("abcde"[i]))
-    return p.where("b = a + 1 and c < d and e <> 1 and abs(d - a) = 2")
+    """How many seatings of five meet each supplier's clues, and the smallest: seats are dealt one by one, and a seating goes with its first broken clue."""
+    puzzles = t.supplier.select(F.col("s_suppkey").alias("id"), *[F.expr(c) for c in _CLUES.split(", ")])
+    rules = {"b": "b = a + gap", "c": "true", "d": "c < d and abs(d - a) = apart", "e": "e <> never"}
+    seated = puzzles.select("gap", "apart", "never").distinct().withColumn("left", F.sequence(F.lit(1), F.lit(5))).withColumn("a", F.explode("left"))
+    for name, rule in rules.items():
+        taken = F.array(*[F.col(n) for n in "abcde"[: "abcde".index(name)]])
+        seated = seated.withColumn(name, F.explode(F.array_except("left", taken))).where(rule)
+    seats = F.expr("a * 10000 + b * 1000 + c * 100 + d * 10 + e").cast("long")
+    solved = seated.groupBy("gap", "apart", "never").agg(F.count("*").alias("solutions"), F.min(seats).alias("first_seats"))
+    return puzzles.join(solved, ["gap", "apart", "never"], "left").select("id", F.coalesce("solutions", F.lit(0)).cast("long").alias("solutions"), "first_seats")
 
 
 # ------------------------------------------------------------------ scorecard

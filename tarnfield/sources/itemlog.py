@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from tarnfield.sources.library import LibraryError
 
-_CALL = "struct<text:string,model_returned:string,input_tokens:long,output_tokens:long,reasoning_tokens:long,finish_reason:string>"
+CALL = "struct<text:string,model_returned:string,input_tokens:long,output_tokens:long,reasoning_tokens:long,finish_reason:string>"
 _RANKED = "array<struct<chunk_id:string,score:double>>"
 #: What is recorded of an item: the stages' results, where each labelled span went, the model calls and the verdict.
 ITEM_LOG = (
     "item_id string, type string, asker string, answerable boolean, condition string, config_id string, queries array<string>, "
     f"searched {_RANKED}, removed array<struct<chunk_id:string,reason:string>>, ranked {_RANKED}, prompt_chunks array<string>, "
     "spans array<struct<kind:string,span:struct<doc_id:string,version:int,start:int,end:int>,cut:boolean,searched:int,filtered:int,reranked:int,in_prompt:boolean>>, "
-    f"evidence_rank int, distractor_above boolean, leaks array<string>, answer {_CALL}, judge {_CALL}, "
+    f"evidence_rank int, distractor_above boolean, leaks array<string>, answer {CALL}, judge {CALL}, "
     "verdict struct<declined:boolean,correct:boolean,faithful:boolean,reason:string>, judge_error string, code_check boolean, lost_at string"
 )
 COLUMNS = [c.split(" ")[0] for c in ITEM_LOG.replace("struct<", "").split(", ")]
