@@ -37,6 +37,8 @@ from tarnfield.llm.shared import blocks_of, stored, work_path
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
+#: Frames of a bundle that one row of the reader's input stands for.
+FRAMES_A_RANGE = 32
 INDEX = "page_id long, bundle string, frame int, at long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string"
 DATE = "1970-01-01T00:00:00Z"
@@ -187,14 +189,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return stored(with_owners(pages, min_bytes).mapInArrow(run, INDEX), "index")
 
 
-def read_archives(spark: SparkSession, bundles: DataFrame) -> DataFrame:
-    """Every record of the bundles named in column `bundle`, digests recomputed from the payloads read."""
+def read_archives(spark: SparkSession, index: DataFrame, frames: int = FRAMES_A_RANGE) -> DataFrame:
+    """Every record of the frames that an index names, digests recomputed from the payloads read.
+
+    Ranges of `frames` neighbouring frames are dealt evenly to as many tasks as the session has shuffle partitions; a task seeks
+    its ranges by the seek table, so a large bundle is read by many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = BundleReader(uri)
-                for i in range(len(reader.frames)):
+                for i in range(part * frames, min((part + 1) * frames, len(reader.frames))):
                     raw, at, out = reader.frame(i), 0, []
                     while at < len(raw):
                         fields, payload, at = parse_record(raw, at)
@@ -207,9 +213,9 @@ def read_archives(spark: SparkSession, bundles: DataFrame) -> DataFrame:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.int64()), pa.array(cols[5])], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri"])
 
-    # so many tasks as is said: names are a few bytes each, which adaptive execution would lay together in one
-    names = bundles.select("bundle").distinct().repartition(blocks_of(spark), "bundle")
-    return names.mapInArrow(run, RECORD)
+    ranges = index.select("bundle", F.floor(F.col("frame") / frames).cast("long").alias("part")).distinct()
+    # dealt in turn: a repartition by the same columns would be left out as done by distinct, whose few bytes are laid together in one task
+    return ranges.repartition(blocks_of(spark)).mapInArrow(run, RECORD)
 
 
 def lookup(index: DataFrame, page_ids: list[int]) -> list[tuple[int, dict[str, str], bytes]]:

@@ -130,3 +130,12 @@ def test_archives_of_odd_rows(spark):
     [(page_id, fields, payload)] = warc.lookup(index, [1])
     assert page_id == 1 and payload.decode() == page and fields["WARC-Type"] == "response"
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).collect() == []
+
+
+def test_ranges_of_frames_are_read_by_several_tasks(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i % 40} " * 40) for i in range(200)], "page_id long, url string, html string")
+    index = warc.write_archives(pages, frame_bytes=1 << 11)
+    assert index.select("bundle", "frame").distinct().count() > 16
+    read = warc.read_archives(spark, index, frames=2).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in read}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in read) == [(i, "response" if i < 40 else "revisit", i % 40 if i >= 40 else None) for i in range(200)]
