@@ -25,6 +25,13 @@ def _args() -> argparse.Namespace:
     estimate.add_argument("--budget", type=float)
     analyse = verbs.add_parser("analyse", help="numbers of each condition under a results folder")
     analyse.add_argument("results")
+    episode = verbs.add_parser("episode", help="run, log and sum up the conditions of an episode over a library")
+    episode.add_argument("episode", help="a YAML file that names the base pipeline and its conditions")
+    episode.add_argument("documents", help="a folder of Markdown documents")
+    episode.add_argument("items", help="a JSON-lines file")
+    episode.add_argument("results")
+    episode.add_argument("--only", help="one condition's name")
+    episode.add_argument("--mock", action="store_true", help="answer and judge by the mock responder where a condition measures in full; else only its search is measured")
     score = verbs.add_parser("score", help="rank a case's candidates by a rule")
     score.add_argument("rule")
     score.add_argument("case")
@@ -77,6 +84,20 @@ def main() -> None:
             F.count("*").alias("items"), F.count_if(F.col("answerable") & (F.col("evidence_rank") <= 5)).alias("found"), F.count_if(F.col("answerable") & right).alias("right"),
             F.count_if(~F.col("answerable") & F.coalesce("verdict.declined", F.lit(False))).alias("declined"), F.count_if(F.size("leaks") > 0).alias("leaks"),
         ).orderBy("condition").show(truncate=False)
+    elif args.verb == "episode":
+        from tarnfield.operators.responders import MockResponder
+        from tarnfield.plans.condition import Model, from_library, run_condition
+        from tarnfield.sources.configs import load_episode
+        from tarnfield.sources.library import read_documents, read_items
+
+        _, conditions = load_episode(args.episode)
+        chosen = [c for c in conditions if args.only in (None, c.name)]
+        if not chosen:
+            raise SystemExit(f"no condition {args.only}")
+        tables = from_library(read_documents(spark, args.documents), read_items(spark, args.items))
+        for c in chosen:
+            model = Model("mock", "mock") if args.mock and c.measure == "full" else None
+            print(run_condition(*tables, c.spec, c.name, args.results, model, make=MockResponder).toJSON().first())
     elif args.verb == "score":
         from tarnfield.sources.configs import load_case, load_rule
 

@@ -81,14 +81,15 @@ def _with_defaults(spans: DataFrame) -> DataFrame:
         raise ValueError(f"spans lack {unknown}")
     no = F.col("no").cast("int") if "no" in spans.columns else F.lit(0)
     version = F.col("version").cast("int") if "version" in spans.columns else F.lit(None).cast("int")
-    return spans.select("item_id", "kind", no.alias("no"), "doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), version.alias("version")).dropDuplicates(SPAN_KEY)
+    name = F.col("doc_name") if "doc_name" in spans.columns else F.col("doc_id").cast("string")
+    return spans.select("item_id", "kind", no.alias("no"), "doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), version.alias("version"), name.alias("doc_name")).dropDuplicates(SPAN_KEY)
 
 
 def item_logs(stages: dict[str, DataFrame], items: DataFrame, spans: DataFrame, name: str, spec: pipeline.Spec, answers: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
     """The item log of a condition: a row for each item with the columns of ITEM_LOG.
 
     stages: of pipeline.run. items: item_id, type, asker, answerable, and key_values (array) if there are some. spans: item_id, kind
-    (of KINDS), doc_id, start, stop, and no (the order within a kind) and version if known; equal spans count once.
+    (of KINDS), doc_id, start, stop, and no (the order within a kind), version and doc_name (the logged doc_id) if known; equal spans count once.
     Other columns of items are left out. answers: item_id, call (as ITEM_LOG's answer). judged: item_id, call, verdict, error. An item without spans has an empty list
     and, if it is answerable, is lost at search; one without rows of a stage has an empty list there.
     """
@@ -103,7 +104,7 @@ def item_logs(stages: dict[str, DataFrame], items: DataFrame, spans: DataFrame,
     )
     traces = span_traces(_with_defaults(spans), stages["chunks"], rows)
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    span = F.struct(F.col("doc_id").cast("string").alias("doc_id"), "version", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("end"))
+    span = F.struct(F.col("doc_name").alias("doc_id"), "version", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("end"))
     entry = F.struct("kind", span.alias("span"), "cut", "searched", "filtered", "reranked", "in_prompt")
     good = F.col("kind") == "evidence"
     by = lambda c: F.when(F.count_if(good) == F.count(F.when(good, F.col(c))), F.max(F.when(good, F.col(c))))
@@ -222,3 +223,24 @@ def run_condition(docs: DataFrame, items: DataFrame, spans: DataFrame, spec: pip
     told = summary(log, name, spec, model is not None)
     told.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{results}/{name}/summary.json")
     return told
+
+
+def from_library(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs, items and spans as run_condition takes them, of a library's documents and items as sources.library reads them.
+
+    Documents are numbered in the order of their keys, so that ties rank as the library lies. A span of a document that the
+    library lacks is an error. Earlier turns become lines of role and content.
+    """
+    keys = documents.select("doc_key").distinct().orderBy("doc_key").rdd.zipWithIndex().map(lambda x: (x[0].doc_key, x[1]))
+    numbered = written(documents.sparkSession.createDataFrame(keys, "doc_key string, place long"))
+    docs = documents.join(numbered, "doc_key").select(F.col("place").alias("doc_id"), "doc_key", "title", F.col("body").alias("text"), "access", "status")
+    turns = F.array_join(F.transform("history", lambda h: F.concat(h["role"], F.lit(": "), h["content"])), "\n")
+    asked = items.select(F.col("id").alias("item_id"), "type", "asker", "answerable", "question", "answer", "key_values", turns.alias("history"))
+    labelled = None
+    for kind, column in zip(KINDS, ("evidence", "distractor_spans", "stale_spans", "restricted_spans"), strict=True):
+        part = items.select(F.col("id").alias("item_id"), F.lit(kind).alias("kind"), F.posexplode(column).alias("no", "s"))
+        labelled = part if labelled is None else labelled.unionByName(part)
+    labelled = labelled.select("item_id", "kind", "no", F.concat_ws("@", "s.doc_id", "s.version").alias("doc_key"), F.col("s.doc_id").alias("doc_name"), "s.version", "s.start", F.col("s.end").alias("stop"))
+    spans = labelled.join(numbered, "doc_key", "left")
+    lacking = F.raise_error(F.concat(F.lit("a span of an unknown document: "), F.col("doc_key"))).cast("long")
+    return docs, asked, spans.select("item_id", "kind", "no", F.coalesce("place", lacking).alias("doc_id"), "start", "stop", "version", "doc_name")

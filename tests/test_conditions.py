@@ -149,3 +149,29 @@ def test_a_condition_without_models_measures_the_search(spark, tmp_path):
     assert rows["1"].lost_at == "unjudged" and rows["3"].lost_at is None and rows["1"].answer is None
     empty = R.item_logs(P.run(docs, items.limit(0), P.Spec(P.Chunker("whole"))), items.limit(0), spans.limit(0), "none", P.Spec(P.Chunker("whole")))
     assert empty.columns == COLUMNS and empty.count() == 0
+
+
+def test_an_episode_runs_from_files(spark, tmp_path, monkeypatch, capsys):
+    from tarnfield import __main__ as command
+
+    (tmp_path / "docs").mkdir()
+    head = "---\ndoc_id: {}\nversion: 1\ntitle: {}\nfamily: article\naccess: {}\nstatus: current\n---\n{}"
+    for i, (name, access, body) in enumerate([("lamps", "public", "The lamp is red."), ("boats", "staff", "Boats leave at nine."), *[(f"x{n}", "public", f"Nothing in {n}.") for n in range(4)]]):
+        (tmp_path / "docs" / f"{name}@1.md").write_text(head.format(name, f"T{i}", access, body))
+    span = lambda doc, stop: {"doc_id": doc, "version": 1, "start": 0, "end": stop}
+    items = [
+        {"id": "q-1", "type": "fact", "asker": "public", "question": "is the lamp red", "answerable": True, "evidence": [span("lamps", 16)], "key_values": ["red"], "history": [{"role": "user", "content": "hello"}]},
+        {"id": "q-2", "type": "fact", "asker": "public", "question": "when do boats leave", "answerable": False, "restricted_spans": [span("boats", 5)]},
+    ]
+    (tmp_path / "items.jsonl").write_text("\n".join(map(json.dumps, items)))
+    (tmp_path / "base.yaml").write_text("chunker: {kind: whole}\nsearch: {depth: 3}\n")
+    (tmp_path / "episode.yaml").write_text("base: base.yaml\nconditions:\n- {name: open, measure: full}\n- {name: closed, measure: search, changes: {filter: {placement: before}}}\n")
+    monkeypatch.setattr("sys.argv", ["tarnfield", "episode", *(str(tmp_path / f) for f in ("episode.yaml", "docs", "items.jsonl", "results")), "--mock"])
+    monkeypatch.setattr(command, "local_session", lambda: spark)
+    command.main()
+    said = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert [(x["condition"], x["measure"], x["items"]) for x in said] == [("open", "full", 2), ("closed", "search", 2)]
+    assert said[0]["numbers"]["leaks"]["count"] >= said[1]["numbers"]["leaks"]["count"] == 0 and said[0]["judge_errors"] == 2
+    first, second = sorted(read_condition(spark, str(tmp_path / "results"), "open")[0].collect(), key=lambda r: r.item_id)
+    assert first.evidence_rank == 1 and first.lost_at == "unjudged" and first.code_check is False and first.spans[0].span.doc_id == "lamps"
+    assert second.spans[0].kind == "restricted" and second.leaks == ["boats@1#0"]
