@@ -25,6 +25,7 @@ def _args() -> argparse.Namespace:
     estimate.add_argument("--budget", type=float)
     analyse = verbs.add_parser("analyse", help="numbers of each condition under a results folder")
     analyse.add_argument("results")
+    analyse.add_argument("--reference", help="a condition that the others are compared with")
     episode = verbs.add_parser("episode", help="run, log and sum up the conditions of an episode over a library")
     episode.add_argument("episode", help="a YAML file that names the base pipeline and its conditions")
     episode.add_argument("documents", help="a folder of Markdown documents")
@@ -79,6 +80,11 @@ def main() -> None:
         from tarnfield.sources import itemlog
 
         log = itemlog.read_all(spark, args.results)
+        if args.reference:
+            from tarnfield.plans.condition import episode_report
+
+            print("\n".join(episode_report(log, args.reference).orderBy("condition").toJSON().collect()))  # a row for each condition
+            return
         right = F.coalesce(F.col("verdict.correct") & F.col("verdict.faithful"), F.lit(False))
         log.groupBy("condition").agg(
             F.count("*").alias("items"), F.count_if(F.col("answerable") & (F.col("evidence_rank") <= 5)).alias("found"), F.count_if(F.col("answerable") & right).alias("right"),

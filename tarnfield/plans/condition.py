@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.functions.stats import proportion
+from tarnfield.functions.stats import mcnemar, proportion
 from tarnfield.functions.text import contains_whole, parse_verdict
 from tarnfield.operators import responders
 from tarnfield.operators.spans import held
@@ -201,6 +201,44 @@ def summary(log: DataFrame, name: str, spec: pipeline.Spec, full: bool) -> DataF
     return counts.join(whole).join(types).select(F.lit(name).alias("condition"), F.lit(spec.config_id).alias("config_id"), F.lit("full" if full else "search").alias("measure"), "items", "numbers", "by_type", "judge_errors", "code_check_disagrees")
 
 
+def episode_report(log: DataFrame, reference: str, k: int | dict[str, int] = 5) -> DataFrame:
+    """A row for each condition of a log (ITEM_LOG), against one of them.
+
+    condition, items, full (every item has a verdict or the judge's error, and some a verdict), search, answer, not_found, leaks (as
+    numbers), wrong (judged answerable items that aren't right), lost_at (a map of how many of these each stage lost; an item that no
+    stage lost counts as the answer's), paired_search and paired_answer (items that only the condition, or only the reference, has right, and
+    the exact two-sided p; null for the reference, and for answers where either isn't judged), joins (whether it takes the reference's place: the
+    one with the most found, then right, then the first name, of those judged whose search lies above the reference's interval
+    and whose answers are no fewer). k: passages in the prompt, of all or of each condition.
+    """
+    depth = F.lit(k) if isinstance(k, int) else F.create_map(*[F.lit(x) for kv in k.items() for x in kv])[F.col("condition")]
+    said = lambda c: F.coalesce(c, F.lit(False))
+    rows = log.select(
+        "condition", "item_id", "answerable", "asker", "leaks", "lost_at", "verdict", "judge_error", F.when(F.col("evidence_rank") <= depth, F.lit(1)).alias("evidence_rank"),
+        said(F.col("evidence_rank") <= depth).alias("found"), said(F.col("verdict.correct") & F.col("verdict.faithful")).alias("right"),
+    )
+    wrong = F.col("answerable") & F.col("verdict").isNotNull() & ~F.col("right")
+    sums = rows.groupBy("condition").agg(F.count("*").alias("items"), ((F.count("verdict") > 0) & F.bool_and(F.col("verdict").isNotNull() | F.col("judge_error").isNotNull())).alias("full"), F.count_if(wrong).alias("wrong"))
+    lost = rows.where(wrong).groupBy("condition", F.coalesce("lost_at", F.lit("answer")).alias("lost_at")).agg(F.count("*").alias("n"))
+    lost = lost.groupBy("condition").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lost_at", "n")))).alias("lost_at"))  # a row for each stage
+    ref = rows.where(F.col("condition") == reference).select("item_id", F.col("found").alias("r_found"), F.col("right").alias("r_right"))
+    only = lambda a, b: F.count_if(F.col(a) & ~F.col(b))
+    both = rows.where(F.col("condition") != reference).join(ref, "item_id").groupBy("condition")
+    pairs = both.agg(only("found", "r_found").alias("sb"), only("r_found", "found").alias("sc"), only("right", "r_right").alias("ab"), only("r_right", "right").alias("ac"))
+    paired = lambda b, c: F.struct(F.col(b).alias("only_other"), F.col(c).alias("only_reference"), mcnemar(F.col(b), F.col(c)).alias("p_value"))
+    pairs = pairs.select("condition", paired("sb", "sc").alias("paired_search"), paired("ab", "ac").alias("paired_answer"))
+    told = numbers(rows, 1, "condition").join(sums, "condition").join(lost, "condition", "left").join(pairs, "condition", "left")
+    base = told.where(F.col("condition") == reference).select(F.col("full").alias("r_full"), F.col("search").alias("r_search"), F.col("answer").alias("r_answer"))
+    told = told.join(F.broadcast(base), how="left")  # one row
+    passes = F.col("full") & said(F.col("r_full")) & (F.col("condition") != reference) & (F.col("r_search.high") < F.col("search.low")) & (F.col("answer.count") >= F.col("r_answer.count"))
+    best = told.where(passes).orderBy(F.desc("search.count"), F.desc("answer.count"), "condition").limit(1).select("condition", F.lit(True).alias("joins"))
+    judged = F.col("full") & said(F.col("r_full"))
+    return told.join(best, "condition", "left").select(
+        "condition", "items", "full", "search", "answer", "not_found", "leaks", F.coalesce("lost_at", F.create_map().cast("map<string,bigint>")).alias("lost_at"), "wrong", "paired_search",
+        F.when(judged, F.col("paired_answer")).alias("paired_answer"), said(F.col("joins")).alias("joins"),
+    )
+
+
 def run_condition(docs: DataFrame, items: DataFrame, spans: DataFrame, spec: pipeline.Spec, name: str, results: str, model: Model | None = None, judge_model: Model | None = None, make: Callable[[], responders.Responder] | None = None, folder: ResponseFolder | None = None, sending: dict[str, Any] | None = None, **inputs: Any) -> DataFrame:
     """Runs, scores and logs one condition under results/name; returns its one summary row.
 

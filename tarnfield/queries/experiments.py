@@ -9,7 +9,7 @@ from tarnfield.functions import bpe
 from tarnfield.operators import chunking as C
 from tarnfield.operators import experiments as E
 from tarnfield.plans import pipeline as P
-from tarnfield.queries.evaluation import HOLM_SQL
+from tarnfield.queries.evaluation import HOLM_SQL, _w
 from tarnfield.queries.registry import QUERIES, Tables, query
 from tarnfield.queries.retrieval import _BM25, _CHUNKS, _NEAR, _SPANS, _ranked, _top
 from tarnfield.session import written
@@ -192,6 +192,33 @@ def condition_logs(t: Tables) -> DataFrame:
     return out.select("condition", "item_id", "type", F.size("ranked").alias("n_ranked"), F.size("removed").alias("n_removed"), F.array_join("prompt_chunks", " ").alias("prompt_chunks"), F.array_join("leaks", " ").alias("leaks"), F.array_join(trace, " ").alias("traces"), "evidence_rank", "distractor_above", "lost_at")
 
 
+@query(f"""with l as (select arm, item_id, answerable, asker, leaked, correct is not null as judged, coalesce(evidence_rank <= 5, false) as found, coalesce(correct and faithful, false) as ok, coalesce(declined, false) and correct is not null as declined,
+ case when not answerable then null when evidence_rank is null then 'search' when evidence_rank > 5 then 'rerank' when correct is null then 'unjudged' when correct then null when declined then 'prompt' else 'answer' end as lost from arms),
+n as (select arm, count(*) as items, count(*) filter (where answerable and found) as search_c, count(*) filter (where answerable) as search_n, count(*) filter (where answerable and ok) as answer_c, count(*) filter (where not answerable and declined) as declined_c,
+ count(*) filter (where asker = 'public' and leaked) as leaks_c, count(*) filter (where answerable and judged and not ok) as wrong, count(*) filter (where answerable and judged and not ok and lost = 'rerank') as lost_rerank, count(*) filter (where answerable and judged and not ok and coalesce(lost, 'answer') = 'answer') as lost_answer, bool_or(judged) as full from l group by arm),
+w as (select *, {_w('search_c', 'search_n', 'low')} as low, {_w('search_c', 'search_n', 'high')} as high from n),
+p as (select l.arm, count(*) filter (where l.found and not r.found) as sb, count(*) filter (where r.found and not l.found) as sc, count(*) filter (where l.ok and not r.ok) as ab, count(*) filter (where r.ok and not l.ok) as ac from l join l r on r.item_id = l.item_id and r.arm = 1 where l.arm <> 1 group by 1),
+b as (select w.arm from w, w r where r.arm = 1 and w.arm <> 1 and w.full and r.full and r.high < w.low and w.answer_c >= r.answer_c order by w.search_c desc, w.answer_c desc, w.arm limit 1)
+select w.arm::varchar as condition, items, search_c as found, round(low, 6) as low, round(high, 6) as high, answer_c as right, declined_c as declined, leaks_c as leaks, wrong, lost_rerank, lost_answer, sb as search_gained, sc as search_lost, ab as answer_gained, ac as answer_lost, w.arm in (select arm from b) as joins
+from w left join p on p.arm = w.arm""")
+def episode_report(t: Tables) -> DataFrame:
+    """Each arm of the log against the first: the four numbers, where items were lost, paired changes and which arm would take its place."""
+    from tarnfield.plans import condition as R
+
+    a = t.arms
+    verdict = F.when(F.col("correct").isNotNull(), F.struct("declined", "correct", "faithful", F.lit("").alias("reason")))
+    rank = F.col("evidence_rank")
+    lost = F.when(F.col("answerable"), R.lost_at(F.lit(False), rank, rank, rank, 5, verdict))
+    leaks = F.when(F.col("leaked"), F.array(F.lit("c"))).otherwise(F.array().cast("array<string>"))
+    log = a.select(F.col("arm").cast("string").alias("condition"), "item_id", "answerable", "asker", leaks.alias("leaks"), lost.alias("lost_at"), verdict.alias("verdict"), F.when(verdict.isNull(), "unread").alias("judge_error"), "evidence_rank")
+    r = R.episode_report(log, "1")
+    at = lambda stage: F.coalesce(F.try_element_at("lost_at", F.lit(stage)), F.lit(0)).cast("long")
+    return r.select(
+        "condition", "items", F.col("search.count").alias("found"), F.round("search.low", 6).alias("low"), F.round("search.high", 6).alias("high"), F.col("answer.count").alias("right"), F.col("not_found.count").alias("declined"), F.col("leaks.count").alias("leaks"), "wrong",
+        at("rerank").alias("lost_rerank"), at("answer").alias("lost_answer"), F.col("paired_search.only_other").alias("search_gained"), F.col("paired_search.only_reference").alias("search_lost"), F.col("paired_answer.only_other").alias("answer_gained"), F.col("paired_answer.only_reference").alias("answer_lost"), "joins",
+    )
+
+
 @query(f"""with {_BM25}, {_ranked('reason is null', 5)}, hit as (select i.item_id, i.type, coalesce(bool_or(contains(d.text, i.evidence)), false) as found from items i left join top t on t.query_id = i.item_id left join docs d on d.doc_id = t.pos group by 1, 2)
 select type, count(*) filter (where found) as hits, count(*) as items from hit group by type""")
 def keyword_recall(t: Tables) -> DataFrame:

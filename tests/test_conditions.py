@@ -175,3 +175,20 @@ def test_an_episode_runs_from_files(spark, tmp_path, monkeypatch, capsys):
     first, second = sorted(read_condition(spark, str(tmp_path / "results"), "open")[0].collect(), key=lambda r: r.item_id)
     assert first.evidence_rank == 1 and first.lost_at == "unjudged" and first.code_check is False and first.spans[0].span.doc_id == "lamps"
     assert second.spans[0].kind == "restricted" and second.leaks == ["boats@1#0"]
+
+
+def test_a_report_says_which_condition_joins(spark):
+    rows = []
+    for name, found, right in (("base", 5, 5), ("far", 60, 50), ("low", 60, 3), ("same", 6, 40), ("search", 60, 0)):
+        for i in range(100):
+            verdict = None if name == "search" or i == 99 else (False, i < right, True, "r")
+            rows.append((name, str(i), True, "public", [], None if i < right else "answer" if i < found else "search", verdict, "no verdict" if i == 99 and name != "search" else None, 1 if i < found else None))
+    log = spark.createDataFrame(rows, "condition string, item_id string, answerable boolean, asker string, leaks array<string>, lost_at string, verdict struct<declined:boolean,correct:boolean,faithful:boolean,reason:string>, judge_error string, evidence_rank int")
+    got = {r.condition: r for r in R.episode_report(log, "base").collect()}
+    assert {n for n, r in got.items() if r.joins} == {"far"} and {n for n, r in got.items() if r.full} == {"base", "far", "low", "same"}
+    assert got["base"].paired_search is None and got["search"].paired_answer is None
+    assert (got["far"].paired_search.only_other, got["far"].paired_search.only_reference) == (55, 0) and got["far"].paired_search.p_value < 1e-9
+    assert (got["low"].paired_answer.only_other, got["low"].paired_answer.only_reference) == (0, 2) and abs(got["low"].paired_answer.p_value - 0.5) < 1e-9
+    assert got["far"].lost_at == {"answer": 10, "search": 39} and got["far"].wrong == 49 and got["search"].lost_at == {}
+    deep = {r.condition: r for r in R.episode_report(log, "base", {"base": 5, "far": 0, "low": 5, "same": 5, "search": 5}).collect()}
+    assert deep["far"].search["count"] == 0 and not any(r.joins for n, r in deep.items() if n == "far")
