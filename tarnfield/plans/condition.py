@@ -76,6 +76,11 @@ def lost_at(cut: Column, searched: Column, filtered: Column, ranked: Column, k:
     )
 
 
+def code_check(key_values: Column, call: Column) -> Column:
+    """Whether an answer holds every key value whole; null without key values or an answer."""
+    return F.when((F.size(key_values) > 0) & call.isNotNull(), F.forall(key_values, lambda v: F.coalesce(contains_whole(call["text"], v), F.lit(False))))
+
+
 def _with_defaults(spans: DataFrame) -> DataFrame:
     if unknown := [c for c in ("item_id", "kind", "doc_id", "start", "stop") if c not in spans.columns]:
         raise ValueError(f"spans lack {unknown}")
@@ -128,7 +133,7 @@ def item_logs(stages: dict[str, DataFrame], items: DataFrame, spans: DataFrame,
     above = F.col("lookalike").isNotNull() & (F.col("evidence_rank").isNull() | (F.col("lookalike") < F.col("evidence_rank")))
     checked = F.lit(None).cast("boolean")
     if "key_values" in items.columns:
-        checked = F.when((F.size("key_values") > 0) & F.col("answer").isNotNull(), F.forall("key_values", lambda v: F.coalesce(contains_whole(F.col("answer.text"), v), F.lit(False))))
+        checked = code_check(F.col("key_values"), F.col("answer"))
     out = {
         "item_id": F.col("item_id").cast("string"), "condition": F.lit(name), "config_id": F.lit(spec.config_id), "distractor_above": F.coalesce(above, F.lit(False)),
         "leaks": F.when(F.col("asker") == "staff", F.array().cast("array<string>")).otherwise(F.coalesce("staff", F.array().cast("array<string>"))), "code_check": checked,
