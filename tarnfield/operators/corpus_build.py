@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions.text import contains_whole, value_text
+from tarnfield.session import written
+from tarnfield.sources.catalogue import BATCH, Catalogue
 
 
 def chance(*parts: Column | str, seed: int = 0) -> Column:
@@ -61,6 +63,114 @@ def with_twins(facts: DataFrame) -> DataFrame:
     return facts.join(other, (F.col("twin_of") == F.col("o_attribute")) & F.col("entity").eqNullSafe(F.col("o_entity")), "left").drop("o_attribute", "o_entity")
 
 
+def slots_of(attributes: DataFrame, entities: DataFrame) -> DataFrame:
+    """The facts to be stated: each family of facts (attribute, scope, ...) with every entity of its scope, a general one with none; with fact_id."""
+    with_entity = attributes.join(entities.select("scope", "entity"), "scope", "left")
+    return with_entity.where((F.col("scope") == "general") | F.col("entity").isNotNull()).withColumn("fact_id", F.concat_ws(":", "attribute", "entity"))
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """template with each {name} replaced; null where it is null, a null value leaves nothing."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+def hold_out(slots: DataFrame, count: int, most: int = 3, seed: int = 0) -> DataFrame:
+    """`count` of the slots (fact_id, attribute, ...), to be left unstated: the first by digest, at most `most` of an attribute. Too few are an error."""
+    order = chance("fact_id", F.lit("held"), seed=seed)
+    ranked = slots.withColumn("order_", order).withColumn("place_", F.row_number().over(Window.partitionBy("attribute").orderBy("order_", "fact_id")))
+    held = ranked.where(F.col("place_") <= most).orderBy("order_", "fact_id").limit(count)
+    if (found := held.count()) < count:
+        raise ValueError(f"{count} facts are to be held out, {found} can be")
+    return held.drop("order_", "place_")
+
+
+def with_old_values(facts: DataFrame, free: DataFrame, count: int, seed: int = 0, scope: str = "product") -> DataFrame:
+    """facts with old_value: `count` facts of a scope, by digest, get a second free value within their range for an earlier version."""
+    some = facts.where(F.col("scope") == scope).orderBy(chance("fact_id", F.lit("old"), seed=seed), "fact_id").limit(count).select("fact_id", "kind", "low", "high")
+    if (found := some.count()) < count:
+        raise ValueError(f"{count} facts are to have an old value, {found} can")
+    left = free.join(facts.select("kind", "n"), ["kind", "n"], "left_anti")
+    old = plan_facts(some, left, seed + 1) if count else some.withColumn("value", F.lit(None).cast("string"))
+    return facts.join(old.select("fact_id", F.col("value").alias("old_value")), "fact_id", "left")
+
+
+def deleted_facts(products: DataFrame, accessories: list[str], sentence: str, free: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """Facts of deleted documents, one each: fact_id (also doc_id), attribute, scope, entity, kind, n, value, accessory, named.
+
+    products: place (from 0), entity. Product and accessory are drawn by digest, so they may repeat; batch numbers may not.
+    """
+    n, low, high = products.count(), *BATCH[1:]
+    if count and not (n and accessories):
+        raise ValueError("deleted documents need a product and an accessory")
+    pick = lambda salt, size: F.pmod(F.conv(F.substring(chance("fact_id", F.lit(salt), seed=seed), 1, 12), 16, 10).cast("long"), F.lit(max(size, 1)))
+    slots = products.sparkSession.range(count).select(F.format_string("DEL-%02d", "id").alias("fact_id"), F.lit(BATCH[0]).alias("kind"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+    drawn = plan_facts(slots, free, seed + 2) if count else slots.withColumn("n", F.lit(None).cast("long")).withColumn("value", F.lit(None).cast("string"))
+    named = drawn.withColumn("place", pick("product", n)).withColumn("accessory", F.element_at(F.array(*map(F.lit, accessories or [""])), (pick("accessory", len(accessories)) + 1).cast("int")))
+    rows = named.join(products.select("place", "entity"), "place")
+    return rows.select(
+        "fact_id", F.lit("deleted").alias("attribute"), F.col("fact_id").alias("doc_id"), F.lit("deleted").alias("scope"), F.lit("").alias("heading"), "entity", "kind", "low", "high", "n", "value", "accessory",
+        filled(F.lit(sentence), accessory=F.col("accessory"), value=F.col("value"), entity=F.col("entity")).alias("named"),
+    )
+
+
+def postcode_facts(areas: DataFrame, template: str, doc_id: str = "", heading: str = "") -> DataFrame:
+    """A fact for each region (region, place, area) whose value lists its areas, the last after "and"."""
+    listed = areas.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "area"))), lambda x: x["area"]).alias("a"))
+    n = F.size("a")
+    value = F.when(n > 1, F.concat(F.array_join(F.slice("a", F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at("a", -1))).otherwise(F.element_at("a", 1))
+    rows = listed.select(F.concat(F.lit("postcodes:"), F.col("region")).alias("fact_id"), F.col("region").alias("entity"), value.alias("value"))
+    return rows.select("fact_id", F.lit("postcodes").alias("attribute"), F.lit(doc_id).alias("doc_id"), F.lit("postcode").alias("scope"), F.lit(heading).alias("heading"), "entity", F.lit("postcode").alias("kind"), "value", filled(F.lit(template), entity=F.col("entity"), areas=F.col("value")).alias("named"))
+
+
+def fact_plan(catalogue: Catalogue, taken: DataFrame, held: int = 0, versions: int = 0, deleted: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(facts, held_out) of a catalogue: all it names, each with a value that no text of `taken` holds and no other fact has.
+
+    facts: fact_id, attribute, doc_id, scope, heading, entity, kind, low, high, n, value, old_value, accessory, named, bare, lead, twin (sentences are
+    filled in). held_out: attribute, doc_id, heading, entity, blank (the sentence with its value left open): product facts that
+    no document states. Values go to the narrowest ranges first.
+    """
+    slots = written(slots_of(catalogue.attributes, catalogue.entities))
+    out = written(hold_out(slots.where("scope = 'product'"), held, seed=seed))
+    free = written(values(catalogue.kinds, taken))
+    facts = written(plan_facts(slots.join(out.select("fact_id"), "fact_id", "left_anti"), free, seed))
+    told = {c: filled(F.col(c), value=F.col("value"), entity=F.col("entity")) for c in ("named", "bare", "lead")}
+    facts = written(with_old_values(with_twins(facts).withColumns(told), free, versions, seed))
+    used = facts.select("kind", "value").unionByName(facts.where("old_value is not null").select("kind", F.col("old_value").alias("value")))
+    left = free.join(used, ["kind", "value"], "left_anti")
+    parts = [facts.drop("twin_of", "title", "section")]
+    s = catalogue.settings
+    if deleted:
+        d = s.get("deleted") or {}
+        parts.append(deleted_facts(catalogue.entities.where("scope = 'product'").select("place", "entity"), d.get("accessories") or [], d.get("sentence") or "", left, deleted, seed))
+    named = [(p, x) for p in s.get("policies") or [] for x in p.get("region") or [] if x.get("postcodes")]
+    if named:
+        policy, section = named[0]
+        parts.append(postcode_facts(catalogue.areas, section["postcodes"], policy["doc_id"], section["heading"]))
+    all_facts = parts[0].withColumn("accessory", F.lit(None).cast("string"))
+    for part in parts[1:]:
+        all_facts = all_facts.unionByName(part, allowMissingColumns=True)
+    blank = filled(F.col("named"), entity=F.col("entity"), value=F.lit("..."))
+    return written(all_facts), out.select("attribute", "doc_id", "heading", "entity", blank.alias("blank"))
+
+
+def pilot_scope(items: DataFrame, sections: DataFrame, per_type: int, documents: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(items, sections) of a pilot: the first items of each type's test split, and the sections of the named documents or that state a fact they need.
+
+    items: item_id, type, split, facts and distractors (arrays of fact ids), first (a follow-up's first fact). sections: doc_id, fact_ids.
+    """
+    by = Window.partitionBy("type").orderBy("item_id")
+    some = items.where("split = 'test'").withColumn("place_", F.row_number().over(by)).where(F.col("place_") <= per_type).drop("place_")
+    ids = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("facts", "distractors")], F.array("first"))
+    needed = some.select(F.explode(ids).alias("fact_id")).where("fact_id is not null").distinct()
+    keyed = sections.withColumn("row_", F.monotonically_increasing_id())
+    keyed = written(keyed)
+    stating = keyed.select("row_", F.explode("fact_ids").alias("fact_id")).join(needed, "fact_id", "left_semi").select("row_").distinct().withColumn("states_", F.lit(True))
+    kept = keyed.join(stating, "row_", "left").where(F.col("states_").isNotNull() | F.col("doc_id").isin(*documents))
+    return some, kept.drop("row_", "states_")
+
+
 def siblings(asked: DataFrame, facts: DataFrame, most: int, seed: int | None = None) -> DataFrame:
     """fact_id, sibling: for each asked fact at most `most` facts of its attribute about other entities, chosen by digest.
 

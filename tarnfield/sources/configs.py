@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,3 +124,69 @@ def load_episode(path: str) -> tuple[P.Spec, list[Condition]]:
             problems.append(f"{c['name']}: {e}")
     _checked(path, problems)
     return base, out
+
+
+@dataclass(frozen=True)
+class Experiment:
+    """What an experiment runs apart from its models: calls are of `parameters`, a pilot is a part of them."""
+
+    experiment: str
+    seed: int
+    description: str = ""
+    parameters: dict[str, Any] = field(default_factory=dict)
+    limits: dict[str, dict[str, int]] = field(default_factory=dict)
+    pilot: dict[str, Any] = field(default_factory=lambda: {"strategy": "stratified"})
+    call_order: str = "planned"
+    measures_latency: bool = True
+
+    def limits_for(self, provider: str) -> dict[str, int]:
+        """max_concurrency and requests_per_minute, cautious where the file says nothing."""
+        return {"max_concurrency": 2, "requests_per_minute": 30} | self.limits.get(provider, {})
+
+
+_NAME = re.compile(r"[a-z0-9][a-z0-9-]*")
+
+
+def _whole(x: Any, low: int, high: float = float("inf")) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and low <= x <= high
+
+
+def _pilot_problems(p: dict[str, Any]) -> list[str]:
+    if p.get("strategy") == "stratified":
+        share = p.get("fraction", 0.05)
+        bad = isinstance(share, bool) or not isinstance(share, (int, float)) or not 0 < share <= 1
+        return ["the pilot's fraction must be within (0, 1]"] * bad + [f"unknown in the pilot: {k}" for k in p if k not in ("strategy", "fraction", "strata")]
+    if p.get("strategy") == "filter":
+        rules = p.get("include") or []
+        return ["the pilot includes nothing"] * (not rules) + ["a pilot's rule needs a key"] * any(not r for r in rules) + [f"unknown in the pilot: {k}" for k in p if k not in ("strategy", "include")]
+    return ["the pilot's strategy is stratified or filter"]
+
+
+def load_experiment(spark: SparkSession, path: str) -> tuple[Experiment, DataFrame]:
+    """The settings and a row for each mode of each model: provider, model, label, mode, reasoning, temperature, max_output_tokens, show_thinking.
+
+    Reasoning and temperature must be stated, if only as null. Labels (the model's name without one) must be unique.
+    """
+    raw = dict(read_yaml(path))
+    models = raw.pop("models", None) or []
+    known = {f.name for f in fields(Experiment)}
+    problems = [f"unknown: {k}" for k in raw if k not in known] + [f"no {k}" for k in ("experiment", "seed") if k not in raw] + ["no models"] * (not models)
+    problems += ["the name may have small letters, digits and hyphens"] * ("experiment" in raw and not _NAME.fullmatch(str(raw["experiment"])))
+    problems += ["the seed must be a whole number"] * ("seed" in raw and not _whole(raw["seed"], -(2**63)))
+    problems += ["call_order is planned or shuffled"] * (raw.get("call_order", "planned") not in ("planned", "shuffled"))
+    problems += _pilot_problems(raw.get("pilot") or {"strategy": "stratified"})
+    for provider, limit in (raw.get("limits") or {}).items():
+        problems += [f"{provider}: unknown limit {k}" for k in limit if k not in ("max_concurrency", "requests_per_minute")]
+        problems += [f"{provider}: max_concurrency must be 1 to 32"] * (not _whole(limit.get("max_concurrency", 2), 1, 32)) + [f"{provider}: requests_per_minute must be positive"] * (not _whole(limit.get("requests_per_minute", 30), 1))
+    rows, labels = [], [m.get("label") or m.get("model") for m in models]
+    problems += [f"the label {x} is not unique" for x in sorted({x for x in labels if x and labels.count(x) > 1})]
+    for m, label in zip(models, labels, strict=True):
+        problems += [f"{label}: no {k}" for k in ("provider", "model", "modes") if not m.get(k)] + [f"{label}: unknown {k}" for k in m if k not in ("provider", "model", "label", "modes")]
+        for mode, s in (m.get("modes") or {}).items():
+            problems += [f"{label} {mode}: {k} must be stated" for k in ("reasoning", "temperature") if k not in s] + [f"{label} {mode}: unknown {k}" for k in s if k not in ("reasoning", "temperature", "max_output_tokens", "show_thinking")]
+            problems += [f"{label} {mode}: max_output_tokens must be positive"] * (not _whole(s.get("max_output_tokens"), 1))
+            heat = s.get("temperature")
+            rows.append((m.get("provider"), m.get("model"), label, str(mode), s.get("reasoning"), None if heat is None else float(heat), s.get("max_output_tokens"), bool(s.get("show_thinking", False))))
+    _checked(path, problems)
+    modes = spark.createDataFrame(rows, "provider string, model string, label string, mode string, reasoning string, temperature double, max_output_tokens long, show_thinking boolean")
+    return Experiment(**{k: v for k, v in raw.items() if v is not None}), modes
