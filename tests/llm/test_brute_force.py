@@ -291,6 +291,33 @@ def test_seating_follows_the_exact_conditional():
         assert np.abs(got - want).sum() < 0.02, (c, got, want)
 
 
+def test_seating_of_many_customers_follows_the_exact_conditional():
+    n = 4_000
+    for exact, (c, base, others, d) in [(e, x) for e in (20, pitman_yor.EXACT) for x in ((65, 0.05, 30, 0.6), (200, 0.02, 100, 0.6), (1000, 0.01, 1000, 0.5), (600, 0.5, 9000, 0.5), (1000, 0.3, 3, 0.05), (700, 0.2, 400, 0.95))]:
+        t = np.arange(1, c + 1)
+        want = pitman_yor.log_stirling(c, d)[c, 1 : c + 1] + t * np.log(base) + np.cumsum(np.log(pitman_yor.CONCENTRATION + d * (others + t - 1)))
+        want = np.exp(want - want.max())
+        want /= want.sum()
+        f = lambda x: np.full(n, float(x))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pitman_yor, "EXACT", exact)
+            got = pitman_yor.gibbs(f(c), f(base), f(others), d, pitman_yor.CONCENTRATION, pitman_yor.mix(np.arange(n).astype(np.uint64)), 3).astype(int)
+        assert abs(got.mean() - (want * t).sum()) < 0.06 * np.sqrt((want * t * t).sum() - (want * t).sum() ** 2) + 1e-9, (c, d, exact)
+        assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - want).sum() / 2 < 0.06, (c, d, exact)
+
+
+def test_stirling_numbers_at_any_size():
+    for d in (0.05, 0.5, 0.8, 0.95):
+        table = pitman_yor.log_stirling(1200, d)
+        for c in (70, 600, 1200):
+            t = np.arange(1, c)
+            assert np.abs(pitman_yor.log_stirling_at(np.full(len(t), c), t, d) - table[c, t]).max() < 5e-3, (c, d)
+    # one table has the product of 1 - d, 2 - d, ... however many sit there
+    many = np.array([10**5, 10**7])
+    want = [np.log(np.arange(1, c) - 0.6).sum() for c in many]
+    assert pitman_yor.log_stirling_at(many, np.ones(2), 0.6) == pytest.approx(want, abs=1e-2)
+
+
 def test_contexts_over_all_blocks_equal_one_restaurant(spark, monkeypatch):
     """A dozen tokens: counts, tables of the first state and scores against plain Python, however the texts lie in blocks."""
     from pyspark.sql import functions as F
