@@ -16,19 +16,18 @@ Seating is sampled by blocked Gibbs steps: all customers of one dish leave and a
 seated again, given all other tables (how they sat before has no part in that
 conditional, so only the others' tables are kept from sweep to sweep). The number of their tables is
 drawn from the conditional itself, whose weights are generalised Stirling numbers: by their recursion for
-up to EXACT customers, by their contour integral for more. Draws are hashes of dish, sweep
-and step: a task that runs again draws the same. The first state has one table for each
-dish. The context restaurants are seated again given its tables and the words' shares;
-their tables are the customers of the word restaurant, which is sampled in sweeps with
-the byte restaurants. After the burn-in, the predictive probabilities of several
-samples are averaged, and a text's score is the sum of its tokens' log10.
+up to LONG customers at up to EXACT tables, by their contour integral for more. Draws are hashes of dish and sweep:
+a task that runs again draws the same. The first state has one table for each
+dish. A sweep seats all three layers: the context restaurants given the words' probabilities, the word restaurant, whose customers
+are the contexts' tables, given the spellings', and the byte restaurants. After the burn-in, the predictive probabilities of several
+samples, each with its own seating of all layers, are averaged, and a text's score is the sum of its tokens' log10.
 
 How it runs. Texts become blocks of up to BLOCK_TOKENS tokens: a block is one row of a
 working table and holds its sorted distinct word hashes and its tokens as places among
 them, packed. For each layer a block sends every bucket of the hash range the sorted
 keys it holds with their counts, as one packed row; a bucket adds up the counts of all
-blocks and answers in the order asked, so that answers carry no keys. A pair belongs to the lowest
-block that holds it, which alone counts its tables. All counts cover all training texts. A key
+blocks and answers in the order asked, so that answers carry no keys. A pair belongs to one of the
+blocks that hold it, by its hash, which alone draws its tables; the others are told their sum over the samples. All counts cover all training texts. A key
 costs a bucket one entry for each block, however frequent it is. The byte contexts have a
 fixed bound (256**3 counts), so their seating is sampled on the driver.
 
@@ -56,10 +55,13 @@ from tarnfield.llm.shared import WORK, Words, blocks_of, buffers, crc_mod, disca
 
 CONCENTRATION = 1.0
 BURN_IN, SAMPLES, BYTE_PASSES = 2, 3, 2
-#: Up to so many customers a table of generalised Stirling numbers is used, beyond them the integral for an entry.
-EXACT = 512
+#: A table of generalised Stirling numbers goes to so many customers at so many tables; where more customers sit, or more tables carry weight,
+#: the integral for an entry is used.
+LONG, EXACT = 4096, 512
 #: Points of the integral; logs of weights below the greatest that are still drawn from; dishes of a vectorised pass.
 NODES, KEEP, PASS_DISHES = 24, 30.0, 1024
+#: Dishes of at most EXACT customers that one pass draws, and numbers of tables weighed at a time.
+DRAWN_DISHES, STEP = 1 << 14, 16
 END_HASH = np.uint64(0xE2D)
 SPACE = 0x20
 #: Words of a task that one vectorised pass works on.
@@ -78,32 +80,56 @@ def draw(key: np.ndarray, *salt: int) -> np.ndarray:
     return ((mix(mix(key + np.uint64(s))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-@lru_cache(maxsize=8)
-def log_stirling(n: int, d: float) -> np.ndarray:
-    """Logs of the generalised Stirling numbers: [c, t] is the weight of all seatings of c customers at t tables."""
-    out = np.full((n + 1, n + 2), -np.inf)
+@lru_cache(maxsize=4)
+def log_stirling(n: int, d: float, tables: int = 0) -> np.ndarray:
+    """Logs of the generalised Stirling numbers: [c, t] is the weight of all seatings of c customers at t tables, for t of at most n, or at most `tables`."""
+    wide = tables or n
+    out = np.full((n + 1, wide + 2), -np.inf)
     out[1, 1] = 0.0
-    t = np.arange(1, n + 1)
+    t = np.arange(1, wide + 1)
     for c in range(1, n):
         out[c + 1, 1:-1] = np.logaddexp(out[c, :-2], out[c, 1:-1] + np.log(np.maximum(c - t * d, 1e-300)))
     return out
 
 
-def drawn(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, *salt: int) -> np.ndarray:
-    """Tables of dishes of at most EXACT customers, drawn from their exact conditional (the largest of weights with Gumbel noise)."""
-    stirling = log_stirling(EXACT, d)
+def drawn(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes of at most LONG customers, drawn from their exact conditional by uniform numbers u.
+
+    Weights are a single hill over the numbers of tables: they are taken STEP at a time until e^-KEEP below the heaviest.
+    A dish that has not come so far at EXACT tables is not drawn (NaN).
+    """
+    stirling = log_stirling(LONG, d, EXACT)
     order = np.argsort(-c, kind="stable")
-    n, base, others, key = c[order].astype(np.int64), base[order], others[order], key[order]
-    best, most, weight = np.ones(len(n)), np.full(len(n), -np.inf), np.zeros(len(n))
-    for t in range(1, int(n[0]) + 1 if len(n) else 0):
-        k = int(np.searchsorted(-n, -t, "right"))  # dishes of t customers or more
-        weight[:k] += np.log(base[:k] * (theta + d * (others[:k] + t - 1)))
-        score = weight[:k] + stirling[n[:k], t] - np.log(-np.log(draw(key[:k], *salt, t)))
-        more = score > most[:k]
-        best[:k] = np.where(more, t, best[:k])
-        most[:k] = np.maximum(most[:k], score)
-    out = np.empty(len(n))
-    out[order] = best
+    out = np.empty(len(c))
+    for begin in range(0, len(c), DRAWN_DISHES):
+        here = order[begin : begin + DRAWN_DISHES]
+        n, log_base, o = c[here].astype(np.int64), np.log(base[here] * d), others[here] + theta / d
+        parts, top, carry, some, t = [], np.full(len(n), -np.inf), np.zeros(len(n)), np.arange(len(n)), 1
+        while len(some) and t <= EXACT:
+            step = np.arange(t, min(t + STEP, int(n[some[0]]) + 1, EXACT + 1))
+            w = np.cumsum(np.log(o[some, None] + (step - 1)) + log_base[some, None], axis=1)
+            w += carry[some, None]
+            carry[some] = w[:, -1]
+            w += stirling[n[some, None], step]
+            parts.append((t, some, w))
+            top[some] = np.maximum(top[some], w.max(1))
+            t = int(step[-1]) + 1
+            some = some[(n[some] >= t) & (w[:, -1] > top[some] - KEEP)]
+        open_, total = some, np.zeros(len(n))
+        for _, some, w in parts:
+            w -= top[some, None]
+            np.exp(w, out=w)
+            total[some] += w.sum(1)
+        left, found = u[here] * total, np.ones(len(n))
+        for t, some, w in parts:
+            up = np.cumsum(w, axis=1)
+            before = (up < left[some, None]).sum(1)
+            inside = (left[some] > 0) & (before < w.shape[1])
+            found[some[inside]] = t + before[inside]
+            # what has been found asks for nothing more
+            left[some] = np.where(inside, -1.0, left[some] - up[:, -1])
+        out[here] = np.minimum(found, n)
+        out[here[open_]] = np.nan
     return out
 
 
@@ -227,9 +253,11 @@ def _between(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def gibbs(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of each dish after a sweep: draws from their conditional given all other tables."""
     out = np.empty(len(c))
-    few = c <= EXACT
-    out[few] = drawn(c[few], base[few], others[few], d, theta, key[few], sweep, 0)
-    out[~few] = drawn_among_many(c[~few], base[~few], others[~few], d, theta, draw(key[~few], sweep, 0))
+    u, few = draw(key, sweep, 0), c <= LONG
+    out[few] = drawn(c[few], base[few], others[few], d, theta, u[few])
+    out[~few] = np.nan
+    many = np.isnan(out)
+    out[many] = drawn_among_many(c[many], base[many], others[many], d, theta, u[many])
     return out
 
 
@@ -336,6 +364,7 @@ class Sweep:
     tables: float  # in the word restaurant before it
     after: float = 0.0  # tables after it
     known: float = 0.0  # what the spelling model gives all known words
+    customers: float = 0.0  # in the word restaurant
 
 
 @dataclass
@@ -484,7 +513,8 @@ ASK = "bucket int, block long, keys binary, a binary, b binary"
 ANSWER = "block long, kind int, bucket int, a binary, b binary, c binary, n long, m long"
 _ASK_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 _ANSWER_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-OF_PAIRS, OF_WORDS, OF_SAMPLES = 0, 1, 2
+OF_PAIRS, OF_WORDS, OF_STATE, OF_SHARED, OF_SAMPLES = 0, 1, 2, 3, 4
+OWN, SHARED = 1, 2
 
 
 def _rows(rows: list[tuple], spec: str, types: list[pa.DataType]) -> pa.Table:
@@ -551,8 +581,8 @@ def vocabulary(of_blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def pair_counts(of_blocks: DataFrame, buckets: int) -> DataFrame:
-    """Answers: for each of a block's pairs, the training tokens in other blocks (a) and whether it is the block's own (b).
-    n and m: own pairs that training has once and twice."""
+    """Answers: for each of a block's pairs, the training tokens in other blocks (a), and OWN where it is the block's own,
+    with SHARED where other blocks hold it too (b). n and m: own pairs that training has once and twice."""
 
     @tidy
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,20 +596,22 @@ def pair_counts(of_blocks: DataFrame, buckets: int) -> DataFrame:
     def added(table: pa.Table) -> pa.Table:
         asked = _asked(table)
         keys, counts = (np.concatenate([x[i] for x in asked]) for i in (1, 2))
-        order = np.argsort(keys, kind="stable")  # of equal keys the lowest block's comes first
+        order = np.argsort(keys, kind="stable")  # of equal keys the lowest block's comes first; the hash says which is the owner's
         k = keys[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         at = np.empty(len(k), np.int64)
         at[order] = np.cumsum(new) - 1
         total = np.bincount(at, counts).astype(np.int64)
-        own = np.zeros(len(k), np.uint8)
-        own[order[new]] = 1
+        start = np.flatnonzero(new)
+        holders = np.diff(start, append=len(k))
+        own = np.where(holders[at] > 1, SHARED, 0).astype(np.uint8)
+        own[order[start + (mix(k[start]) % holders.astype(np.uint64)).astype(np.int64)]] |= OWN
         rows, cut, bucket = [], 0, table.column("bucket")[0].as_py()
         for block, mine, c, _ in asked:
             part = slice(cut, cut + len(mine))
             all_c, owned = total[at[part]], own[part]
-            rows.append((block, OF_PAIRS, bucket, packed(all_c - c), packed(owned), None, int(((all_c == 1) & (owned > 0)).sum()), int(((all_c == 2) & (owned > 0)).sum())))
+            rows.append((block, OF_PAIRS, bucket, packed(all_c - c), packed(owned), None, int(((all_c == 1) & (owned & OWN > 0)).sum()), int(((all_c == 2) & (owned & OWN > 0)).sum())))
             cut += len(mine)
         return _rows(rows, ANSWER, _ANSWER_TYPES)
 
@@ -601,79 +633,213 @@ def _of_bucket(asks: DataFrame, vocab: DataFrame, run, schema: str) -> DataFrame
     return asks.groupBy("bucket").cogroup(vocab.groupBy("bucket")).applyInArrow(tidy(lambda asked, known: sort(asked, known)), schema)
 
 
-def first_tables(of_blocks: DataFrame, answers: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
-    """Answers: for each of a block's words its training tokens (a) and the tables of its own restaurant in the first state,
-    one for each pair that training has (b)."""
+SEATS = "block long, vocab binary, prev binary, word binary, counts binary, kinds binary, heads binary"
 
-    def asks(row: pa.Table, told: pa.Table) -> pa.Table:
+
+def seats(of_blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """What sweeps need of each block: its own pairs of two customers or more, and for each of its words the own pairs of one customer
+    (who has one table in every sweep) that end with it (kinds) and begin with it (heads)."""
+
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
         block = Block.read(row)
         pairs = Pairs.found(block)
-        more, own = _answers(told, OF_PAIRS, pairs.keys, buckets, np.int64, np.uint8)
-        has = (own > 0) & (pairs.counts + more > 0)
-        kinds = np.bincount(pairs.prev[has], minlength=len(block.vocab))
-        return _rows(_asks(row.column("block")[0].as_py(), buckets, block.vocab, kinds), ASK, _ASK_TYPES)
+        c = _owned(pairs, told, buckets)
+        some, once = c > 1, c == 1
+        sums = [np.bincount(x[once], minlength=len(block.vocab)) for x in (pairs.word, pairs.prev)]
+        cells = [packed(block.vocab, True), packed(pairs.prev[some]), packed(pairs.word[some]), packed(c[some]), *map(packed, sums)]
+        return _rows([(row.column("block")[0].as_py(), *cells)], SEATS, [pa.int64(), *[pa.binary()] * 6])
 
-    def added(asked: pa.Table, known: pa.Table) -> pa.Table:
-        h, c, rows = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy(), []
-        asks = [(block, np.searchsorted(h, keys), kinds) for block, keys, kinds, _ in _asked(asked)]
-        total = sum(np.bincount(at, kinds, len(h)) for _, at, kinds in asks).astype(np.int64)
-        rows = [(block, OF_WORDS, asked.column("bucket")[0].as_py(), packed(c[at]), packed(total[at]), None, 0, 0) for block, at, _ in asks]
-        return _rows(rows, ANSWER, _ANSWER_TYPES)
+    return _of_block(of_blocks, answers, run, SEATS)
 
-    return _of_bucket(_of_block(of_blocks, answers, asks, ASK), vocab, added, ANSWER)
 
+def _owned(pairs: Pairs, told: pa.Table, buckets: int) -> np.ndarray:
+    """Training tokens of a block's own pairs, 0 for those of other blocks."""
+    more, own = _answers(told, OF_PAIRS, pairs.keys, buckets, np.int64, np.uint8)
+    return np.where(own & OWN, pairs.counts + more, 0)
 
-def _pair_tables(pairs: Pairs, c: np.ndarray, base: np.ndarray, tables: np.ndarray, d: float, which: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of the pairs `which`, of c customers, given the tables of their restaurants; one customer has one table."""
-    t = np.minimum(c, 1).astype(float)
-    some = np.flatnonzero(which & (c > 1))
-    if len(some):
-        others = np.maximum(tables[pairs.prev[some]] - 1, 0)
-        t[some] = gibbs(c[some].astype(float), base[pairs.word[some]], others.astype(float), d, CONCENTRATION, pairs.keys[some], sweep)
-    return t
 
+def swept(of_seats: DataFrame, told: DataFrame, buckets: int, d: float, number: int) -> DataFrame:
+    """A sweep over all pairs, given the words' probabilities and the tables of their restaurants (OF_WORDS) and how the pairs sat
+    (OF_STATE); without these the first state, of one table a pair.
 
-def seated_contexts(of_blocks: DataFrame, answers: DataFrame, vocab: DataFrame, buckets: int, tokens: int, d: float) -> DataFrame:
-    """vocab with k, a word's customers in the word restaurant, and t, the tables of its own restaurant, after a sweep over all pairs."""
+    Asks: the customers that a block's own pairs send to the word restaurant (a) and their tables in the word's own restaurant (b).
+    A row of bucket -1 has the pairs' tables (a) and their sums over the samples (b).
+    """
+
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
+        get = lambda name, kind, rising=False: unpacked(row.column(name)[0].as_py(), kind, rising)
+        vocab, prev, word, c = get("vocab", np.uint64, True), get("prev", np.int32), get("word", np.int32), get("counts", np.int64)
+        t, total = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
+        if len(told):
+            [was] = told.filter(pc.equal(told.column("kind"), OF_STATE)).select(["a", "b"]).to_pylist()
+            tables, p = _answers(told, OF_WORDS, vocab, buckets, np.int64, np.float32)
+            others = tables[prev] - unpacked(was["a"], np.int64)
+            t = gibbs(c.astype(float), p[word].astype(float), others.astype(float), d, CONCENTRATION, _pair_key(vocab[prev], vocab[word]), number).astype(np.int64)
+            total = unpacked(was["b"], np.int64) + (t if number >= BURN_IN else 0)
+        sums = [get(name, np.int64) + np.bincount(x, t, len(vocab)).astype(np.int64) for name, x in (("kinds", word), ("heads", prev))]
+        block = row.column("block")[0].as_py()
+        return _rows([*_asks(block, buckets, vocab, *sums), (-1, block, None, packed(t), packed(total))], ASK, _ASK_TYPES)
+
+    return _of_block(of_seats, told, run, ASK)
+
+
+def states(of_sweep: DataFrame) -> DataFrame:
+    """The rows of a sweep that say how pairs sit, as answers to their blocks."""
+    zero = F.lit(0).cast("long")
+    return of_sweep.where("bucket < 0").select("block", F.lit(OF_STATE).alias("kind"), "bucket", "a", "b", F.lit(None).cast("binary").alias("c"), zero.alias("n"), zero.alias("m"))
+
+
+WORDS = "bucket int, h long, word string, c long, k long, t long, seated long, g0 double, codes array<long>, tables array<long>"
+
+
+def _sums(asked: pa.Table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What blocks send for each word of a bucket, added up."""
+    asks = [(np.searchsorted(h, keys), a, b) for _, keys, a, b in _asked(asked)]
+    return tuple(sum((np.bincount(x[0], x[i], len(h)) for x in asks), np.zeros(len(h))).astype(np.int64) for i in (1, 2))
+
+
+def seated_words(of_sweep: DataFrame, known: DataFrame, sweep: Sweep, d: float) -> DataFrame:
+    """known (bucket, h, word, c, seated: tables so far) after a sweep over the words: customers k, tables t of the word's own restaurant,
+    tables, and g0, what the spelling model gives the word. A bucket's first row has the tables of its spellings' codes."""
+    sent = known.sparkSession.sparkContext.broadcast((sweep, d))
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        s, dd = sent.value
+        h, c = words.column("h").to_numpy().view(np.uint64), words.column("c").to_numpy()
+        k, t = _sums(asked, h)
+        was, seated, g0 = words.column("seated").to_numpy(), np.zeros(len(h), np.int64), np.zeros(len(h))
+        table, seen, sums = s.spelling.table(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        has = np.flatnonzero(c > 0)
+        for a in range(0, len(has), PASS_WORDS):
+            part = has[a : a + PASS_WORDS]
+            codes, word = spelled(words.column("word").take(pa.array(part)))
+            g0[part] = _g0(s.spelling, table, codes, word, len(part))
+            if s.number < 0:
+                seated[part] = 1
+            else:
+                seated[part] = gibbs(k[part].astype(float), g0[part], s.tables - was[part].astype(float), dd, CONCENTRATION, h[part], s.number)
+            keys, more = _by_code(codes, seated[part][word])
+            seen, at = np.unique(np.concatenate([seen, keys]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([sums, more]), len(seen)).astype(np.int64)
+        first = lambda x: pa.array([x, *[None] * (len(h) - 1)], pa.list_(pa.int64()))
+        cells = [words.column("bucket"), words.column("h"), words.column("word"), words.column("c"), pa.array(k), pa.array(t), pa.array(seated), pa.array(g0), first(seen), first(sums)]
+        return pa.table(cells, names=[x.split()[0] for x in WORDS.split(", ")])
+
+    return _of_bucket(of_sweep.where("bucket >= 0"), known, run, WORDS)
+
+
+def _by_code(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n by code, in the order of codes; the bytes that occur are numbered, so that sums are counted and not sorted."""
+    byte = np.zeros(256, bool)
+    for shift in (0, 8, 16):
+        byte[(codes >> shift) & 0xFF] = True
+    sums = np.bincount(_renumbered(codes, np.cumsum(byte) - 1), n)
+    at, bytes_, size = np.flatnonzero(sums), np.flatnonzero(byte), int(byte.sum())
+    return (bytes_[at // size**2] << 16) | (bytes_[at // size % size] << 8) | bytes_[at % size], sums[at]
+
+
+def told_words(of_sweep: DataFrame, of_words: DataFrame, sweep: Sweep, d: float) -> DataFrame:
+    """Answers: for each of a block's words the tables of its own restaurant (a), its probability in the word restaurant (b) and its training tokens (c)."""
+    base = CONCENTRATION + d * sweep.after
+    customers, left = CONCENTRATION + sweep.customers, 1 - min(sweep.known, 1.0)
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        h, c, k, t, seated, g0 = (words.column(x).to_numpy() for x in ("h", "c", "k", "t", "seated", "g0"))
+        p = np.where(c > 0, np.maximum(k - d * seated + base * g0, 1e-30 * customers), base * left) / customers
+        rows = []
+        for block, keys, _, _ in _asked(asked):
+            at = np.searchsorted(h.view(np.uint64), keys)
+            rows.append((block, OF_WORDS, asked.column("bucket")[0].as_py(), packed(t[at]), packed(p[at].astype(np.float32)), packed(c[at]), 0, 0))
+        return _rows(rows, ANSWER, _ANSWER_TYPES)
+
+    nothing = F.lit(None).cast("binary")
+    asks = of_sweep.where("bucket >= 0").select("bucket", "block", "keys", nothing.alias("a"), nothing.alias("b"))
+    return _of_bucket(asks, of_words.select("bucket", "h", "c", "k", "t", "seated", "g0"), run, ANSWER)
+
+
+def sampled(of_seats: DataFrame, vocab: DataFrame, buckets: int, d: float, since: int) -> tuple[list[DataFrame], DataFrame]:
+    """(what words are told in each sample, how pairs sit in the end): every sweep seats the pairs given the words' probabilities, the
+    words given the pairs' tables and the spellings given the words' tables."""
+    spark = of_seats.sparkSession
+    told, state, known = spark.createDataFrame([], ANSWER), Sweep(-1, Spelling.flat(), 0.0), vocab.withColumn("seated", F.lit(0).cast("long"))
+    samples, before, of_word = [], None, 0.0
+    for number in range(-1, BURN_IN + SAMPLES):
+        of_sweep = stored(swept(of_seats, told, buckets, d, number), f"sweep{number}")
+        of_words = stored(seated_words(of_sweep, known, state, of_word), f"words{number}")
+        sums = of_words.agg(F.sum("k").alias("k"), F.sum("seated").alias("t"), F.sum("g0").alias("g0"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if(F.col("k") == 2).alias("n2")).first()
+        of_word = _discount(sums.n1, sums.n2) if number < 0 else of_word
+        state.after, state.known, state.customers = float(sums.t), sums.g0, float(sums.k)
+        answers = stored(told_words(of_sweep, of_words, state, of_word), f"told{number}")
+        if number >= BURN_IN:
+            samples.append(answers)
+        if number + 1 < BURN_IN + SAMPLES:
+            # at most 256**3 codes
+            got = of_words.where("codes is not null").select(F.inline(F.arrays_zip("codes", "tables"))).groupBy("codes").agg(F.sum("tables").alias("n")).orderBy("codes").toArrow()
+            state = Sweep(number + 1, Spelling.sampled(got.column("codes").to_numpy(), got.column("n").to_numpy(), number + 2), float(sums.t))
+        told, known = answers.unionByName(states(of_sweep)), of_words.select("bucket", "h", "word", "c", "seated")
+        if before is not None:
+            discard(spark, since, f"sweep{before}", f"words{before}", *([f"told{before}"] if before < BURN_IN else []))
+        before = number
+    discard(spark, since, f"words{before}")
+    return samples, states(of_sweep)
+
+
+def shared_tables(of_blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """Answers: for a block's pairs of two customers or more that other blocks hold too, their tables summed over the samples (a), as their owner has them."""
 
     def asks(row: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block.read(row)
-        pairs = Pairs.found(block)
-        more, own = _answers(told, OF_PAIRS, pairs.keys, buckets, np.int64, np.uint8)
-        c_word, tables = _answers(told, OF_WORDS, block.vocab, buckets, np.int64, np.int64)
-        c = np.where(own > 0, pairs.counts + more, 0)
-        t = _pair_tables(pairs, c, c_word / max(tokens, 1), tables, d, own > 0, 0)
-        sums = [np.bincount(x, t, len(block.vocab)).astype(np.int64) for x in (pairs.word, pairs.prev)]
-        return _rows(_asks(row.column("block")[0].as_py(), buckets, block.vocab, *sums), ASK, _ASK_TYPES)
+        pairs = Pairs.found(Block.read(row))
+        c, shared, total = _told_pairs(pairs, told, buckets)
+        return _rows(_asks(row.column("block")[0].as_py(), buckets, pairs.keys[shared], total[shared]), ASK, _ASK_TYPES)
 
-    def added(asked: pa.Table, known: pa.Table) -> pa.Table:
-        h = known.column("h").to_numpy().view(np.uint64)
-        asks = [(np.searchsorted(h, keys), k, t) for _, keys, k, t in _asked(asked)]
-        k, t = (sum(np.bincount(x[0], x[i], len(h)) for x in asks).astype(np.int64) for i in (1, 2))
-        return known.append_column("k", pa.array(k)).append_column("t", pa.array(t))
+    @tidy
+    def added(table: pa.Table) -> pa.Table:
+        asked = _asked(table)
+        kinds, at = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([x[2] for x in asked]), len(kinds)).astype(np.int64)[at]
+        cuts = np.cumsum([0, *(len(x[1]) for x in asked)])
+        rows = [(x[0], OF_SHARED, table.column("bucket")[0].as_py(), packed(total[a:b]), None, None, 0, 0) for x, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
+        return _rows(rows, ANSWER, _ANSWER_TYPES)
 
-    return _of_bucket(_of_block(of_blocks, answers, asks, ASK), vocab, added, "bucket int, h long, word string, c long, k long, t long")
+    return _of_block(of_blocks, answers, asks, ASK).groupBy("bucket").applyInArrow(added, ANSWER)
 
 
-def known_words(of_blocks: DataFrame, scored: DataFrame, buckets: int) -> DataFrame:
-    """Answers: for each of a block's words its training tokens (a), the tables of its restaurant (b) and its probability in each sample (c)."""
+def _told_pairs(pairs: Pairs, told: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(training tokens, whether others hold it and its tables vary, the tables of own pairs that vary summed over the samples) of a block's pairs."""
+    more, own = _answers(told, OF_PAIRS, pairs.keys, buckets, np.int64, np.uint8)
+    c, total = pairs.counts + more, np.zeros(len(pairs.keys), np.int64)
+    for was in told.filter(pc.equal(told.column("kind"), OF_STATE)).column("b").to_pylist():
+        total[(own & OWN > 0) & (c > 1)] = unpacked(was, np.int64)
+    return c, (own & SHARED > 0) & (c > 1), total
 
-    @tidy
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, vocab in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _rows(_asks(block, buckets, unpacked(vocab, np.uint64, True)), ASK, _ASK_TYPES).to_batches()
+
+def first_tables(of_blocks: DataFrame, answers: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
+    """Answers: for each of a block's words its training tokens (c), its share of them (b) and the tables of its own restaurant in the first state,
+    one for each pair that training has (a)."""
+    total = float(vocab.agg(F.sum("c")).first()[0] or 1)
+    first = swept(seats(of_blocks, answers, buckets), vocab.sparkSession.createDataFrame([], ANSWER), buckets, 0.5, -1)
 
     def added(asked: pa.Table, known: pa.Table) -> pa.Table:
-        h = known.column("h").to_numpy().view(np.uint64)
-        c, t, rows = known.column("c").to_numpy(), known.column("t").to_numpy(), []
-        p = known.column("p").combine_chunks().flatten().to_numpy().reshape(len(h), -1)
+        h, c = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy()
+        t, rows = _sums(asked, h)[1], []
         for block, keys, _, _ in _asked(asked):
             at = np.searchsorted(h, keys)
-            rows.append((block, OF_SAMPLES, asked.column("bucket")[0].as_py(), packed(c[at]), packed(t[at]), packed(p[at].astype(np.float32).ravel()), 0, 0))
+            rows.append((block, OF_WORDS, asked.column("bucket")[0].as_py(), packed(t[at]), packed((c[at] / total).astype(np.float32)), packed(c[at]), 0, 0))
         return _rows(rows, ANSWER, _ANSWER_TYPES)
 
-    return _of_bucket(of_blocks.select("block", "vocab").mapInArrow(asks, ASK), scored, added, ANSWER)
+    return _of_bucket(first.where("bucket >= 0"), vocab, added, ANSWER).unionByName(states(first))
+
+
+def seated_contexts(of_blocks: DataFrame, answers: DataFrame, vocab: DataFrame, buckets: int, tokens: int, d: float) -> DataFrame:
+    """vocab with k, a word's customers in the word restaurant, and t, the tables of its own restaurant, after one sweep over all pairs from the
+    first state, in which words have their shares of the tokens."""
+    of_sweep = swept(seats(of_blocks, answers.where(F.col("kind") == OF_PAIRS), buckets), answers, buckets, d, 0)
+
+    def added(asked: pa.Table, known: pa.Table) -> pa.Table:
+        k, t = _sums(asked, known.column("h").to_numpy().view(np.uint64))
+        return known.append_column("k", pa.array(k)).append_column("t", pa.array(t))
+
+    return _of_bucket(of_sweep.where("bucket >= 0"), vocab, added, "bucket int, h long, word string, c long, k long, t long")
 
 
 def _texts(w: Words, which: np.ndarray) -> pa.Array:
@@ -768,31 +934,31 @@ def score(documents: DataFrame, training: Column | None = None) -> DataFrame:
     rare = of_pairs.agg(F.sum("n").alias("n1"), F.sum("m").alias("n2")).first()
     d = _discount(rare.n1 or 0, rare.n2 or 0)
     texts = of_blocks.select("block", "ids", "nulls", "held", "sizes", "vocab", "tokens")
-    of_words = stored(first_tables(texts, of_pairs, vocab, buckets), "first_tables")
-    contexts = stored(seated_contexts(texts, of_pairs.unionByName(of_words), vocab, buckets, n, d), "contexts")
-    samples = stored(word_samples(contexts, fitted(contexts)), "samples")
-    discard(documents.sparkSession, since, "vocabulary", "contexts")
-    known = stored(known_words(texts, samples, buckets), "known_words")
-    discard(documents.sparkSession, since, "samples")
-    told = of_pairs.unionByName(of_words).unionByName(known)
-    n_samples = SAMPLES if v else 1
+    told, n_samples = of_pairs, 0
+    if v:
+        of_seats = stored(seats(texts, of_pairs, buckets), "seats")
+        samples, state = sampled(of_seats, vocab, buckets, d, since)
+        discard(documents.sparkSession, since, "seats", "vocabulary")
+        told = of_pairs.unionByName(state)
+        told = told.unionByName(stored(shared_tables(texts, told, buckets), "shared"))
+        for sample in samples:
+            told = told.unionByName(sample.withColumn("kind", F.lit(OF_SAMPLES + n_samples)))
+            n_samples += 1
 
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block.read(row)
         pairs = Pairs.found(block)
-        more, _ = _answers(answers, OF_PAIRS, pairs.keys, buckets, np.int64, np.uint8)
-        c_word, first = _answers(answers, OF_WORDS, block.vocab, buckets, np.int64, np.int64)
-        # the draw of the owner's sweep, made again where a pair lies in other blocks
-        c_pair, every = pairs.counts + more, np.ones(len(pairs.keys), bool)
-        own = c_pair - d * _pair_tables(pairs, c_pair, c_word / max(n, 1), first, d, every, 0)
-        del first, more, every
-        c, tables, p = np.zeros(len(block.vocab), np.int64), np.zeros(len(block.vocab), np.int64), np.zeros(len(block.vocab))
-        cuts = _cuts(block.vocab, buckets)
-        for x in answers.filter(pc.equal(answers.column("kind"), OF_SAMPLES)).select(["bucket", "a", "b", "c"]).to_pylist():
-            part = slice(cuts[x["bucket"]], cuts[x["bucket"] + 1])
-            c[part], tables[part], p[part] = unpacked(x["a"], np.int64), unpacked(x["b"], np.int64), unpacked(x["c"], np.float32).reshape(-1, n_samples).mean(1)
-        # linear in the words' probabilities: their mean over the samples gives the mean
-        log_p = np.log10((own + ((CONCENTRATION + d * tables)[pairs.prev]) * p[pairs.word]) / (CONCENTRATION + c)[pairs.prev])
+        c_pair, shared, total = _told_pairs(pairs, answers, buckets)
+        # one customer has one table in every sample
+        total[c_pair == 1] = n_samples
+        total[shared] = _answers(answers, OF_SHARED, pairs.keys[shared], buckets, np.int64)[0]
+        own, share, c = c_pair - d * total / max(n_samples, 1), np.zeros(len(c_pair)), np.zeros(len(block.vocab), np.int64)
+        del shared, total
+        for i in range(n_samples):
+            tables, p, c = _answers(answers, OF_SAMPLES + i, block.vocab, buckets, np.int64, np.float32, np.int64)
+            share += (CONCENTRATION + d * tables)[pairs.prev] * p[pairs.word] / n_samples
+        # without training texts every token is the one outcome
+        log_p = np.log10((own + (share if n_samples else CONCENTRATION)) / (CONCENTRATION + c)[pairs.prev])
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         doc, n_docs = np.repeat(np.arange(len(block.ids)), block.sizes), len(block.ids)
         known = np.bincount(doc, (c > 0)[block.tokens], n_docs).astype(np.int64)

@@ -433,3 +433,47 @@ def test_texts_longer_than_a_pass(spark):
     assert sets == {i: len({tuple(w[j : j + 4]) for j in range(len(w) - 3)}) for i, w in ((i, tokens(t)) for i, t in docs.items())}
     lines = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(d).collect()}
     assert lines[1] == (3, 0) and lines[3][0] == docs[3].count("\n") + 1
+
+
+def test_contexts_are_seated_in_every_sweep(spark, monkeypatch):
+    """Context restaurants move with the word restaurant: how a pair sits, and the words' probabilities, change from sample to sample, and these add up to 1."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 400)
+    of_blocks = pitman_yor.blocks(frame(spark, corpus(14, 60)).repartition(3), sh.crc_mod(F.col("doc_id"), 10) != 0)
+    assert of_blocks.count() >= 3
+    vocab = sh.stored(pitman_yor.vocabulary(of_blocks, 3), "v")
+    of_pairs = sh.stored(pitman_yor.pair_counts(of_blocks, 3), "p")
+    of_seats = sh.stored(pitman_yor.seats(of_blocks, of_pairs, 3), "s")
+    samples, state = pitman_yor.sampled(of_seats, vocab, 3, 0.5, len(sh.WORK))
+    known = {r.h: r.c for r in vocab.collect()}
+    assert any(known.values())
+    seen = []
+    for sample in samples:
+        p, tables, rows = {}, {}, sample.collect()
+        keys = {r.block: pitman_yor.unpacked(r.vocab, np.uint64, True) for r in of_blocks.collect()}
+        for r in rows:
+            cuts = pitman_yor._cuts(keys[r.block], 3)
+            part = keys[r.block][cuts[r.bucket] : cuts[r.bucket + 1]].view(np.int64).tolist()
+            p.update(zip(part, pitman_yor.unpacked(r.b, np.float32).tolist(), strict=True))
+            tables.update(zip(part, pitman_yor.unpacked(r.a, np.int64).tolist(), strict=True))
+        unseen = {p[h] for h in p if not known[h]} or {0.0}
+        assert len(p) == len(known) and sum(p[h] for h in p if known[h]) + max(unseen) == pytest.approx(1.0, abs=1e-4)
+        seen.append((p, tables))
+    assert seen[0][1] != seen[1][1] != seen[2][1] and seen[0][0] != seen[1][0] != seen[2][0]
+    # every block is told its owner's tables of pairs that it shares, and these are as many in all blocks
+    told = of_pairs.unionByName(state)
+    got = told.unionByName(pitman_yor.shared_tables(of_blocks, told, 3)).collect()
+    sums: dict[int, set[int]] = {}
+    for r in of_blocks.collect():
+        row = of_blocks.where(F.col("block") == r.block).toArrow()
+        answers = pitman_yor._rows([tuple(x) for x in got if x.block == r.block], pitman_yor.ANSWER, pitman_yor._ANSWER_TYPES)
+        pairs = pitman_yor.Pairs.found(pitman_yor.Block.read(row))
+        c, shared, total = pitman_yor._told_pairs(pairs, answers, 3)
+        had = total[shared]
+        [total[shared]] = pitman_yor._answers(answers, pitman_yor.OF_SHARED, pairs.keys[shared], 3, np.int64)
+        assert (total[shared] >= pitman_yor.SAMPLES).all() and (total[shared] <= pitman_yor.SAMPLES * c[shared]).all()
+        assert (total[shared][had > 0] == had[had > 0]).all()
+        for k, t in zip(pairs.keys[shared].tolist(), total[shared].tolist(), strict=True):
+            sums.setdefault(k, set()).add(t)
+    assert sums and all(len(x) == 1 for x in sums.values())
