@@ -184,3 +184,22 @@ def test_runs_accumulate_in_their_metadata(spark, tmp_path):
     assert metadata.read_metadata(path) == out and [(p["run_id"], p["calls"]) for p in out["passes"]] == [("a", 2), ("b", 6)]
     assert (out["started"], out["finished"], out["prices"], out["git"]["commit"]) == ("2024-01-01", "2024-01-04", "x", None)
     assert out["versions"]["pyspark"]
+
+
+def test_siblings_are_the_first_of_all_pairs(spark, monkeypatch):
+    """However few digests are low enough to be put in order at first, the siblings are those of all pairs; only those few are ordered."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tarnfield.operators import corpus_build as B
+
+    facts = [(i, i % 3 if i % 50 else None, f"e{i % 7}" if i % 11 else None) for i in range(400)]
+    md5 = lambda i, j: hashlib.md5(f"{i}:{j}".encode()).hexdigest()
+    want = {(i, j) for i, a, e in facts if i % 4 == 0 and a is not None for _, j in sorted((md5(i, j), j) for j, b, f in facts if b == a and f != e)[:3]}
+    df = spark.createDataFrame(facts, "fact_id long, attribute int, entity string")
+    assert hasattr(B, "EXPECTED")
+    for expected in (1, 16):
+        monkeypatch.setattr(B, "EXPECTED", expected)
+        got = [tuple(r) for r in B.siblings(df.where(F.col("fact_id") % 4 == 0), df, 3).collect()]
+        assert len(got) == len(want) and set(got) == want
