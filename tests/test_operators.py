@@ -330,3 +330,19 @@ def test_spans_and_the_chunks_that_hold_them(spark):
     i = spark.createDataFrame(list(items.items()), "item_id long, evidence string")
     got = {(r.item_id, r.doc_id, r.start, r.stop) for r in R.spans(i, docs).collect()}
     assert got == {(k, n, t.index(e), t.index(e) + len(e)) for k, e in items.items() if e is not None for n, t in ((1, text), (3, "")) if e in t}
+
+
+def test_scores_are_added_up_in_blocks(spark):
+    """Hits of a frequent term are not joined by term: every block of chunks is scored in a task of its own, by terms that are sent to it."""
+    from tarnfield.operators.keyword_index import KeywordIndex, _Search
+
+    chunks = spark.createDataFrame([(i, "common " + ("rare" if i % 7 == 0 else "plain")) for i in range(1200)], "pos long, text string")
+    queries = spark.createDataFrame([(1, "common rare"), (2, "rare"), (3, "absent")], "query_id long, text string")
+    index = KeywordIndex(chunks)
+    out = index.scores(queries)
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert _Search(index, queries, None, None).sent.value.num_rows == 3
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, set()).add(r.pos)
+    assert got == {1: set(range(1200)), 2: set(range(0, 1200, 7))}
