@@ -346,3 +346,34 @@ def test_scores_are_added_up_in_blocks(spark):
     for r in out.collect():
         got.setdefault(r.query_id, set()).add(r.pos)
     assert got == {1: set(range(1200)), 2: set(range(0, 1200, 7))}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_few_queries_scan_texts_and_write_no_index(spark, monkeypatch, tmp_path, small):
+    """Searches by an index that is not written read the texts once, keep a query's best in every task, and rank as a written index does."""
+    from tarnfield.operators import keyword_index as K
+
+    if small:
+        monkeypatch.setattr(K, "CELLS", 12)
+        monkeypatch.setattr(K, "HITS", 5)
+        monkeypatch.setattr(K, "SEEN_ROWS", 1)
+    rng = random.Random(8)
+    texts = {i * 2: " ".join(rng.choice("a b c d e".split() + [f"w{i % 30}"]) for _ in range(rng.randrange(0, 9))) for i in range(200)} | {7: None}
+    chunks = spark.createDataFrame(list(texts.items()), "pos long, text string").repartition(3)
+    facts = spark.createDataFrame([(i, "staff" if i % 4 else "public") for i in texts if i != 6], "pos long, access string")
+    asks = spark.createDataFrame([(1, "a w3 w7 w3", "public"), (2, "nothing", "staff"), (3, None, "public"), (4, "w11 a", "staff")], "query_id long, text string, asker string")
+    may = (F.col("access") == "public") | (F.col("asker") == "staff")
+    index, written = K.KeywordIndex(chunks), K.KeywordIndex(chunks)
+    written.save(str(tmp_path / "index"))
+    written = K.KeywordIndex.load(spark, str(tmp_path / "index"))
+    wanted = spark.createDataFrame([(1, 0), (1, 7), (4, 22), (2, 8), (9, 8), (1, 1001)], "query_id long, pos long")
+    for allowed, about in ((None, None), (may, facts)):
+        out = index.top_k(asks, 9, allowed, about)
+        rows = lambda df: sorted((r.query_id, r.rank, r.pos, r.score) for r in df.collect())
+        assert rows(out) == rows(written.top_k(asks, 9, allowed, about)) and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+        order = {}
+        for q, _, p, _ in rows(written.top_k(asks, 500, allowed, about)):
+            order.setdefault(q, []).append(p)
+        want = {(q, p): order[q].index(p) + 1 for q, p in ((1, 0), (1, 7), (4, 22), (2, 8)) if p in order[q]}
+        assert {(r.query_id, r.pos): r.rank for r in index.places(asks, wanted, allowed, about).collect()} == want
+    assert "path" not in index.__dict__ and len(index.tallies) == 1
