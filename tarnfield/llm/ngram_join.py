@@ -194,6 +194,17 @@ def _shared(of: Column, size_a: Column, size_b: Column, percent: int) -> Column:
     return overlap - of + prefix
 
 
+def _meets(tokens: DataFrame, rare: Column) -> DataFrame:
+    """doc_id, token, n and t of the tokens (doc_id, token) that several documents have: how many, and the class of tokens.
+
+    Rare tokens come dealt by token: nearly all are of one document, so that counting them before the shuffle would deal them twice, and
+    none has many. Common ones are counted before the shuffle, and joins may split them.
+    """
+    about = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_xor("doc_id").alias("all_ids")]
+    shared = tokens.groupBy("token").agg(*about).where("n > 1")
+    return tokens.join(shared.select("token", "n", F.xxhash64("n", "first", "last", "all_ids", rare).alias("t")), "token")
+
+
 def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links."""
     since = len(WORK)
@@ -218,14 +229,16 @@ def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rank = np.log2(np.maximum(table.column("times").to_numpy().astype(float), 1)).astype(np.int64) + 1
     prefixes = _prefixes(documents, n, percent, hot, rank).where("size > 0 and doc_id is not null")
     reps = classes.select(F.col("rep").alias("doc_id"), "size", "s1")
-    prefixes = stored(prefixes.join(reps, ["doc_id", "size", "s1"], "left_semi").dropDuplicates(["doc_id"]), "prefixes")
+    # a representative has one class, which is compared after equal rows are dropped: else it is a key of the join, and rows are dealt twice
+    own_class = reps.select("doc_id", F.col("size").alias("of_size"), F.col("s1").alias("of_s1"))
+    prefixes = prefixes.join(own_class, "doc_id").dropDuplicates(["doc_id", "size", "s1"])
+    prefixes = stored(prefixes.where((F.col("size") == F.col("of_size")) & (F.col("s1") == F.col("of_s1"))).drop("of_size", "of_s1"), "prefixes")
     facts = prefixes.select("doc_id", "size", "n_rare", "full")
     tokens = prefixes.select("doc_id", F.explode("tokens").alias("token"))
     # tokens that the same documents have are one class of tokens; documents that share a passage meet in its classes
     # (documents are told apart by how many, which first and last, and the xor of all: a chance likeness only adds candidates)
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_xor("doc_id").alias("all_ids")).where("n > 1")
     rare = F.col("token").bitwiseAND(F.lit(1))
-    meets = tokens.join(shared.select("token", "n", F.xxhash64("n", "first", "last", "all_ids", rare).alias("t")), "token")
+    meets = _meets(tokens.where(rare == 1).repartition("token"), rare).unionByName(_meets(tokens.where(rare == 0), rare))
     meets = stored(meets.groupBy("doc_id", "t").agg(F.count("*").alias("w"), F.sum(rare).alias("rare"), F.first("n").alias("n")), "meets")
     # too few shared prefix tokens for any partner
     least = _least(F.col("size"), percent)

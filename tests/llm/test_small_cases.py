@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.llm import byte_bpe, fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, suffix_dedup, tandem_runs, toxicity, warc
+from tarnfield.llm import byte_bpe, fingerprints, line_dedup, mixing, ngram_join, piece_encoding, pitman_yor, quality_rules, shared, suffix_dedup, tandem_runs, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, size long, rank double, block string, token string"
 LONG = "the cat sat on the mat again and again " * 3000
@@ -139,3 +139,32 @@ def test_ranges_of_frames_are_read_by_several_tasks(spark):
     read = warc.read_archives(spark, index, frames=2).withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in read}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in read) == [(i, "response" if i < 40 else "revisit", i % 40 if i >= 40 else None) for i in range(200)]
+
+
+def test_near_copies_deal_prefixes_and_rare_tokens_once(spark, monkeypatch):
+    plans = {}
+
+    def planned(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return shared.stored(df, name)
+
+    monkeypatch.setattr(ngram_join, "stored", planned)
+    a = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (2, a + " x"), (3, "other words of a text"), (2, "short")], "doc_id long, text string")
+    with shared.set_for(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        got = {tuple(r) for r in ngram_join.components(docs, 4, 85).collect()}
+    assert {(r[0], r[2]) for r in got} == {(1, 1), (2, 1), (3, 3)}
+    # documents and representatives, each by doc_id
+    assert plans["prefixes"].count("Exchange hashpartitioning(") == 2
+    # rare tokens come dealt and are counted where they lie
+    assert plans["meets"].count("REPARTITION_BY_COL") == 2
+    assert plans["meets"].count("partial_bit_xor") == 2
+
+
+def test_the_driver_collects_garbage_between_steps(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_COLLECTED", [0.0])
+    count = lambda: sum(x.getCollectionCount() for x in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    before = count()
+    for _ in range(2):
+        shared.stored(spark.range(3), "rows")
+    assert count() == before + 1
