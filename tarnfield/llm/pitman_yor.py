@@ -739,7 +739,8 @@ def _by_code(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def told_words(of_sweep: DataFrame, of_words: DataFrame, sweep: Sweep, d: float) -> DataFrame:
-    """Answers: for each of a block's words the tables of its own restaurant (a), its probability in the word restaurant (b) and its training tokens (c)."""
+    """Answers: for each of a block's words the tables of its own restaurant (a), its probability in the word restaurant (b) and, after the last sweep, its training tokens (c)."""
+    last = sweep.number == BURN_IN + SAMPLES - 1
     base = CONCENTRATION + d * sweep.after
     customers, left = CONCENTRATION + sweep.customers, 1 - min(sweep.known, 1.0)
 
@@ -749,7 +750,7 @@ def told_words(of_sweep: DataFrame, of_words: DataFrame, sweep: Sweep, d: float)
         rows = []
         for block, keys, _, _ in _asked(asked):
             at = np.searchsorted(h.view(np.uint64), keys)
-            rows.append((block, OF_WORDS, asked.column("bucket")[0].as_py(), packed(t[at]), packed(p[at].astype(np.float32)), packed(c[at]), 0, 0))
+            rows.append((block, OF_WORDS, asked.column("bucket")[0].as_py(), packed(t[at]), packed(p[at].astype(np.float32)), packed(c[at]) if last else None, 0, 0))
         return _rows(rows, ANSWER, _ANSWER_TYPES)
 
     nothing = F.lit(None).cast("binary")
@@ -764,8 +765,12 @@ def sampled(of_seats: DataFrame, vocab: DataFrame, buckets: int, d: float, since
     told, state, known = spark.createDataFrame([], ANSWER), Sweep(-1, Spelling.flat(), 0.0), vocab.withColumn("seated", F.lit(0).cast("long"))
     samples, before, of_word = [], None, 0.0
     for number in range(-1, BURN_IN + SAMPLES):
+        # what a step was the last to read goes before the next one writes
         of_sweep = stored(swept(of_seats, told, buckets, d, number), f"sweep{number}")
+        if before is not None:
+            discard(spark, since, f"sweep{before}", *([f"told{before}"] if before < BURN_IN else []))
         of_words = stored(seated_words(of_sweep, known, state, of_word), f"words{number}")
+        discard(spark, since, "vocabulary" if before is None else f"words{before}")
         sums = of_words.agg(F.sum("k").alias("k"), F.sum("seated").alias("t"), F.sum("g0").alias("g0"), F.count_if(F.col("k") == 1).alias("n1"), F.count_if(F.col("k") == 2).alias("n2")).first()
         of_word = _discount(sums.n1, sums.n2) if number < 0 else of_word
         state.after, state.known, state.customers = float(sums.t), sums.g0, float(sums.k)
@@ -777,8 +782,6 @@ def sampled(of_seats: DataFrame, vocab: DataFrame, buckets: int, d: float, since
             got = of_words.where("codes is not null").select(F.inline(F.arrays_zip("codes", "tables"))).groupBy("codes").agg(F.sum("tables").alias("n")).orderBy("codes").toArrow()
             state = Sweep(number + 1, Spelling.sampled(got.column("codes").to_numpy(), got.column("n").to_numpy(), number + 2), float(sums.t))
         told, known = answers.unionByName(states(of_sweep)), of_words.select("bucket", "h", "word", "c", "seated")
-        if before is not None:
-            discard(spark, since, f"sweep{before}", f"words{before}", *([f"told{before}"] if before < BURN_IN else []))
         before = number
     discard(spark, since, f"words{before}")
     return samples, states(of_sweep)
@@ -955,8 +958,10 @@ def score(documents: DataFrame, training: Column | None = None) -> DataFrame:
         own, share, c = c_pair - d * total / max(n_samples, 1), np.zeros(len(c_pair)), np.zeros(len(block.vocab), np.int64)
         del shared, total
         for i in range(n_samples):
-            tables, p, c = _answers(answers, OF_SAMPLES + i, block.vocab, buckets, np.int64, np.float32, np.int64)
+            # training tokens are the same in all samples and told with the last
+            tables, p, *counts = _answers(answers, OF_SAMPLES + i, block.vocab, buckets, np.int64, np.float32, *[np.int64] * (i == n_samples - 1))
             share += (CONCENTRATION + d * tables)[pairs.prev] * p[pairs.word] / n_samples
+            c = counts[0] if counts else c
         # without training texts every token is the one outcome
         log_p = np.log10((own + (share if n_samples else CONCENTRATION)) / (CONCENTRATION + c)[pairs.prev])
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))

@@ -168,3 +168,19 @@ def test_the_driver_collects_garbage_between_steps(spark, monkeypatch):
     for _ in range(2):
         shared.stored(spark.range(3), "rows")
     assert count() == before + 1
+
+
+def test_training_tokens_are_told_with_the_last_sample_alone(spark, monkeypatch):
+    told = {}
+
+    def kept(df, name):
+        out = shared.stored(df, name)
+        if name.startswith("told"):
+            told[name] = {r.c is not None for r in out.select("c").collect()}
+        return out
+
+    monkeypatch.setattr(pitman_yor, "stored", kept)
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} a b") for i in range(1, 13)], "doc_id long, text string")
+    assert pitman_yor.score(docs).count() == 12
+    last = f"told{pitman_yor.BURN_IN + pitman_yor.SAMPLES - 1}"
+    assert told.pop(last) == {True} and all(x == {False} for x in told.values())
